@@ -65,11 +65,9 @@ def to_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(f.name) for f in SCHEMA.fields]), {"ignoreNullFields": "false"})
 
 
-def from_json(text: Column) -> Column:
-    """STRUCT(value: envelope, error): a missing or mistyped field is an error."""
-    v = codec.parse_text(text)
-    decoded = D.decode(F.coalesce(v, D.json_null()), REQUIRED)
-    return decoded
+def read_json(lines: DataFrame, text: str, name: str = "message") -> DataFrame:
+    """Add STRUCT(value: envelope, error): a missing or mistyped field is an error."""
+    return D.decode_as(lines, codec.parse_text(F.col(text)), REQUIRED, name)
 
 
 def rekey(df: DataFrame, key: Column, content: Column) -> DataFrame:

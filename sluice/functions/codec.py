@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluice.functions import dynamic as D
+from sluice.functions.staging import once
 
 # Configuration names of the wire types.
 ALIASES = {
@@ -198,6 +199,6 @@ def record_root(v: Column) -> Column:
     )
 
 
-def decode_record(v: Column, schema: T.StructType) -> Column:
-    """Strict decode of a record root with a supplied schema: STRUCT(value, error)."""
-    return D.decode(record_root(v), schema)
+def decode_record(df: DataFrame, v: Column, schema: T.StructType, name: str = "record") -> DataFrame:
+    """Add the strict decode of a record root with a supplied schema: STRUCT(value, error)."""
+    return D.decode_as(once(df, _j=v), record_root(F.col("_j")), schema, name).drop("_j")

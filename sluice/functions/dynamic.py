@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from sluice.functions.staging import once
 
 Step = str | int
 
@@ -197,12 +199,19 @@ def conforms(v: Column, dtype: T.DataType) -> Column:
     raise TypeError(f"no JSON decoder for {dtype.simpleString()}")
 
 
-def decode(v: Column, schema: T.StructType | T.DataType) -> Column:
-    """Typed decode as STRUCT(value, error): exactly one of the two is set."""
-    ok = conforms(v, schema)
-    if isinstance(schema, T.VariantType):
-        value = v
-    else:
-        value = F.try_variant_get(v, "$", schema.simpleString())
+def _decoded(v: Column, ok: Column, schema: T.DataType) -> Column:
+    value = v if isinstance(schema, T.VariantType) else F.try_variant_get(v, "$", schema.simpleString())
     error = F.concat(F.lit(f"cannot decode as {schema.simpleString()}: "), as_string(v))
     return F.struct(F.when(ok, value).alias("value"), F.when(~ok, error).alias("error"))
+
+
+def decode(v: Column, schema: T.DataType) -> Column:
+    """Typed decode as STRUCT(value, error): exactly one of the two is set."""
+    return _decoded(v, conforms(v, schema), schema)
+
+
+def decode_as(df: DataFrame, v: Column, schema: T.DataType, name: str) -> DataFrame:
+    """``decode`` added as a column, in stages: the value and its check are computed once each."""
+    staged = once(df, _v=F.coalesce(v, json_null()))
+    staged = once(staged, _ok=conforms(F.col("_v"), schema))
+    return staged.withColumn(name, _decoded(F.col("_v"), F.col("_ok"), schema)).drop("_v", "_ok")

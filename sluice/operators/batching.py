@@ -126,9 +126,8 @@ def _assign(max_count: int, max_millis: int):
         while start < size:
             batch[start : ends[start]] = number
             start, number = ends[start], number + 1
-        out = block[~block["_halo"]].copy()
-        out["_batch"] = batch
-        return out
+        kept = [c for c in block.columns if c.startswith("_key")] + ["_order"]
+        return block.loc[~block["_halo"], kept].assign(_batch=batch)
 
     return assign
 

@@ -195,8 +195,7 @@ def infer(df: DataFrame, json_text: str) -> Node:
 
 def read_typed(df: DataFrame, json_text: str, schema: T.StructType, name: str = "record") -> DataFrame:
     """Add a strictly decoded STRUCT(value, error) of each JSON text under the given schema."""
-    root = codec.text_to_json(F.col(json_text))
-    return df.withColumn(name, codec.decode_record(root, schema))
+    return codec.decode_record(df, codec.text_to_json(F.col(json_text)), schema, name)
 
 
 def union_all(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluice import envelope
-from sluice.functions import codec, text as X
+from sluice.functions import codec, dynamic as D, text as X
+from sluice.functions.staging import once
 
 # Accessors for scripts, as SQL functions that the optimizer inlines. Paths are written ``content:a.b[0]``.
 SQL_FUNCTIONS = {
@@ -67,8 +69,11 @@ def flat_map_messages(df: DataFrame, script: str, name: str = "result") -> DataF
 
 
 def filter_messages(df: DataFrame, rule: str) -> DataFrame:
-    """Keep the messages for which the rule holds."""
-    return df.where(F.expr(_text(rule)))
+    """Keep the messages for which the rule holds; dynamic columns the rule names are computed once."""
+    dynamic = [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
+    named = [n for n in dynamic if re.search(rf"\b{re.escape(n)}\b", _text(rule))]
+    held = once(df, **{n: F.col(n) for n in named}) if named else df
+    return held.where(F.expr(rule))
 
 
 @dataclass
@@ -108,12 +113,11 @@ def log_lines(df: DataFrame, line, stream: str = "stdout") -> DataFrame:
 
 def messages_from_json(spark: SparkSession, texts: list[str]) -> DataFrame:
     """Envelopes from the JSON texts of a trial request; a text may be one message or an array of them."""
-    rows = spark.createDataFrame([(t,) for t in texts], "text string")
-    one = F.explode(F.coalesce(codec.parse_text(F.col("text")).try_cast("array<variant>"), F.array(codec.parse_text(F.col("text")))))
-    decoded = rows.select(F.to_json(one).alias("t")).select(envelope.from_json(F.col("t")).alias("m"))
-    checked = decoded.select(F.when(F.col("m.error").isNull(), F.col("m.value")).otherwise(
-        F.raise_error(F.col("m.error")).cast(decoded.schema["m"].dataType["value"].dataType)).alias("m"))
-    return checked.select("m.*")
+    parsed = spark.createDataFrame([(t,) for t in texts], "text string").select(codec.parse_text(F.col("text")).alias("v"))
+    one = parsed.select(F.explode(D.as_vector(F.col("v"))).alias("v"))
+    decoded = D.decode_as(one, F.col("v"), envelope.REQUIRED, "m")
+    failed = F.raise_error(F.col("m.error")).cast(envelope.SCHEMA)
+    return decoded.select(F.when(F.col("m.error").isNull(), F.col("m.value")).otherwise(failed).alias("m")).select("m.*")
 
 
 def try_script(spark: SparkSession, script: str, content: str, key: str = '""', **fields: Any) -> DataFrame:

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Texts that mean the same in both engines.
 KEY_JSON = """'{"id":"u' || user_id || '"}'"""
 CONTENT_JSON = (
-    """'{"event_id":' || event_id || ',"props":' || props || ',"type":"' || event_type"""
+    """'{"event_id":' || event_id || ',"props":' || replace(props, ': ', ':') || ',"type":"' || event_type"""
     """ || '","value_cents":' || cast(round(value * 100) as bigint) || '}'"""
 )
 

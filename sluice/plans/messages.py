@@ -186,7 +186,7 @@ WINDOW_COUNT = 12
 
 
 @query("T-1", sql=f"""WITH RECURSIVE {MESSAGES_SQL},
-ends AS (
+ends AS MATERIALIZED (
   SELECT m.topic, m.partition_id, m.msg_offset, least(m.msg_offset + {WINDOW_COUNT}, coalesce(n.msg_offset, 9223372036854775000)) AS next_start
   FROM messages m ASOF LEFT JOIN messages n
     ON m.topic = n.topic AND m.partition_id = n.partition_id AND m.timestamp_ms + {WINDOW_MILLIS} <= n.timestamp_ms),
@@ -232,7 +232,7 @@ def envelope_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     # every third envelope loses a field and must not decode
     broken = F.regexp_replace(text, '"partition":\\d+', '"part":0')
     lines = e.select("event_id", F.when(F.col("event_id") % 3 == 0, broken).otherwise(text).alias("line"))
-    read = lines.select("event_id", envelope.from_json(F.col("line")).alias("m"))
+    read = envelope.read_json(lines, "line", "m")
     back = read.select("event_id", F.col("m.error").isNull().alias("complete"), "m.value.*")
     json = F.when(F.col("complete"), envelope.to_json(back)).alias("json")
     return back.select("event_id", "complete", "topic", F.to_json("content").alias("content"), json)

@@ -10,8 +10,7 @@ from sluice.operators import datagen
 
 def messages(lines: DataFrame, text: str = "value") -> DataFrame:
     """Envelopes from JSON lines, with ``error`` set where a line is not a complete envelope."""
-    decoded = lines.select(envelope.from_json(F.col(text)).alias("m"))
-    return decoded.select("m.value.*", "m.error")
+    return envelope.read_json(lines, text, "m").select("m.value.*", "m.error")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
