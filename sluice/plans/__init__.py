@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from sluice.plans import messages, navigation  # noqa: F401
+from sluice.plans import messages, navigation, publishing, values  # noqa: F401
 from sluice.plans.catalog import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]
