@@ -135,11 +135,16 @@ def _header_map(text: Column, separator: str) -> Column:
     return F.map_from_entries(last)
 
 
+# Fixed value: POSTs of this client are not recorded.
+_IGNORED_AGENT = "AirControl Agent"
+
+
 def parse_log(line: Column, separator: str = ";", route_prefix: str = "/rest") -> Column:
     """An access-log line as STRUCT(kind, route, status, headers, body).
 
-    ``kind`` is ``GET``, ``POST``, ``RESPONSE``, ``IGNORED`` (a GET outside the route prefix) or
-    ``UNKNOWN``. ``separator`` is a regular expression that splits the header list.
+    ``kind`` is ``GET``, ``POST``, ``RESPONSE``, ``IGNORED`` (a GET outside the route prefix, or a POST
+    of the client that is not recorded) or ``UNKNOWN``. ``separator`` is a regular expression that
+    splits the header list.
     """
     is_get, is_post, is_response = line.rlike(_GET), line.rlike(_POST), line.rlike(_RESPONSE)
     route = F.when(is_get, F.regexp_extract(line, _GET, 1)).when(is_post, F.regexp_extract(line, _POST, 1))
@@ -151,9 +156,12 @@ def parse_log(line: Column, separator: str = ";", route_prefix: str = "/rest") -
     body = F.when(is_get, F.lit(None)).when(is_post, F.regexp_extract(line, _POST, 3)).when(
         is_response, F.regexp_extract(line, _RESPONSE, 3)
     )
+    header_values = _header_map(headers, separator)
+    agent = F.try_element_at(header_values, F.lit("User-Agent"))
     what = (
         F.when(is_get & route.startswith(route_prefix), "GET")
         .when(is_get, "IGNORED")
+        .when(is_post & F.coalesce(agent.startswith(_IGNORED_AGENT), F.lit(False)), "IGNORED")
         .when(is_post, "POST")
         .when(is_response, "RESPONSE")
         .otherwise("UNKNOWN")
@@ -162,6 +170,6 @@ def parse_log(line: Column, separator: str = ";", route_prefix: str = "/rest") -
         what.alias("kind"),
         route.alias("route"),
         F.when(~is_get & ~is_post & is_response, F.regexp_extract(line, _RESPONSE, 1).cast("int")).alias("status"),
-        _header_map(headers, separator).alias("headers"),
+        header_values.alias("headers"),
         body.alias("body"),
     )

@@ -65,7 +65,7 @@ def map_messages(df: DataFrame, script: str, name: str = "result") -> DataFrame:
 
 def flat_map_messages(df: DataFrame, script: str, name: str = "result") -> DataFrame:
     """One row per element of the script's array."""
-    return df.withColumn(name, F.explode(F.expr(_text(script))))
+    return df.withColumn("_items", F.expr(_text(script))).withColumn(name, F.explode("_items")).drop("_items")
 
 
 def filter_messages(df: DataFrame, rule: str) -> DataFrame:
