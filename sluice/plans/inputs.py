@@ -22,10 +22,9 @@ CONTENT_JSON = (
 )
 
 
-def messages(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
-    """Events as topic messages with JSON texts. Offsets cost a shuffle, so they are optional."""
-    events = table(spark, sf_dir, "events")
-    made = events.select(
+def as_messages(events: DataFrame) -> DataFrame:
+    """Events, from a table or a stream, as topic messages with JSON texts."""
+    return events.select(
         "event_id",
         F.concat(F.lit("events-"), "event_type").alias("topic"),
         F.expr(KEY_JSON).alias("key_json"),
@@ -34,6 +33,11 @@ def messages(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFra
         (F.col("user_id") % PARTITIONS).cast("int").alias("partition_id"),
         F.create_map(F.lit("source"), F.lit("events"), F.lit("user"), F.col("user_id").cast("string")).alias("headers"),
     )
+
+
+def messages(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
+    """All events as topic messages. Offsets cost a shuffle, so they are optional."""
+    made = as_messages(table(spark, sf_dir, "events"))
     return with_position(made, ["topic", "partition_id"], "event_id", "msg_offset") if offsets else made
 
 
@@ -45,9 +49,8 @@ MESSAGES_SQL = f"""messages AS (
   FROM events)"""
 
 
-def envelopes(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
-    """The same messages as envelopes; ``event_id`` stays as the arrival order."""
-    m = messages(spark, sf_dir, offsets)
+def as_envelopes(m: DataFrame, offset: str = "event_id") -> DataFrame:
+    """Messages as envelopes; ``event_id`` stays as the arrival order."""
     return m.select(
         "event_id",
         codec.text_to_json(F.col("content_json")).alias("content"),
@@ -55,11 +58,21 @@ def envelopes(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFr
         F.col("timestamp_ms").alias("timestamp"),
         "headers",
         "topic",
-        (F.col("msg_offset") if offsets else F.col("event_id")).alias("offset"),
+        F.col(offset).alias("offset"),
         F.col("partition_id").alias("partition"),
     )
 
 
+def envelopes(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
+    return as_envelopes(messages(spark, sf_dir, offsets), "msg_offset" if offsets else "event_id")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 # Parts as documents: a scalar of changing type, an object, and arrays of numbers, texts and objects.
 PART_DOC = """
   '{"brand":"' || p_brand || '","dims":[' || p_size || ',' || (p_size * 2) || ',' || (p_partkey % 5) || '],'

@@ -271,5 +271,5 @@ SELECT p_partkey, CAST(unnest(json_extract(doc, '$.dims[*]')) AS BIGINT) AS resu
 def scripted_flat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts.register_functions(spark)
     docs = part_documents(spark, sf_dir).select("p_partkey", codec.text_to_json(F.col("doc")).alias("content"))
-    made = scripts.flat_map_messages(docs, "transform(each(content:dims), d -> as_long(d, 0))")
-    return made.select("p_partkey", "result")
+    items = scripts.flat_map_messages(docs, "each(content:dims)", "item")
+    return scripts.map_messages(items, "as_long(item, 0)").select("p_partkey", "result")

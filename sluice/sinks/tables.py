@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from sluice.functions import dynamic as D
 
@@ -35,8 +36,6 @@ def insert_jdbc(rows: DataFrame, url: str | None, table: str, **options: str) ->
 
 
 def _counted(rows: DataFrame, write) -> int:
-    from pyspark.sql import Observation
-
     seen = Observation()
     write(rows.observe(seen, F.count(F.lit(1)).alias("n")))
     return int(seen.get["n"])
@@ -48,5 +47,11 @@ def write_epoch(rows: DataFrame, path: str, pipeline: str, epoch: int) -> None:
 
 
 def read_epochs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All epochs of all pipelines, with their ``pipeline`` and ``epoch``."""
-    return spark.read.schema(f"{schema}, pipeline string, epoch bigint").option("basePath", path).parquet(path)
+    """All epochs of all pipelines, with their ``pipeline`` and ``epoch``; empty before the first one."""
+    full = f"{schema}, pipeline string, epoch bigint"
+    try:
+        return spark.read.schema(full).option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)

@@ -88,24 +88,24 @@ class Pipeline:
         spark = batch.sparkSession
         routed = route(batch, self.routes).persist()
         try:
-            counts = routed.groupBy("topic", "handler").agg(F.count(F.lit(1)).alias("records")).collect()
+            # one row per configured handler, however many messages or topics there are
+            counts = {r["handler"]: r["n"] for r in routed.groupBy("handler").agg(F.count(F.lit(1)).alias("n")).collect()}
             if not counts:
                 return 0
             self.context.console = Console(self.name)
-            failures: dict[str | None, tuple[str, str]] = {None: ("compile", "")}
-            for handler in sorted({r["handler"] for r in counts if r["handler"] is not None}):
+            failures: dict[str, tuple[str, str]] = {}
+            for handler in sorted(h for h in counts if h is not None):
                 try:
                     self._run(handler, routed.where(F.col("handler") == handler).drop("route_error"), epoch)
                 except Exception as error:
                     failures[handler] = (error_kind(error), f"{type(error).__name__}: {error}")
                     self.context.console.err(f"{handler}: {type(error).__name__}")
-            self._dead_letters(routed, failures, epoch)
-            rows = [(r["topic"], r["handler"], r["records"], 1, r["handler"] in failures) for r in counts]
-            write_epoch(spark.createDataFrame(rows, STATS), self.tables.stats, self.name, epoch)
+            self._write_dead_letters(routed, failures, epoch)
+            self._write_stats(routed, failures, epoch)
             lines = [(s, n, t) for n, (s, t) in enumerate(self.context.console.lines)]
             if lines:
                 write_epoch(spark.createDataFrame(lines, LOGS), self.tables.logs, self.name, epoch)
-            return sum(r["records"] for r in counts)
+            return sum(counts.values())
         finally:
             routed.unpersist()
 
@@ -116,17 +116,19 @@ class Pipeline:
         if produced is not None:
             write_epoch(produced, f"{self.tables.output}/handler={name}", self.name, epoch)
 
-    def _dead_letters(self, routed: DataFrame, failures: dict[str | None, tuple[str, str]], epoch: int) -> None:
-        kind, text = F.lit(failures[None][0]), F.col("route_error")
-        for handler, (k, t) in failures.items():
-            if handler is not None:
-                kind = F.when(F.col("handler") == handler, k).otherwise(kind)
-                text = F.when(F.col("handler") == handler, t).otherwise(text)
-        failed = F.col("handler").isNull() | F.col("handler").isin([h for h in failures if h is not None])
-        rows = routed.where(failed).select(
-            "topic", "partition", "offset", "handler", kind.alias("error_kind"), text.alias("error")
-        )
-        write_epoch(rows, self.tables.dead_letters, self.name, epoch)
+    def _write_dead_letters(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
+        kind, text = F.when(F.col("handler").isNull(), "compile"), F.when(F.col("handler").isNull(), F.col("route_error"))
+        for handler, (failed_kind, failed_text) in failures.items():
+            kind = kind.when(F.col("handler") == handler, failed_kind)
+            text = text.when(F.col("handler") == handler, failed_text)
+        marked = routed.select("topic", "partition", "offset", "handler", kind.alias("error_kind"), text.alias("error"))
+        write_epoch(marked.where(F.col("error_kind").isNotNull()), self.tables.dead_letters, self.name, epoch)
+
+    def _write_stats(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
+        failed = F.col("handler").isNull() | F.col("handler").isin(*failures)
+        rows = routed.groupBy("topic", "handler").agg(F.count(F.lit(1)).alias("records"))
+        rows = rows.select("topic", "handler", "records", F.lit(1).cast("bigint").alias("batches"), failed.alias("failed"))
+        write_epoch(rows, self.tables.stats, self.name, epoch)
 
     def start(self, messages: DataFrame, trigger: Mapping[str, object]) -> StreamingQuery:
         """Start the stream. Offsets are committed after ``dispatch`` returns: at least once."""
