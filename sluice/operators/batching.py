@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.operators.ranking import BUCKET_WIDTH, with_position
+from sluice.operators.ranking import BUCKET_WIDTH, whole, with_position
 
 # Default size and age limit of a batch.
 MAX_COUNT = 1000
@@ -17,17 +17,17 @@ RUN_BLOCKS = 1 << 10
 
 
 def chunks(df: DataFrame, order: str, max_count: int = MAX_COUNT, name: str = "chunk",
-           width: int = BUCKET_WIDTH) -> DataFrame:
+           width: int = BUCKET_WIDTH, totals_from: DataFrame | None = None) -> DataFrame:
     """Cut the whole stream, in arrival order, into chunks of ``max_count`` records."""
-    placed = with_position(df, [], order, "_position", width)
-    return placed.withColumn(name, F.floor(F.col("_position") / max_count).cast("bigint")).drop("_position")
+    placed = with_position(df, [], order, "_position", width, totals_from=totals_from)
+    return placed.withColumn(name, whole(F.col("_position"), max_count)).drop("_position")
 
 
 def count_batches(df: DataFrame, keys: list[str], order: str, max_count: int = MAX_COUNT, name: str = "batch",
                   width: int = BUCKET_WIDTH) -> DataFrame:
     """Cut each key, in order, into batches of ``max_count`` records."""
     placed = with_position(df, keys, order, "_position", width)
-    return placed.withColumn(name, F.floor(F.col("_position") / max_count).cast("bigint")).drop("_position")
+    return placed.withColumn(name, whole(F.col("_position"), max_count)).drop("_position")
 
 
 def by_topic(df: DataFrame, message: Column, chunk: str = "chunk", topic: str = "topic") -> DataFrame:
@@ -164,12 +164,12 @@ def count_or_time_batches(df: DataFrame, keys: list[str], order: str, time: str,
     def ddl(*names: str) -> str:
         return ", ".join(f"{n} {types[n]}" for n in (*key_names, *names))
 
-    home = F.floor(F.col("_position") / block_rows).cast("bigint")
+    home = whole(F.col("_position"), block_rows)
     reaches_back = (F.col("_position") % block_rows < max_count) & (home > 0)
     blocks = slim.withColumn("_home", home)
     blocks = blocks.withColumn("_block", F.explode(F.when(reaches_back, F.array(home, home - 1)).otherwise(F.array(home))))
     blocks = blocks.withColumn("_halo", F.col("_block") != F.col("_home")).drop("_home")
-    blocks = blocks.withColumn("_run", F.floor(F.col("_block") / run_blocks).cast("bigint"))
+    blocks = blocks.withColumn("_run", whole(F.col("_block"), run_blocks))
 
     block_key, run_key = [*key_names, "_run", "_block"], [*key_names, "_run"]
     tables = blocks.groupBy(*block_key).applyInPandas(

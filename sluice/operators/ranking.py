@@ -10,50 +10,73 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_WIDTH = 1 << 18
+BUCKET_WIDTH = 1 << 14
+# Bucket totals are themselves summed up in buckets of this many, this many times.
+FANOUT = 1 << 16
+LEVELS = 1
 SALTS = 64
 
 
+def whole(value: Column, width: int) -> Column:
+    """Integer division."""
+    return F.call_function("div", value, F.lit(width))
+
+
 def _bucket(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    # never NULL, so that no join adds a null filter and all levels can share one exchange of totals
+    return F.coalesce(whole(F.col(order), width), F.lit(0).cast("bigint"))
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: str, name: str = "position",
-                  width: int = BUCKET_WIDTH) -> DataFrame:
-    """Add the 0-based position of each row within its key, by an integral order column.
+def with_sum_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str,
+                    width: int = BUCKET_WIDTH, levels: int = LEVELS, totals_from: DataFrame | None = None) -> DataFrame:
+    """Add the sum of ``value`` over the preceding rows of the same key; 0 for the first.
 
-    Rows are shuffled once, on (keys, bucket); with unique order values a bucket holds at most
-    ``width`` rows of a key. The bucket counts come from a separate narrow scan with partial
-    aggregation. Keys must not be NULL.
+    Rows are shuffled once, on (keys, bucket). Bucket totals come from a separate narrow scan with
+    partial aggregation; their own running sums are taken the same way, one level up. ``order`` is
+    integral and unique within a key, so a bucket holds at most ``width`` rows of a key. One level
+    suits dense numbers such as offsets; raise ``levels`` to 2 for sparse 64-bit ones. Keys must not
+    be NULL. When ``df`` is expensive, ``totals_from`` names a cheaper table of the same rows.
     """
-    keys = list(keys)
-    group = [*keys, "_bucket"]
-    rows = df.withColumn("_bucket", _bucket(order, width))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
-    ranked = rows.withColumn("_local", local).join(starts, group)
-    return ranked.withColumn(name, F.col("_start") + F.col("_local")).drop("_bucket", "_local", "_start")
+    keys, bucket, start = list(keys), f"_bucket{levels}", f"_start{levels}"
+    group = [*keys, bucket]
+    rows = df.withColumn(bucket, _bucket(order, width))
+    source = rows if totals_from is None else totals_from.withColumn(bucket, _bucket(order, width))
+    totals = source.groupBy(*group).agg(F.sum(value).alias("_total"))
+    if levels > 0:
+        starts = with_sum_before(totals, keys, bucket, F.col("_total"), start, FANOUT, levels - 1)
+    else:
+        before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.withColumn(start, F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    within = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    joined = local.join(starts.select(*group, start), group)
+    return joined.withColumn(name, F.col(start) + F.col("_local")).drop(bucket, start, "_local")
+
+
+def with_position(df: DataFrame, keys: Sequence[str], order: str, name: str = "position",
+                  width: int = BUCKET_WIDTH, levels: int = LEVELS, totals_from: DataFrame | None = None) -> DataFrame:
+    """Add the 0-based position of each row within its key, by a unique integral order column."""
+    return with_sum_before(df, keys, order, F.lit(1).cast("bigint"), name, width, levels, totals_from)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "previous",
-                  width: int = BUCKET_WIDTH) -> DataFrame:
+                  width: int = BUCKET_WIDTH, levels: int = LEVELS) -> DataFrame:
     """Add the value of the preceding row of the same key, NULL for the first.
 
     Within a bucket this is a plain lag; the first row of a bucket takes the last value of the key's
-    preceding bucket, carried over as one row per bucket.
+    preceding bucket, found the same way among one row per bucket.
     """
-    keys = list(keys)
-    group = [*keys, "_bucket"]
-    rows = df.withColumn("_bucket", _bucket(order, width))
-    boxed = F.struct(F.col(value).alias("v"))
-    last = rows.groupBy(*group).agg(F.max_by(boxed, order).alias("_last"))
-    carried = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))
-    carry = last.select(*group, carried.alias("_carry"))
-    local = F.lag(boxed).over(Window.partitionBy(*group).orderBy(order))
-    joined = rows.withColumn("_local", local).join(carry, group)
-    return joined.withColumn(name, F.coalesce("_local", "_carry")["v"]).drop("_bucket", "_local", "_carry")
+    keys, bucket, carry = list(keys), f"_bucket{levels}", f"_carry{levels}"
+    group = [*keys, bucket]
+    rows = df.withColumn(bucket, _bucket(order, width)).withColumn("_boxed", F.struct(F.col(value).alias("v")))
+    last = rows.groupBy(*group).agg(F.max_by("_boxed", order).alias("_last"))
+    if levels > 0:
+        carried = with_previous(last, keys, bucket, "_last", carry, FANOUT, levels - 1)
+    else:
+        carried = last.withColumn(carry, F.lag("_last").over(Window.partitionBy(*keys).orderBy(bucket)))
+    local = rows.withColumn("_local", F.lag("_boxed").over(Window.partitionBy(*group).orderBy(order)))
+    joined = local.join(carried.select(*group, carry), group)
+    return joined.withColumn(name, F.coalesce("_local", carry)["v"]).drop(bucket, carry, "_local", "_boxed")
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: str, name: str = "rank",

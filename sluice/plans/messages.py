@@ -89,7 +89,8 @@ chunked AS (SELECT *, CAST((row_number() OVER (ORDER BY event_id) - 1) // {CHUNK
 
 
 def _chunked(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
-    return batching.chunks(messages(spark, sf_dir, offsets), "event_id", CHUNK)
+    # chunk totals need the event ids only, not the offsets
+    return batching.chunks(messages(spark, sf_dir, offsets), "event_id", CHUNK, totals_from=messages(spark, sf_dir))
 
 
 @query("A-1", "X-13", "W-4", sql=f"""WITH {CHUNKS_SQL}
