@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sluice.functions import dynamic as D
 from sluice.functions.staging import once
@@ -111,18 +112,16 @@ def long_to_bytes(value: Column) -> Column:
 
 
 def _avro():
+    """Spark's Avro functions, if their module is loaded: they fail only when a plan is analysed."""
     from pyspark.sql.avro import functions as avro
 
-    return avro
-
-
-def _avro_guard(build):
     try:
-        return build()
-    except Exception as error:
-        if "AVRO_NOT_LOADED" in str(error) or "spark-avro" in str(error) or "not callable" in str(error):
-            raise AvroUnavailable("Avro needs the spark-avro module: start Spark with --packages org.apache.spark:spark-avro") from error
-        raise
+        SparkSession.active().range(0).select(avro.from_avro(F.lit(b""), '"string"'))
+    except AnalysisException as error:
+        raise AvroUnavailable(
+            "Avro needs the spark-avro module: start Spark with --packages org.apache.spark:spark-avro"
+        ) from error
+    return avro
 
 
 def deserialise(data: Column, wire: str, avro_schema: str | None = None) -> Column:
@@ -138,7 +137,7 @@ def deserialise(data: Column, wire: str, avro_schema: str | None = None) -> Colu
         return to_json_value(data, T.BinaryType())
     if avro_schema is None:
         raise ValueError("the avro wire type needs the writer schema")
-    return _avro_guard(lambda: F.to_variant_object(_avro().from_avro(data, avro_schema, {"mode": "PERMISSIVE"})))
+    return F.to_variant_object(_avro().from_avro(data, avro_schema, {"mode": "PERMISSIVE"}))
 
 
 def serialise(v: Column, wire: str, avro_schema: str | None = None, row: Column | None = None) -> Column:
@@ -156,7 +155,7 @@ def serialise(v: Column, wire: str, avro_schema: str | None = None, row: Column
         return F.when(value.isNotNull(), value).otherwise(F.raise_error(message).cast("bigint"))
     if row is None:
         raise ValueError("the avro wire type serialises a typed struct column: pass row=")
-    return _avro_guard(lambda: _avro().to_avro(row, avro_schema or ""))
+    return _avro().to_avro(row, avro_schema or "")
 
 
 def record_to_json(data: Column, wire: str, *, topic: Column, partition: Column, offset: Column, key: Column,

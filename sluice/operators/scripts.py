@@ -71,7 +71,8 @@ def flat_map_messages(df: DataFrame, script: str, name: str = "result") -> DataF
 def filter_messages(df: DataFrame, rule: str) -> DataFrame:
     """Keep the messages for which the rule holds; dynamic columns the rule names are computed once."""
     dynamic = [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
-    named = [n for n in dynamic if re.search(rf"\b{re.escape(n)}\b", _text(rule))]
+    rule = _text(rule)
+    named = [n for n in dynamic if re.search(rf"\b{re.escape(n)}\b", rule)]
     held = once(df, **{n: F.col(n) for n in named}) if named else df
     return held.where(F.expr(rule))
 
