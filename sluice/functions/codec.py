@@ -49,6 +49,17 @@ def parse_text(text: Column) -> Column:
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 
+def parse_item(text: Column) -> Column:
+    """``parse_text`` for use inside lambdas, where common subexpressions are not shared."""
+    mark = F.xxhash64(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+
+    def whole(p: Column) -> Column:
+        return (F.try_variant_get(p, "$[1]", "bigint") == mark) & F.try_variant_get(p, "$[2]", "variant").isNull()
+
+    return F.get(F.transform(F.filter(F.array(pair), whole), lambda p: F.try_variant_get(p, "$[0]", "variant")), 0)
+
+
 def utf8(data: Column) -> Column:
     """Bytes as text; malformed sequences become U+FFFD."""
     return F.make_valid_utf8(data.cast("string"))

@@ -172,14 +172,15 @@ def deep_merge(left: Column, right: Column, depth: int = 8) -> Column:
     return F.when(both, merged).otherwise(right)
 
 
+def _field_conforms(value: Column, f: T.StructField) -> Column:
+    ok = conforms(value, f.dataType)
+    return F.when(is_null(value), F.lit(True)).otherwise(ok) if f.nullable else ok
+
+
 def conforms(v: Column, dtype: T.DataType) -> Column:
     """True when the value decodes strictly as ``dtype`` (no coercion, non-nullable fields present)."""
     if isinstance(dtype, T.StructType):
-        checks = []
-        for f in dtype.fields:
-            value = select(v, f.name)
-            ok = conforms(value, f.dataType)
-            checks.append(F.when(is_null(value), F.lit(True)).otherwise(ok) if f.nullable else ok)
+        checks = [_field_conforms(select(v, f.name), f) for f in dtype.fields]
         return reduce(lambda a, b: a & b, checks, is_object(v))
     if isinstance(dtype, T.ArrayType):
         return is_array(v) & F.coalesce(F.forall(as_array(v), lambda x: conforms(x, dtype.elementType)), F.lit(False))
@@ -199,19 +200,29 @@ def conforms(v: Column, dtype: T.DataType) -> Column:
     raise TypeError(f"no JSON decoder for {dtype.simpleString()}")
 
 
-def _decoded(v: Column, ok: Column, schema: T.DataType) -> Column:
-    value = v if isinstance(schema, T.VariantType) else F.try_variant_get(v, "$", schema.simpleString())
+def _value(v: Column, dtype: T.DataType) -> Column:
+    return v if isinstance(dtype, T.VariantType) else F.try_variant_get(v, "$", dtype.simpleString())
+
+
+def _result(value: Column, ok: Column, v: Column, schema: T.DataType) -> Column:
     error = F.concat(F.lit(f"cannot decode as {schema.simpleString()}: "), as_string(v))
     return F.struct(F.when(ok, value).alias("value"), F.when(~ok, error).alias("error"))
 
 
 def decode(v: Column, schema: T.DataType) -> Column:
     """Typed decode as STRUCT(value, error): exactly one of the two is set."""
-    return _decoded(v, conforms(v, schema), schema)
+    return _result(_value(v, schema), conforms(v, schema), v, schema)
 
 
 def decode_as(df: DataFrame, v: Column, schema: T.DataType, name: str) -> DataFrame:
-    """``decode`` added as a column, in stages: the value and its check are computed once each."""
+    """``decode`` added as a column, in stages: the value, its fields and its check are computed once each."""
     staged = once(df, _v=F.coalesce(v, json_null()))
-    staged = once(staged, _ok=conforms(F.col("_v"), schema))
-    return staged.withColumn(name, _decoded(F.col("_v"), F.col("_ok"), schema)).drop("_v", "_ok")
+    if not isinstance(schema, T.StructType):
+        staged = once(staged, _ok=conforms(F.col("_v"), schema))
+        return staged.withColumn(name, _result(_value(F.col("_v"), schema), F.col("_ok"), F.col("_v"), schema)).drop("_v", "_ok")
+    parts = {f"_f{i}": f for i, f in enumerate(schema.fields)}
+    staged = once(staged, **{c: select(F.col("_v"), f.name) for c, f in parts.items()})
+    checks = [_field_conforms(F.col(c), f) for c, f in parts.items()]
+    staged = once(staged, _ok=reduce(lambda a, b: a & b, checks, is_object(F.col("_v"))))
+    value = F.struct(*[_value(F.col(c), f.dataType).alias(f.name) for c, f in parts.items()])
+    return staged.withColumn(name, _result(value, F.col("_ok"), F.col("_v"), schema)).drop("_v", "_ok", *parts)

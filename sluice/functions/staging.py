@@ -13,8 +13,10 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     keeps them; filters on other columns still move down to the scan. The values are computed even
     when nothing reads them, so use this only for columns that are read.
     """
-    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     others = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     names = [*df.columns, *(n for n in columns if n not in df.columns)]
-    staged = df.select(*others, held.alias("_held"))
+    # a projection shares common subexpressions, a generator does not: compute first, then hold
+    made = df.select(*others, *[c.alias(f"_new_{n}") for n, c in columns.items()])
+    held = F.explode(F.array(F.struct(*[F.col(f"`_new_{n}`").alias(n) for n in columns])))
+    staged = made.select(*others, held.alias("_held"))
     return staged.select(*[F.col("_held")[n].alias(n) if n in columns else F.col(f"`{n}`") for n in names])

@@ -124,7 +124,7 @@ class _Values:
             return float(s)
         if kind == "boolean":
             return (abs(s) % 7) % 2 == 0
-        return {"long": s, "int": low_int, "fixed": low_int, "bytes": [low_int], "string": _base36(s & S.LONG_MAX)}[kind]
+        return {"long": s, "int": low_int, "fixed": low_int, "bytes": [low_int], "string": f"{s & S.MASK64:x}"}[kind]
 
     def null(self) -> None:
         return None
@@ -147,17 +147,9 @@ def _signed(value: int, bits: int) -> int:
     return value - (1 << bits) if value >> (bits - 1) else value
 
 
-def _base36(value: int) -> str:
-    digits = ""
-    while value or not digits:
-        value, rest = divmod(value, 36)
-        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[rest] + digits
-    return digits
-
-
 def seed_text(seed: Column) -> Column:
-    """String leaf: the low 63 bits of the seed in base 36."""
-    return F.lower(F.conv(seed.bitwiseAND(F.lit(S.LONG_MAX)).cast("string"), 10, 36))
+    """String leaf: the seed as hexadecimal digits."""
+    return F.lower(F.hex(seed))
 
 
 def _build(schema: Any, draw: int, out: Any, names: dict[str, Any], depth: int = 0) -> tuple[int, Any]:

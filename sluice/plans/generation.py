@@ -135,7 +135,7 @@ def _low_int(s: str) -> str:
 
 
 def _text(s: str) -> str:
-    return f"lower(to_base({s} & 9223372036854775807, 36))"
+    return f"lower(to_hex({s}))"
 
 
 _DAYS = "['MONDAY', 'TUESDAY', 'WEDNESDAY', 'THURSDAY', 'FRIDAY', 'SATURDAY', 'SUNDAY']"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.functions import codec, dynamic as D, http as H
+from sluice.functions.staging import once
 from sluice.operators import publish, stats
 from sluice.plans.catalog import query
 from sluice.plans.inputs import MESSAGES_SQL, envelopes, table
@@ -82,8 +83,8 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = D.deep_merge(v, F.to_variant_object(F.struct(i.alias("n"))), 1)
         return H.with_header(H.with_body(H.post(url), body), "X-Topic", F.col("topic"))
 
-    held = e.withColumn("n_requests", k % 3)
-    return held.withColumn("requests", H.requests_for(F.col("content"), F.col("n_requests"), build))
+    counted = once(e, content=F.col("content")).withColumn("n_requests", k % 3)
+    return once(counted, requests=H.requests_for(F.col("content"), F.col("n_requests"), build))
 
 
 REQUESTS_SQL = MESSAGES_SQL + f""",
@@ -170,7 +171,7 @@ def _with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with the results their requests would get, as one array per message."""
     response = F.struct(_status(F.col("event_id")).alias("statusCode"), F.col("topic").alias("body"))
     results = F.transform("requests", lambda r: F.struct(r.alias("request"), response.alias("response")))
-    return _requests(spark, sf_dir).select("event_id", "topic", results.alias("results"))
+    return once(_requests(spark, sf_dir).select("event_id", "topic", "requests"), results=results).drop("requests")
 
 
 @query("A-4", sql=f"""WITH {REQUESTS_SQL}, answered AS (

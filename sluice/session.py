@@ -9,10 +9,13 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-# Runtime settings the JSON semantics rely on: a repeated object key or header keeps its last value.
 RUNTIME_CONF = {
+    # a repeated object key or header keeps its last value
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # the JVM never compiles a method above 8000 bytes; wide JSON projections would run interpreted,
+    # so let Spark split them into smaller methods instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
