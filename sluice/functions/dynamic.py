@@ -87,11 +87,7 @@ def is_number(v: Column) -> Column:
 
 def as_string(v: Column) -> Column:
     """The string itself, or compact JSON text of anything else."""
-    return (
-        F.when(v.isNull(), F.lit("null"))
-        .when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
-        .otherwise(F.to_json(v))
-    )
+    return F.coalesce(v.cast("string"), F.lit("null"))
 
 
 def _integral(v: Column, sql_type: str) -> Column:

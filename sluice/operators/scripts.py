@@ -16,12 +16,7 @@ from sluice.functions.staging import once
 
 # Accessors for scripts, as SQL functions that the optimizer inlines. Paths are written ``content:a.b[0]``.
 SQL_FUNCTIONS = {
-    "as_text": (
-        "v VARIANT",
-        "STRING",
-        "CASE WHEN v IS NULL THEN 'null' WHEN schema_of_variant(v) = 'STRING' "
-        "THEN try_variant_get(v, '$', 'string') ELSE to_json(v) END",
-    ),
+    "as_text": ("v VARIANT", "STRING", "coalesce(CAST(v AS STRING), 'null')"),
     "as_long": (
         "v VARIANT, otherwise BIGINT",
         "BIGINT",
