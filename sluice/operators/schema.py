@@ -12,6 +12,7 @@ from sluice.functions import codec, dynamic as D
 # An array's items have no name; in a path they are the NULL step.
 ITEM = None
 PATH = "array<string>"
+MAX_PATHS = 100_000
 
 # The types a JSON value is given.
 JSON_TYPES = ("NULL", "BOOLEAN", "INT", "LONG", "DOUBLE", "STRING", "ARRAY", "RECORD")
@@ -96,10 +97,17 @@ class Node:
         return sum(self.types.values())
 
 
-def fold(collected: DataFrame) -> Node:
-    """Merged schema from a ``path_types`` table; only the distinct paths reach the driver."""
+def fold(collected: DataFrame, max_paths: int = MAX_PATHS) -> Node:
+    """Merged schema from a ``path_types`` table; only the distinct paths reach the driver.
+
+    Objects used as maps, with data for keys, have no useful schema: too many paths are an error. The
+    ``path_types`` table itself has no limit.
+    """
     root = Node()
-    for row in collected.select("path", "type", "n").toLocalIterator():
+    rows = collected.select("path", "type", "n").limit(max_paths + 1).collect()
+    if len(rows) > max_paths:
+        raise ValueError(f"more than {max_paths} different paths: the objects' keys seem to be data")
+    for row in rows:
         node = root
         for step in row["path"]:
             node = node.child(step)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.functions import codec
 from sluice.operators.ranking import with_position
+from sluice.sources import topics
 
 PARTITIONS = 4
 
@@ -68,9 +69,9 @@ def envelopes(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFr
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
+    """The events table as a stream of files, a few per micro-batch."""
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return topics.file_stream(spark, sf_dir, 8, "events.parquet", schema)
 
 
 # Parts as documents: a scalar of changing type, an object, and arrays of numbers, texts and objects.

@@ -376,3 +376,10 @@ def test_dynamic_columns_in_rules_are_parsed_once(spark, capsys):
     kept = scripts.filter_messages(frame, "as_long(content:a, 0) = 1 or as_long(content:b, 0) = 1")
     kept.select(D.as_int(D.select(F.col("content"), "a"))).explain()
     assert capsys.readouterr().out.count("try_parse") <= 6
+
+
+def test_objects_used_as_maps_have_no_schema(spark):
+    found = schema.path_types(texts(spark, {str(i): 1 for i in range(20)}), "t")
+    assert found.count() == 21
+    with pytest.raises(ValueError, match="keys seem to be data"):
+        schema.fold(found, max_paths=20)
