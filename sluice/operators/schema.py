@@ -18,13 +18,15 @@ MAX_PATHS = 100_000
 JSON_TYPES = ("NULL", "BOOLEAN", "INT", "LONG", "DOUBLE", "STRING", "ARRAY", "RECORD")
 
 
-def json_type(v: Column) -> Column:
+def json_type(v: Column, kind: Column | None = None) -> Column:
     """Type of a JSON value; integral numbers are INT if they fit 32 bits, LONG if 64, else DOUBLE."""
-    k = D.kind(v)
+    k = D.kind(v) if kind is None else kind
+    small = F.try_variant_get(v, "$", "int").isNotNull()
     return (
         F.when(k.startswith("OBJECT"), "RECORD")
         .when(k.startswith("ARRAY"), "ARRAY")
         .when(k == "STRING", "STRING")
+        .when(k == "BIGINT", F.when(small, "INT").otherwise("LONG"))
         .when(k == "BOOLEAN", "BOOLEAN")
         .when(k == "VOID", "NULL")
         .when(D.as_int_opt(v).isNotNull(), "INT")
@@ -39,7 +41,7 @@ def max_depth(df: DataFrame, json_text: str) -> int:
 
 
 def paths(df: DataFrame, v: Column, depth: int) -> DataFrame:
-    """One row per JSON value: ``path`` (field names, NULL for array items), ``type``, and ``size`` of an object or array.
+    """One row per JSON value: ``path`` (field names, NULL for array items) and ``type``.
 
     Every level is one Generate in the same stage: a finished value passes through, an open one emits
     itself and its children. ``depth`` is the deepest nesting in the data, from ``max_depth``.
@@ -59,13 +61,14 @@ def paths(df: DataFrame, v: Column, depth: int) -> DataFrame:
         entries = F.map_entries(D.as_map(node["v"]))
         from_object = F.transform(entries, lambda e: child(node, e["key"], e["value"]))
         from_array = F.transform(D.as_array(node["v"]), lambda x: child(node, F.lit(ITEM).cast("string"), x))
-        children = F.coalesce(from_object, from_array)
+        # a generator computes what it mentions twice twice, so the children are projected first
+        open_ = level.withColumn("children", F.when(~node["done"], F.coalesce(from_object, from_array)))
         itself = F.array(F.struct(node["path"].alias("path"), node["v"].alias("v"), F.lit(True).alias("done")))
-        opened = F.when(node["done"] | children.isNull(), itself).otherwise(F.concat(itself, children))
-        level = level.select(F.explode(opened).alias("node"))
+        rest = F.coalesce("children", F.array().cast(level.select(F.array("node")).schema[0].dataType))
+        level = open_.select(F.explode(F.concat(itself, rest)).alias("node"))
     v_out = F.col("node")["v"]
-    size = F.coalesce(F.size(F.map_keys(D.as_map(v_out))), F.size(D.as_array(v_out)))
-    return level.select(F.col("node")["path"].alias("path"), json_type(v_out).alias("type"), size.alias("size"))
+    flat = level.select(F.col("node")["path"].alias("path"), v_out.alias("v"), D.kind(v_out).alias("kind"))
+    return flat.select("path", json_type(F.col("v"), F.col("kind")).alias("type"))
 
 
 def path_types(df: DataFrame, json_text: str, depth: int | None = None) -> DataFrame:

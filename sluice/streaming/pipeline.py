@@ -8,9 +8,11 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sluice.operators import stats
+from sluice.operators.ranking import newest
 from sluice.operators.routing import Route, route
 from sluice.operators.scripts import Console, Context, Handler
 from sluice.session import shared_dir
@@ -39,6 +41,7 @@ def error_kind(error: BaseException) -> str:
 DEAD_LETTERS = "topic string, partition int, offset bigint, handler string, error_kind string, error string"
 STATS = "topic string, handler string, records bigint, batches bigint, failed boolean"
 LOGS = "stream string, seq int, line string"
+RECENT = "kind string, topic string, partition int, offset bigint, key string, message string, value string, timestamp bigint"
 
 
 @dataclass
@@ -59,6 +62,10 @@ class Tables:
     def stats(self) -> str:
         return f"{self.base}/stats"
 
+    @property
+    def recent(self) -> str:
+        return f"{self.base}/recent"
+
     @property
     def logs(self) -> str:
         return f"{self.base}/logs"
@@ -68,6 +75,17 @@ class Tables:
         return f"{self.base}/checkpoint"
 
 
+def _failed(failures: Mapping[str, object]) -> Column:
+    return F.col("handler").isNull() | F.col("handler").isin(*failures)
+
+
+def _newest_kinds(summary: DataFrame) -> DataFrame:
+    """Of each kind the newest: more records than errors are kept."""
+    order = [F.desc("timestamp"), F.desc("offset"), F.asc("topic"), F.asc("partition")]
+    kept = newest(summary, ["kind"], order, stats.RECENT_RECORDS, "offset", "recency")
+    return kept.where((F.col("kind") == "record") | (F.col("recency") <= stats.ERRORS)).drop("recency")
+
+
 @dataclass
 class Pipeline:
     """Routes, handlers and tables of one pipeline."""
@@ -102,6 +120,7 @@ class Pipeline:
                     self.context.console.err(f"{handler}: {type(error).__name__}")
             self._write_dead_letters(routed, failures, epoch)
             self._write_stats(routed, failures, epoch)
+            self._write_recent(routed, failures, epoch)
             lines = [(s, n, t) for n, (s, t) in enumerate(self.context.console.lines)]
             if lines:
                 write_epoch(spark.createDataFrame(lines, LOGS), self.tables.logs, self.name, epoch)
@@ -124,8 +143,18 @@ class Pipeline:
         marked = routed.select("topic", "partition", "offset", "handler", kind.alias("error_kind"), text.alias("error"))
         write_epoch(marked.where(F.col("error_kind").isNotNull()), self.tables.dead_letters, self.name, epoch)
 
+    def _write_recent(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
+        """The epoch's newest records and newest failed records; older ones cannot be among the newest overall."""
+        kinds = F.array_compact(F.array(F.lit("record"), F.when(_failed(failures), "error")))
+        summary = routed.withColumn("kind", F.explode(kinds)).select(
+            "kind", "topic", "partition", "offset", stats.coords(F.col("topic"), F.col("offset"), F.col("partition"), F.col("key"))["key"].alias("key"),
+            stats.batch_message(F.col("topic"), F.col("partition"), F.col("offset")).alias("message"),
+            F.to_json("content").alias("value"), "timestamp",
+        )
+        write_epoch(_newest_kinds(summary), self.tables.recent, self.name, epoch)
+
     def _write_stats(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
-        failed = F.col("handler").isNull() | F.col("handler").isin(*failures)
+        failed = _failed(failures)
         rows = routed.groupBy("topic", "handler").agg(F.count(F.lit(1)).alias("records"))
         rows = rows.select("topic", "handler", "records", F.lit(1).cast("bigint").alias("batches"), failed.alias("failed"))
         write_epoch(rows, self.tables.stats, self.name, epoch)
@@ -154,6 +183,14 @@ class Pipeline:
             F.sum(F.when(F.col("failed"), F.col("batches")).otherwise(0)).alias("failed_batches"),
         )
 
+    def recent_records(self, spark: SparkSession) -> DataFrame:
+        """The newest records of all topics."""
+        return _newest_kinds(read_epochs(spark, self.tables.recent, RECENT)).where(F.col("kind") == "record").drop("kind")
+
+    def recent_errors(self, spark: SparkSession) -> DataFrame:
+        """The newest failed records of all topics."""
+        return _newest_kinds(read_epochs(spark, self.tables.recent, RECENT)).where(F.col("kind") == "error").drop("kind")
+
     def console(self, spark: SparkSession) -> DataFrame:
         """Handler output, newest first."""
         return read_epochs(spark, self.tables.logs, LOGS).orderBy(F.desc("epoch"), F.desc("seq"))
@@ -175,6 +212,7 @@ class Manager:
         self.spark = spark
         self.base = base or shared_dir(spark, "pipelines")
         self._running: dict[str, Running] = {}
+        self._known: dict[str, Pipeline] = {}
 
     def start(self, messages: DataFrame, routes: list[Route], handlers: Mapping[str, Handler], *,
               trigger: Mapping[str, object] | None = None, config: str = "", context: Context | None = None,
@@ -185,6 +223,7 @@ class Manager:
             raise ValueError(f"pipeline {id_} is already running")
         pipeline = Pipeline(id_, routes, handlers, Tables(f"{self.base}/{id_}"), context or Context())
         query = pipeline.start(messages, trigger or {"processingTime": "10 seconds"})
+        self._known[id_] = pipeline
         self._running[id_] = Running(id_, config, time.time_ns(), pipeline, query)
         return id_
 
@@ -201,8 +240,8 @@ class Manager:
         return sorted(self._running.values(), key=lambda r: r.started_at)
 
     def pipeline(self, id_: str) -> Pipeline | None:
-        found = self._running.get(id_)
-        return found.pipeline if found else None
+        """A pipeline this manager has started, also after it was stopped."""
+        return self._known.get(id_)
 
     def stats(self, id_: str) -> DataFrame | None:
         """Statistics of a pipeline, None if it is not known."""

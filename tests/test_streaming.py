@@ -64,6 +64,11 @@ def test_stream_equals_table(spark, record_dir):
     assert totals["bad"]["failed_batches"] == totals["bad"]["total_batches"] and totals["good-a"]["failed_batches"] == 0
     epochs = p.dead_letters(spark).select("epoch").distinct().count()
     assert epochs == 3
+    newest = p.recent_records(spark).select("offset").collect()
+    assert sorted(r["offset"] for r in newest) == list(range(60))
+    errors = p.recent_errors(spark).select("offset", "message", "key", "value").collect()
+    assert sorted(r["offset"] for r in errors) == [i for i in range(60) if i % 4 > 1][-20:]
+    assert ("bad 0:58", '{"id":58}', '{"n":58}') in [(r["message"], r["key"], r["value"]) for r in errors]
     lines = p.console(spark).select("stream", "line").collect()
     assert lines.count(("stdout", "good")) == 3 and lines.count(("stderr", "bad: RestError")) == 3
 
@@ -121,7 +126,7 @@ def test_pipeline_lifecycle(spark, record_dir):
         assert [r.id for r in manager.running()] == [second]
     finally:
         manager.stop(first), manager.stop(second)
-    assert manager.running() == [] and manager.stats(second) is None
+    assert manager.running() == [] and manager.stats(first) is not None and manager.stats("unknown") is None
 
 
 @pytest.mark.parametrize("offset", ["earliest", "latest"])
