@@ -23,7 +23,7 @@ HEADLINE = (
     "routed_topic_totals",
     "route_lookup",
     "subscribed_topics",
-    "pipeline_totals",
+    "record_totals",
     "recent_records",
     "topic_batches",
     "batch_outcome_totals",

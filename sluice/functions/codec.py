@@ -37,27 +37,27 @@ def wire_type(name: str, namespace: str = "gen") -> str:
     return f"avro:{namespace}" if found == "avro" else found
 
 
+def _marked(text: Column) -> tuple[Column, Column]:
+    """The text as the first of two array elements, and the second: the text's own hash."""
+    mark = F.xxhash64(text)
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]"))), mark
+
+
 def parse_text(text: Column) -> Column:
     """Parse a whole text as one JSON value; NULL when it is not one.
 
-    ``try_parse_json`` stops after the first value and ignores what follows. Parsing the text as the
-    first of two array elements, the second being the text's own hash, rejects trailing content.
+    ``try_parse_json`` stops after the first value and ignores what follows. With trailing content the
+    second array element is not the hash, or the array ends early.
     """
-    mark = F.xxhash64(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    whole = (F.try_variant_get(pair, "$[1]", "bigint") == mark) & F.try_variant_get(pair, "$[2]", "variant").isNull()
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+    pair, mark = _marked(text)
+    return F.when(F.try_variant_get(pair, "$[1]", "bigint") == mark, F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def parse_item(text: Column) -> Column:
     """``parse_text`` for use inside lambdas, where common subexpressions are not shared."""
-    mark = F.xxhash64(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-
-    def whole(p: Column) -> Column:
-        return (F.try_variant_get(p, "$[1]", "bigint") == mark) & F.try_variant_get(p, "$[2]", "variant").isNull()
-
-    return F.get(F.transform(F.filter(F.array(pair), whole), lambda p: F.try_variant_get(p, "$[0]", "variant")), 0)
+    pair, mark = _marked(text)
+    whole = F.filter(F.array(pair), lambda p: F.try_variant_get(p, "$[1]", "bigint") == mark)
+    return F.get(F.transform(whole, lambda p: F.try_variant_get(p, "$[0]", "variant")), 0)
 
 
 def utf8(data: Column) -> Column:

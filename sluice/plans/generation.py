@@ -11,6 +11,7 @@ from sluice.operators import datagen
 from sluice.plans.catalog import query
 from sluice.plans.inputs import REGISTRY_SQL, registry, table
 
+# Fixed value: a schema whose samples for seeds 123 and 456 are known.
 EXAMPLE = json.dumps(
     [
         {

@@ -104,7 +104,7 @@ def topic_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("A-2", "A-8", sql=WITH + "SELECT topic AS pipeline, count(*) AS total_records FROM messages GROUP BY topic")
-def pipeline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def record_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.totals(messages(spark, sf_dir).select(F.col("topic").alias("pipeline")))
 
 

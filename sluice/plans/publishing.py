@@ -14,7 +14,7 @@ from sluice.sinks import http as http_sink, topics as topic_sink
 # One template per customer; segments decide on tombstones, repeats and overrides.
 TEMPLATES = {
     "data": """CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'null' ELSE '{"data":"value-{{i}}","id":' || c_custkey || '}' END""",
-    "config": "'app.franz.consumer.groupId=g{{i}}'",
+    "config": "'consumer.groupId=g{{i}}'",
     "key": """CASE WHEN c_custkey % 2 = 0 THEN '"record-{{i}}"' ELSE '{"id":"{{i}}"}' END""",
     "repeat": "cast(c_custkey % 4 as int)",
     "partition": "CASE WHEN c_custkey % 3 = 0 THEN cast(c_custkey % 2 as int) END",

@@ -146,3 +146,15 @@ def _lines(batch: DataFrame, context: Context) -> DataFrame:
 SELECT 'stdout' AS stream, topic, event_id AS "offset", partition_id AS "partition", 'publishing ' || content_json || ' to ' || topic AS line FROM messages""")
 def handler_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(envelopes(spark, sf_dir), Context())
+
+
+@query("A-2", "A-3", "W-2", sql=WITH + """
+SELECT kind, topic, event_id AS "offset", topic || ' ' || partition_id || ':' || event_id AS message, key_json AS "key", content_json AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY timestamp_ms DESC, event_id DESC) AS r FROM (
+    SELECT 'record' AS kind, * FROM messages UNION ALL SELECT 'error', * FROM messages WHERE topic NOT IN ('events-click', 'events-view')))
+WHERE r <= CASE kind WHEN 'record' THEN 100 ELSE 20 END""")
+def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pipeline = _run(spark, sf_dir)
+    records = pipeline.recent_records(spark).withColumn("kind", F.lit("record"))
+    errors = pipeline.recent_errors(spark).withColumn("kind", F.lit("error"))
+    return records.unionByName(errors).select("kind", "topic", "offset", "message", "key", "value")

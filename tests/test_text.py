@@ -89,10 +89,10 @@ def test_unknown_method():
 
 
 LINE = (
-    'HTTP/1.1 POST /rest/store/fool.sc Headers(Host: localhost:8080, Connection: keep-alive, User-Agent: Mozilla/5.0 (Macintosh; '
-    'Intel Mac OS X 10_15_7), Accept: */*, Cookie: <REDACTED>) body="{}"'
+    'HTTP/1.1 POST /rest/store/fool.sc Headers(Host: localhost:8080, User-Agent: Browser/1.0 (Test; x), Accept: */*, '
+    'Cookie: <REDACTED>) body="{}"'
 )
-BODY = 'val url = s"$StoreURL/${record.topic}"\nval request = HttpRequest.post(url)\nList(request)'
+BODY = 'first "quoted" line\nsecond (line)\n\nlast'
 
 
 @pytest.mark.parametrize(
