@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import exact, language, packing, private
+from sluice.llm import exact, language, packing, private, similar
 from sluice.llm.queries import WORD_TOKENIZER, ready
 from sluice.llm.shared import staged
 
@@ -29,8 +29,6 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of the n-gram join connect."""
     ready(spark)
-    from sluice.llm import similar
-
     return similar.without_near_copies(docs)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import exact, language, licenses, packing, pages, private, quality, sharding
+from sluice.llm import exact, language, licenses, packing, pages, private, quality, sharding, similar
 from sluice.llm.shared import documents, numbered
 from sluice.session import configure
 
@@ -20,6 +20,10 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.linked(documents(ready(spark), sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = numbered(documents(ready(spark), sf_dir).select("doc_id", "text"), "radix-input")
     return exact.exact_groups(table).drop("_rid")
@@ -57,6 +61,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_exact_dedup, op4_license_scan, op5_language_id, op6_packing, op7_private_data, op8_sharding,
+    op2_ngram_jaccard, op3_exact_dedup, op4_license_scan, op5_language_id, op6_packing, op7_private_data, op8_sharding,
     op9_html_extraction, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
