@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import exact, language, licenses, packing, pages, private, quality, sharding, similar
+from sluice.llm import bpe, exact, language, licenses, packing, pages, private, quality, sharding, similar
 from sluice.llm.shared import documents, numbered
 from sluice.session import configure
 
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # Documents per Arrow batch: texts are read whole, so a batch must stay small.
 BATCH_ROWS = "512"
@@ -20,6 +21,10 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(documents(ready(spark), sf_dir), BYTE_RANKS)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.linked(documents(ready(spark), sf_dir))
 
@@ -61,6 +66,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard, op3_exact_dedup, op4_license_scan, op5_language_id, op6_packing, op7_private_data, op8_sharding,
+    op1_byte_bpe, op2_ngram_jaccard, op3_exact_dedup, op4_license_scan, op5_language_id, op6_packing, op7_private_data, op8_sharding,
     op9_html_extraction, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
