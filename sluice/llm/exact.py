@@ -36,7 +36,8 @@ def exact_groups(rows: DataFrame, text_column: str = "text", id_column: str = "d
         run = active.withColumn("_run", F.substring("_rest", 1, width))
         groups = run.groupBy("_gid", "_run").agg(F.count("*").alias("_size"), F.min(best).alias("_best"))
         shared = staged(groups.where("_size > 1").withColumn("_next", F.monotonically_increasing_id()), "radix-groups")
-        split = run.withColumn("_rest", F.expr(f"substring(_rest, {width + 1})")).join(shared, ["_gid", "_run"], "left")
+        split = run.withColumn("_rest", F.expr(f"substring(_rest, {width + 1})")).join(
+            shared.hint("merge"), ["_gid", "_run"], "left")
         ended = F.col("_next").isNull() | (F.octet_length("_run") < width)
         round_ = staged(split.select(
             "_rid", "doc_id", "_n", "text_sha256", "_next", "_size", "_best", ended.alias("_ended"),
