@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ END = 1
 # Pieces that one group is meant to hold; a piece is shorter than a sequence, which bounds a group's memory.
 GROUP_PIECES = 8192
 # Distinct words whose ids a worker remembers.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 20
 
 
 class Bins:
@@ -63,7 +64,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int = LENGTH) -> list[int
 
 
 class Words(dict):
-    """Token ids of white-space separated words; every word is tokenised once per worker."""
+    """Token ids of white-space separated words as bytes; a worker keeps them from task to task."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,24 +72,27 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
         ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        if len(self) < CACHE_WORDS:
-            self[word] = ids
-        return ids
+        found = self[word] = np.array(ids, dtype="<u4").tobytes()
+        return found
+
+
+@cache
+def words_of(path: str) -> Words:
+    return Words(path)
 
 
 def token_ids(words: Words, text: str) -> np.ndarray:
-    """The tokenizer drops white space before it merges, so a text's ids are those of its words in turn."""
-    ids: list[int] = []
-    for word in text.encode().split():
-        ids += words[word]
-    ids.append(END)
-    return np.array(ids, dtype="<u4")
+    """The tokenizer lower-cases and drops white space before it merges, so a text's ids are those of its words in turn."""
+    found = b"".join(map(words.__getitem__, text.encode().lower().split()))
+    return np.append(np.frombuffer(found, "<u4"), np.uint32(END))
 
 
 def _pieces(batches: Iterator[pd.DataFrame], path: str, length: int) -> Iterator[pd.DataFrame]:
-    words = Words(path)
+    words = words_of(path)
     for batch in batches:
         out = []
         for row, (doc, text) in enumerate(zip(batch["doc_id"], batch["text"], strict=True)):
