@@ -161,7 +161,11 @@ def trained(docs: DataFrame, text_column: str = "text", label_column: str = "lan
     text = text_or_empty(text_column)
     key = F.xxhash64(F.col(f"`{id_column}`"))
     start = F.pmod(key, F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    rows = docs.where(learnable(id_column) & F.col(f"`{label_column}`").isNotNull() & text.rlike(r"\p{L}")).select(
+    labelled = docs.where(learnable(id_column) & F.col(f"`{label_column}`").isNotNull())
+    # a share of the hashes that holds about twice the sample, so that no more than that reaches the driver
+    share = min(1.0, 2 * SAMPLE_DOCUMENTS / max(1, labelled.count()))
+    drawn = labelled.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = drawn.where(text.rlike(r"\p{L}")).select(
         key.alias("k"), F.substring(text, start, F.lit(SAMPLE_CHARS)).alias("t"), F.col(f"`{label_column}`").cast("string").alias("l"))
     sample = rows.orderBy("k", "t", "l").limit(SAMPLE_DOCUMENTS).collect()
     return fitted([r["t"].encode() for r in sample], [r["l"] for r in sample])
