@@ -14,6 +14,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the folder all executors share and read it back, so that nothing recomputes it."""
     path = shared_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    # nothing reads the shuffle files of this job again; Spark deletes them once the driver has collected its garbage
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

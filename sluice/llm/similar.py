@@ -14,7 +14,8 @@ which rules out most of the pairs that are left. Those that stay are compared sh
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ PERCENT = 85
 ROUNDS = 2
 # Shingle counts are kept for this many hashed buckets; only their magnitude counts, and only for the order.
 COUNT_BITS = 17
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 # fixed values: odd multipliers that spread 64-bit numbers
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -45,8 +46,14 @@ class WordNumbers(dict):
         return number
 
 
-def shingles(text: str | None, numbers: WordNumbers, width: int = WORDS) -> np.ndarray:
-    """The set of a text's shingles as sorted 64-bit numbers; words are split at ASCII white space, A-Z lower-cased."""
+@cache
+def word_numbers() -> WordNumbers:
+    """A worker keeps them from task to task."""
+    return WordNumbers()
+
+
+def shingle_numbers(text: str | None, numbers: WordNumbers, width: int = WORDS) -> np.ndarray:
+    """A text's shingles in turn as 64-bit numbers; words are split at ASCII white space, A-Z lower-cased."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -67,7 +74,12 @@ def shingles(text: str | None, numbers: WordNumbers, width: int = WORDS) -> np.n
     mixed ^= mixed >> np.uint64(33)
     mixed *= _MIX
     mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed
+
+
+def shingles(text: str | None, numbers: WordNumbers, width: int = WORDS) -> np.ndarray:
+    """The set of a text's shingles, sorted."""
+    return np.unique(shingle_numbers(text, numbers, width))
 
 
 def set_key(numbers: np.ndarray) -> bytes:
@@ -84,11 +96,10 @@ def shingle_magnitudes(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """How often the shingles of each hashed bucket occur in all documents, as a power of two."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, total = WordNumbers(), np.zeros(1 << COUNT_BITS, np.int64)
+        numbers, total = word_numbers(), np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            for value in batch["text"]:
-                found = shingles(value, numbers, width)
-                total += np.bincount((found >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
+            found = np.concatenate([shingle_numbers(value, numbers, width) for value in batch["text"]])
+            total += np.bincount((found >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
         buckets = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": buckets, "n": total[buckets]})
 
@@ -103,7 +114,7 @@ def with_sets(docs: DataFrame, magnitudes: np.ndarray, columns: list[Column], sc
     """The given columns of each document, its set's size and key, and the set's first shingles in order."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = WordNumbers()
+        numbers = word_numbers()
         for batch in batches:
             sizes, keys, firsts = [], [], []
             for value in batch["_text"]:
@@ -143,7 +154,7 @@ def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_
         return found.withColumnRenamed("_text", f"{name}_text").drop(f"{name}_id")
 
     def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, held = WordNumbers(), {}
+        numbers, held = word_numbers(), {}
 
         def of(node: int, value: str) -> np.ndarray:
             # neighbouring rows often share a pivot
