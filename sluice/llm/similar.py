@@ -8,7 +8,8 @@ follow the common shingle) rule out a link.
 Set relations do the rest. In each list a pivot's answers are computed first. A set that is linked with
 the pivot takes over the pivot's group as its answer, so pairs inside a group are never formed, however
 many near copies it has; and the distances of two sets from the pivot bound their distance from each other,
-which rules out most of the pairs that are left. Those that stay are compared shingle by shingle.
+which rules out most of the pairs that are left. Counts of shingles by part of the hash range bound overlaps
+once more; pairs that stay are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PERCENT = 85
 ROUNDS = 2
 # Shingle counts are kept for this many hashed buckets; only their magnitude counts, and only for the order.
 COUNT_BITS = 17
+# Shingles of a set are also counted by this many parts of the hash range, to bound overlaps.
+PARTS = 128
 CACHE_WORDS = 1 << 20
 # fixed values: odd multipliers that spread 64-bit numbers
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -111,12 +114,12 @@ def shingle_magnitudes(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, magnitudes: np.ndarray, columns: list[Column], schema: str, width: int, percent: int) -> DataFrame:
-    """The given columns of each document, its set's size and key, and the set's first shingles in order."""
+    """The given columns of each document, its set's size and key, its first shingles in order, and its counts by part."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = word_numbers()
         for batch in batches:
-            sizes, keys, firsts = [], [], []
+            sizes, keys, firsts, parts = [], [], [], []
             for value in batch["_text"]:
                 found = shingles(value, numbers, width)
                 keep = prefix_length(len(found), percent) if len(found) else 0
@@ -125,14 +128,10 @@ def with_sets(docs: DataFrame, magnitudes: np.ndarray, columns: list[Column], sc
                 sizes.append(len(found))
                 keys.append(set_key(found))
                 firsts.append(found[order].view(np.int64))
-            yield batch.drop(columns="_text").assign(_n=sizes, _key=keys, _first=firsts)
+                parts.append(np.bincount((found % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes())
+            yield batch.drop(columns="_text").assign(_n=sizes, _key=keys, _first=firsts, _parts=parts)
 
-    return docs.select(*columns).mapInPandas(build, f"{schema}, _n long, _key binary, _first array<long>")
-
-
-def needed(n: Column, m: Column, percent: int) -> Column:
-    """The least overlap with which sets of these sizes are linked."""
-    return F.ceil(percent * (n + m) / F.lit(100 + percent))
+    return docs.select(*columns).mapInPandas(build, f"{schema}, _n long, _key binary, _first array<long>, _parts binary")
 
 
 def possible(a: str, b: str, percent: int) -> Column:
@@ -142,6 +141,21 @@ def possible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * follow + follow * percent >= percent * (n + m))
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose counts by part leave room for the overlap a link needs: it is at most the sum of the smaller counts."""
+
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.join(nodes.select(F.col("nid").alias(name), F.col("n").alias(f"{name}_n"), F.col("parts").alias(f"{name}_p")), name)
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, PARTS) for c in ("x_p", "y_p"))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            yield batch.loc[(100 + percent) * most >= percent * (batch["x_n"] + batch["y_n"]).to_numpy(), ["x", "y"]]
+
+    return side(side(pairs, "x"), "y").mapInPandas(bounded, "x long, y long")
+
+
 def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width: int) -> DataFrame:
     """The overlap of each pair (x, y) of nodes, from their whole texts."""
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -200,7 +214,7 @@ def linked(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id"
 def groups(rows: DataFrame, docs: DataFrame, text: str, id_column: str, width: int, percent: int) -> DataFrame:
     """(_key, component_id) for every nonempty set."""
     nodes = staged(rows.where("_n > 0").groupBy("_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("_n").alias("n"), F.first("_first").alias("first"),
+        F.min("doc_id").alias("doc_id"), F.first("_n").alias("n"), F.first("_first").alias("first"), F.first("_parts").alias("parts"),
     ).withColumnRenamed("_key", "key").withColumn("nid", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("nid", "n", F.posexplode("first").alias("at", "token"))
     common = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -218,7 +232,7 @@ def groups(rows: DataFrame, docs: DataFrame, text: str, id_column: str, width: i
         if known is not None:
             formed = formed.join(known, ["x", "y"], "left_anti")
             formed = formed.join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-        answers = staged(compared(staged(formed, "pairs"), nodes, docs, text, id_column, width), "answers")
+        answers = staged(compared(staged(plausible(formed, nodes, percent), "pairs"), nodes, docs, text, id_column, width), "answers")
         known = answers if known is None else known.unionByName(answers)
         links = known.where(100 * F.col("overlap") >= percent * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(
             F.col("x").alias("a"), F.col("y").alias("b"))
