@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.llm.components import components
-from sluice.llm.shared import fresh, numbered, staged
+from sluice.llm.shared import discarded, fresh, numbered, staged
 
 WORDS = 4
 PERCENT = 85
@@ -204,21 +204,32 @@ def linked(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id"
     in choosing a component's id. An empty table gives no rows.
     """
     columns = [F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("_text")]
-    rows = staged(with_sets(docs, shingle_magnitudes(docs, text_column, width), columns, "doc_id long", width, percent), "sets")
-    found = groups(rows, docs, text_column, id_column, width, percent)
+    sets = staged(with_sets(docs, shingle_magnitudes(docs, text_column, width), columns, "doc_id long", width, percent), "sets")
+    rows, nodes = split_off(sets)
+    found = groups(nodes, docs, text_column, id_column, width, percent)
     return rows.join(found, "_key", "left").select(
         "doc_id", F.col("_n").alias("n_shingles"),
         F.when(F.col("_n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def groups(rows: DataFrame, docs: DataFrame, text: str, id_column: str, width: int, percent: int) -> DataFrame:
-    """(_key, component_id) for every nonempty set."""
-    nodes = staged(rows.where("_n > 0").groupBy("_key").agg(
+def split_off(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows without their sets, and a node for each distinct set."""
+    nodes = staged(sets.where("_n > 0").groupBy("_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("_n").alias("n"), F.first("_first").alias("first"), F.first("_parts").alias("parts"),
     ).withColumnRenamed("_key", "key").withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    rows = staged(sets.drop("_first", "_parts"), "rows")
+    discarded(sets)
+    return rows, nodes
+
+
+def groups(nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width: int, percent: int) -> DataFrame:
+    """(_key, component_id) for every nonempty set."""
     entries = nodes.select("nid", "n", F.posexplode("first").alias("at", "token"))
     common = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     index = staged(entries.join(common, "token", "left_semi"), "index")
+    slim = staged(nodes.drop("first"), "slim-nodes")
+    discarded(nodes)
+    nodes = slim
 
     links, known = None, None
     reached: DataFrame | None = None
@@ -294,8 +305,9 @@ def without_near_copies(docs: DataFrame, text_column: str = "text", id_column: s
     columns = [F.col(rid).alias("doc_id"), F.col(f"`{id_column}`").cast("long").alias("_name"),
                F.col(f"`{text_column}`").cast("string").alias("_text")]
     magnitudes = shingle_magnitudes(table, text_column, width)
-    rows = staged(with_sets(table, magnitudes, columns, "doc_id long, _name long", width, percent), "sets")
-    found = rows.join(groups(rows, table, text_column, rid, width, percent), "_key").where("_n > 0")
+    sets = staged(with_sets(table, magnitudes, columns, "doc_id long, _name long", width, percent), "sets")
+    rows, nodes = split_off(sets)
+    found = rows.join(groups(nodes, table, text_column, rid, width, percent), "_key").where("_n > 0")
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_name").isNull(), "_name", "doc_id")).alias("b"))
     gone = found.join(best, "component_id").where(F.col("doc_id") != F.col("b.doc_id")).select(F.col("doc_id").alias(rid))
     return table.join(gone, rid, "left_anti").drop(rid)
