@@ -78,6 +78,6 @@ def rekey(df: DataFrame, key: Column, content: Column) -> DataFrame:
 def tombstone(content: Column) -> Column:
     """True for a record that deletes its key: no data, JSON null, or a blank string."""
     blank = F.coalesce(
-        (D.kind(content) == "STRING") & (F.trim(F.try_variant_get(content, "$", "string")) == ""), F.lit(False)
+        (D.kind(content) == "STRING") & F.try_variant_get(content, "$", "string").rlike(r"\A[\x00-\x20]*\z"), F.lit(False)
     )
     return D.is_null(content) | blank

@@ -54,7 +54,7 @@ def parse_text(text: Column) -> Column:
 
 
 def parse_item(text: Column) -> Column:
-    """``parse_text`` for use inside lambdas, where common subexpressions are not shared."""
+    """``parse_text`` for use inside lambdas, where repeated parts are not shared."""
     pair, mark = _marked(text)
     whole = F.filter(F.array(pair), lambda p: F.try_variant_get(p, "$[1]", "bigint") == mark)
     return F.get(F.transform(whole, lambda p: F.try_variant_get(p, "$[0]", "variant")), 0)

@@ -135,15 +135,12 @@ def _header_map(text: Column, separator: str) -> Column:
     return F.map_from_entries(last)
 
 
-# Fixed value: POSTs of this client are not recorded.
-_IGNORED_AGENT = "AirControl Agent"
-
-
-def parse_log(line: Column, separator: str = ";", route_prefix: str = "/rest") -> Column:
+def parse_log(line: Column, separator: str = ";", route_prefix: str = "/rest",
+              ignored_agent: str | None = None) -> Column:
     """An access-log line as STRUCT(kind, route, status, headers, body).
 
     ``kind`` is ``GET``, ``POST``, ``RESPONSE``, ``IGNORED`` (a GET outside the route prefix, or a POST
-    of the client that is not recorded) or ``UNKNOWN``. ``separator`` is a regular expression that
+    whose agent begins with ``ignored_agent``) or ``UNKNOWN``. ``separator`` is a regular expression that
     splits the header list.
     """
     # the plain substring test spares most lines most of the patterns
@@ -161,10 +158,11 @@ def parse_log(line: Column, separator: str = ";", route_prefix: str = "/rest") -
     )
     header_values = _header_map(headers, separator)
     agent = F.try_element_at(header_values, F.lit("User-Agent"))
+    ignored = F.lit(False) if ignored_agent is None else is_post & F.coalesce(agent.startswith(ignored_agent), F.lit(False))
     what = (
         F.when(is_get & route.startswith(route_prefix), "GET")
         .when(is_get, "IGNORED")
-        .when(is_post & F.coalesce(agent.startswith(_IGNORED_AGENT), F.lit(False)), "IGNORED")
+        .when(ignored, "IGNORED")
         .when(is_post, "POST")
         .when(is_response, "RESPONSE")
         .otherwise("UNKNOWN")

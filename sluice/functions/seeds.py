@@ -1,4 +1,4 @@
-"""Deterministic random sequences as column expressions.
+"""Deterministic random sequences as columns.
 
 The generator is a 64-bit linear congruential step. Spark raises on BIGINT overflow, so the wrapping
 product is assembled from 16- and 32-bit limbs; every intermediate fits a BIGINT and the whole step

@@ -63,7 +63,7 @@ def template_parts(template: str) -> list[tuple[bool, str]]:
 
 
 def render(template: str) -> Column:
-    """Template as a string column; expressions are Spark SQL over the columns of the DataFrame.
+    """Template as a string column; placeholders are Spark SQL over the columns of the DataFrame.
 
     A NULL expression prints ``null``; a VARIANT prints as its string or its compact JSON.
     """

@@ -2,7 +2,7 @@
 
 How many draws a schema takes does not depend on the seed: arrays always get two elements, maps two
 entries, unions their first non-null branch. So leaf ``k`` of a record uses the seed after ``k`` draws,
-``a_k * seed + c_k``, and a schema compiles to independent column expressions.
+``a_k * seed + c_k``, and a schema compiles to independent columns.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def _nullable(branch: Any) -> bool:
 
 
 class _Columns:
-    """Builds a sample out of column expressions."""
+    """Builds a sample out of columns."""
 
     def __init__(self, seed: Column) -> None:
         self.base = seed
@@ -196,7 +196,7 @@ def _build(schema: Any, draw: int, out: Any, names: dict[str, Any], depth: int =
 
 
 def sample(schema: str | Any, seed: Column) -> Column:
-    """Sample record of one schema as a column: pure expressions, no per-row Python."""
+    """Sample record of one schema as a column: pure column logic, no per-row Python."""
     parsed = parse_schema(schema) if isinstance(schema, str) else schema
     return _build(parsed, 0, _Columns(seed), {})[1]
 

@@ -65,8 +65,9 @@ def recent_errors(df: DataFrame, order: list[Column], spread: str, outcome: str
 
 
 def result_text(request: Column, response: Column) -> Column:
-    """``url yields code``"""
-    return F.concat(request["url"], F.lit(" yields "), response["statusCode"].cast("string"))
+    """``url yields code``, or an error line when there was no response."""
+    answered = F.concat(request["url"], F.lit(" yields "), response["statusCode"].cast("string"))
+    return F.coalesce(answered, F.concat(F.lit("Error: no response from "), F.coalesce(request["url"], F.lit("an unknown address"))))
 
 
 def results_text(results: Column) -> Column:
@@ -88,8 +89,8 @@ def results_json(results: Column) -> Column:
 
 
 def all_ok(results: Column) -> Column:
-    """True when every response of the record has status 200."""
-    return F.forall(results, lambda r: r["response"]["statusCode"] == 200)
+    """True when every response of the record has status 200; a request without a response failed."""
+    return F.forall(results, lambda r: F.coalesce(r["response"]["statusCode"] == 200, F.lit(False)))
 
 
 def rest_failures(df: DataFrame, results: str = "results") -> DataFrame:

@@ -50,13 +50,16 @@ class TopicConfig:
             "kafka.bootstrap.servers": self.bootstrap_servers,
             name: value,
             "startingOffsets": self.offset,
-            "maxOffsetsPerTrigger": str(self.max_count),
+            # a micro-batch starts at so many records or after so long, and takes all there are
+            "minOffsetsPerTrigger": str(self.max_count),
+            "maxTriggerDelay": f"{self.max_millis}ms",
             "includeHeaders": "true",
             **self.options,
         }
 
     def trigger(self) -> dict[str, str]:
-        return {"processingTime": f"{self.max_millis} milliseconds"}
+        # the source holds a batch back until it is full or old enough
+        return {"processingTime": "0 milliseconds"}
 
 
 def _kafka(build):

@@ -383,3 +383,19 @@ def test_objects_used_as_maps_have_no_schema(spark):
     assert found.count() == 21
     with pytest.raises(ValueError, match="keys seem to be data"):
         schema.fold(found, max_paths=20)
+
+
+def test_a_request_without_response_is_a_failure(spark):
+    rows = spark.sql("""SELECT array(
+        struct(struct('http://a' AS url) AS request, struct(200 AS statusCode) AS response),
+        struct(struct('http://b' AS url) AS request, CAST(NULL AS STRUCT<statusCode: INT>) AS response)) AS results""")
+    assert rows.select(stats.all_ok(F.col("results"))).first()[0] is False
+    failed = stats.rest_failures(rows).first()["error"]
+    assert "http://a yields 200" in failed and "Error: no response from http://b" in failed
+
+
+def test_blank_text_of_any_kind_is_a_tombstone(spark):
+    from sluice import envelope
+
+    rows = spark.sql("SELECT parse_json(x) AS c FROM VALUES ('\"\\\\t\\\\n\"'), ('\" \"'), ('null'), ('\"x\"'), ('0') AS t(x)")
+    assert [r[0] for r in rows.select(envelope.tombstone(F.col("c"))).collect()] == [True, True, True, False, False]

@@ -133,7 +133,9 @@ def test_pipeline_lifecycle(spark, record_dir):
 def test_start_offsets(offset):
     config = topics.TopicConfig("a*", "host:9092", offset)
     assert config.kafka_options()["startingOffsets"] == offset
-    assert config.kafka_options()["subscribePattern"] == "a*" and config.trigger() == {"processingTime": "10000 milliseconds"}
+    assert config.kafka_options()["subscribePattern"] == "a*" and config.trigger() == {"processingTime": "0 milliseconds"}
+    options = config.kafka_options()
+    assert options["minOffsetsPerTrigger"] == "1000" and options["maxTriggerDelay"] == "10000ms" and "maxOffsetsPerTrigger" not in options
 
 
 def test_bad_start_offset():

@@ -101,13 +101,13 @@ BODY = 'first "quoted" line\nsecond (line)\n\nlast'
         (LINE.replace("{}", BODY), "POST", "/rest/store/fool.sc", None, BODY),
         ('x HTTP/1.1 GET /rest/a Headers(A: b; C: d) body="', "GET", "/rest/a", None, None),
         ('HTTP/1.1 GET /d/foo Headers() body="', "IGNORED", "/d/foo", None, None),
-        ('HTTP/1.1 POST /rest/a Headers(User-Agent: AirControl Agent 1) body="x"', "IGNORED", "/rest/a", None, "x"),
+        ('HTTP/1.1 POST /rest/a Headers(User-Agent: Probe 1) body="x"', "IGNORED", "/rest/a", None, "x"),
         ('HTTP/1.1 404 Not Found Headers(A: b) body="no\nway"', "RESPONSE", None, 404, "no\nway"),
         ("nothing", "UNKNOWN", None, None, None),
     ],
 )
 def test_access_log_lines(spark, line, kind, route, status, body):
-    row = spark.createDataFrame([(line,)], "l string").select(H.parse_log(F.col("l")).alias("p")).first()["p"]
+    row = spark.createDataFrame([(line,)], "l string").select(H.parse_log(F.col("l"), ignored_agent="Probe").alias("p")).first()["p"]
     assert (row["kind"], row["route"], row["status"], row["body"]) == (kind, route, status, body)
 
 
