@@ -1,12 +1,11 @@
 """Byte-level BPE: ranked merges folded over the distinct words of blocks of documents.
 
 Python only splits texts and numbers their distinct words. Merging is done by Spark's higher-order
-functions: a word is an array of byte pieces, and a fold joins the neighbours whose joined piece has the
-lowest rank until none has one. Ranks are a literal map, cut into buckets by checksum because a map is
-searched from end to end. A block is bounded by the size of its texts, so nothing is shuffled and no
-vocabulary of the corpus is gathered anywhere; a word that several blocks have is merged once in each.
-
-A piece of bytes is held as text with one character per byte (ISO 8859-1).
+functions: a word is an array of its bytes' ids, and a fold joins the neighbours whose pair has the
+lowest rank until none has one; the id of a joined pair is its rank. Ranks of pairs are a literal map, cut
+into buckets because a map is searched from end to end. A block is bounded by the size of its texts, so
+nothing is shuffled and no vocabulary of the corpus is gathered anywhere; a word that several blocks have
+is merged once in each.
 """
 
 from __future__ import annotations
@@ -14,25 +13,27 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.llm.quality import let
 
-BUCKETS = 16384
+# A prime, so that the pairs of one id spread.
+BUCKETS = 32749
 # Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 24
 # The fold's work grows with the square of a word's length, so longer words are merged with a heap in Python.
 FOLD_BYTES = 64
-# A rank and a place below SPAN share an integer, so that one minimum finds the first of the lowest ranks.
-SPAN = 128
-NO_RANK = (1 << 24) - 1
+# Two ids share a long; the edge of a word stands for an id that no pair has.
+ID_SPAN = 1 << 21
+EDGE = ID_SPAN - 1
+NO_RANK = 1 << 30
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,63 +41,63 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal array of small maps; the optimizer parses the text once."""
+def pair_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank of each pair of ids whose joined bytes have one, as a literal array of small maps."""
+    if max(ranks.values(), default=0) >= EDGE:
+        raise ValueError(f"ids must be below {EDGE}")
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                pair = left * ID_SPAN + right
+                buckets[pair % BUCKETS][str(pair)] = rank
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
-def piece_literal(ranks: dict[bytes, int]) -> Column:
-    """The piece of each id as a literal array; ids that are no rank have none."""
-    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+def text_literal(ranks: dict[bytes, int], of) -> Column:
+    """A text for each id as a literal array, from its rank and its bytes; ids that are no rank have none."""
+    texts: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+        texts[rank] = of(rank, piece)
+    return F.from_json(F.lit(json.dumps(texts)), "array<string>")
 
 
-def rank_of(piece: Column, literal: Column) -> Column:
-    bucket = F.get(literal, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int"))
-    return F.element_at(bucket, piece)
+def pair_rank(left: Column, right: Column, literal: Column) -> Column:
+    pair = left.cast("long") * F.lit(ID_SPAN) + right
+    bucket = F.get(literal, (pair % F.lit(BUCKETS)).cast("int"))
+    return F.coalesce(F.element_at(bucket, pair.cast("string")), F.lit(NO_RANK))
 
 
 def encoded_word(word: Column, literal: Column) -> Column:
-    """The ids of a word: its bytes, with the lowest-ranked neighbours joined for as long as any has a rank.
+    """The ids of a word, given those of its bytes: the lowest-ranked neighbours are joined for as long as any has a rank.
 
-    The fold carries the pieces and the rank of each piece with its successor, so a join looks up two
-    ranks. A null piece at either end saves all cases at the edges.
+    The fold carries the ids and the rank of each with its successor, so a join looks up two ranks. An edge at
+    either end saves all cases there. It takes as many steps as there are bytes, the last ones idle.
     """
-
-    def pair_rank(left: Column, right: Column) -> Column:
-        return F.coalesce(rank_of(F.concat(left, right), literal), F.lit(NO_RANK))
-
-    def state(pieces: Column, ranks: Column) -> Column:
-        least = F.array_min(F.transform(ranks, lambda r, i: r * SPAN + i))
-        return F.struct(pieces.alias("p"), ranks.alias("r"), least.alias("least"))
+    edge = F.array(F.lit(EDGE))
 
     def step(acc: Column, _: Column) -> Column:
-        p, r, at = acc["p"], acc["r"], acc["least"] % SPAN + 1
+        p, r = acc["p"], acc["r"]
 
-        def joined(m: Column) -> Column:
+        def joined(at: Column) -> Column:
+            # the pair's rank is its id
+            m = F.get(r, at - 1)
+            around = F.array(pair_rank(F.get(p, at - 2), m, literal), pair_rank(m, F.get(p, at + 1), literal))
             pieces = F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p)))
-            ranks = F.concat(
-                F.slice(r, F.lit(1), at - 2),
-                F.array(pair_rank(F.get(p, at - 2), m), pair_rank(m, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r)))
-            return let(ranks, lambda new: state(pieces, new))
+            following = F.concat(F.slice(r, F.lit(1), at - 2), around, F.slice(r, at + 2, F.size(r)))
+            return F.struct(pieces.alias("p"), following.alias("r"), F.array_min(following).alias("least"))
 
-        return F.when(acc["least"] >= NO_RANK * SPAN, acc).otherwise(let(F.concat(F.get(p, at - 1), F.get(p, at)), joined))
+        return F.when(acc["least"] == NO_RANK, acc).otherwise(
+            let(F.array_position(r, acc["least"]).cast("int"), joined))
 
     def start(pieces: Column) -> Column:
-        ranks = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, i: pair_rank(F.get(pieces, i), p))
-        return let(ranks, lambda r: state(pieces, r))
+        ranks = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, i: pair_rank(F.get(pieces, i), p, literal))
+        return let(ranks, lambda r: F.struct(pieces.alias("p"), r.alias("r"), F.array_min(r).alias("least")))
 
-    edge = F.array(F.lit(None).cast("string"))
-    merged = F.aggregate(
-        F.sequence(F.lit(1), F.length(word)), let(F.concat(edge, F.split(word, ""), edge), start), step,
-        lambda acc: F.transform(F.slice(acc["p"], F.lit(2), F.size(acc["p"]) - 2), lambda p: rank_of(p, literal)))
-    return let(rank_of(word, literal), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+    merged = F.aggregate(word, let(F.concat(edge, word, edge), start), step,
+                         lambda acc: F.slice(acc["p"], F.lit(2), F.size(acc["p"]) - 2))
+    return F.when(F.size(word) < 2, word).otherwise(merged)
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -131,72 +132,87 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return found
 
 
-def _blocks(batches: Iterator[pd.DataFrame], pattern: str, ranks: dict[bytes, int], most: int) -> Iterator[pd.DataFrame]:
-    """Blocks of documents: their distinct words, and each document as places in that list."""
-    split = regex.compile(pattern).findall
+def _nested(lengths: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
 
-    def block(docs: list, words: dict[str, int]) -> pd.DataFrame:
-        plain = [w.encode().decode("latin-1") for w in words]
-        long = [(i, w) for i, w in enumerate(plain) if len(w) > FOLD_BYTES]
-        known = [{"at": i, "ids": merged_by_heap(w.encode("latin-1"), ranks)} for i, w in long]
-        for i, _ in long:
-            plain[i] = ""
-        return pd.DataFrame({"words": [plain], "known": [known], "docs": [docs]})
 
-    docs, words, size = [], {}, 0
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, ranks: dict[bytes, int], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: the ids of the bytes of their distinct words, and each document as places in that list.
+
+    A word that has a rank is that one id; a long word comes merged.
+    """
+    split = regex.compile(pattern).findall
+    single = [ranks.get(bytes([b])) for b in range(256)]
+
+    def block(docs: list[int | None], counts: list[int], places: array, words: dict[str, int]) -> pa.RecordBatch:
+        ids, sizes = array("i"), []
+        for word in words:
+            raw = word.encode()
+            rank = ranks.get(raw)
+            if rank is not None:
+                found = [rank]
+            elif len(raw) > FOLD_BYTES:
+                found = merged_by_heap(raw, ranks)
+            else:
+                found = [single[b] for b in raw]
+            ids.extend(found)
+            sizes.append(len(found))
+        texts = pa.StructArray.from_arrays(
+            [pa.array(docs, pa.int64()), _nested(counts, pa.array(np.frombuffer(places, np.int32)))], ["doc_id", "at"])
+        spelled = _nested(sizes, pa.array(np.frombuffer(ids, np.int32)))
+        return pa.RecordBatch.from_arrays([_nested([len(spelled)], spelled), _nested([len(texts)], texts)], ["words", "docs"])
+
+    docs, counts, places, words, size = [], [], array("i"), {}, 0
     for batch in batches:
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            places = [words.setdefault(w, len(words)) for w in split(text)]
-            docs.append({"doc_id": None if pd.isna(doc) else int(doc), "at": np.array(places, np.int32)})
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            before = len(places)
+            places.extend([words.setdefault(w, len(words)) for w in split(text)])
+            docs.append(doc)
+            counts.append(len(places) - before)
             size += len(text)
             if size >= most:
-                yield block(docs, words)
-                docs, words, size = [], {}, 0
+                yield block(docs, counts, places, words)
+                docs, counts, places, words, size = [], [], array("i"), {}, 0
     if docs:
-        yield block(docs, words)
-
-
-def little_endian(ids: Column) -> Column:
-    """Hexadecimal digits of ids as little-endian unsigned 32-bit integers."""
-    def digits(i: Column) -> Column:
-        wide = F.lpad(F.hex(i), 8, "0")
-        return F.concat(*[F.substring(wide, at, 2) for at in (7, 5, 3, 1)])
-    return F.array_join(F.transform(ids, digits), "")
-
-
-def decoded(ids: Column, pieces: Column) -> Column:
-    """The bytes that ids stand for: their pieces, one after another."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
+        yield block(docs, counts, places, words)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, text_column: str = "text",
             id_column: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Each document's ids (``n_tokens`` and a digest) and a digest of the bytes that they decode to.
 
-    A null or empty text has no ids. Repeated rows give repeated results, null ids are kept, an empty
-    table gives no rows.
+    Decoding puts the bytes of the ids one after another. A null or empty text has no ids. Repeated rows give
+    repeated results, null ids are kept, an empty table gives no rows.
     """
     ranks = read_ranks(ranks_path)
-    literal, pieces = rank_literal(ranks), piece_literal(ranks)
+    pairs = pair_literal(ranks)
+    # hexadecimal digits of an id as a little-endian unsigned 32-bit integer; its bytes, a character for each (ISO 8859-1)
+    digits = text_literal(ranks, lambda rank, _: rank.to_bytes(4, "little").hex())
+    pieces = text_literal(ranks, lambda _, piece: piece.decode("latin-1"))
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
-    schema = "words array<string>, known array<struct<at:int,ids:array<int>>>, docs array<struct<doc_id:long,at:array<int>>>"
-    blocks = rows.mapInPandas(lambda batches: _blocks(batches, pattern, ranks, block_chars), schema)
-    folded = F.transform("words", lambda w: encoded_word(w, literal))
-    given = F.transform("words", lambda w, i: F.when(
-        w == "", F.filter("known", lambda k: k["at"] == i)[0]["ids"]).otherwise(encoded_word(w, literal)))
-    ids = F.when(F.size("known") == 0, folded).otherwise(given)
+    schema = "words array<array<int>>, docs array<struct<doc_id:long,at:array<int>>>"
+    blocks = rows.mapInArrow(lambda batches: _blocks(batches, pattern, ranks, block_chars), schema)
 
     def results(words: Column) -> Column:
         # digits and pieces are looked up per distinct word, then laid out as the documents have the words
-        codes = F.transform(words, little_endian)
-        sizes = F.transform(words, lambda w: F.size(w))
-        texts = F.transform(words, lambda w: F.array_join(F.transform(w, lambda i: F.get(pieces, i)), ""))
-        return let(codes, lambda c: let(sizes, lambda n: let(texts, lambda t: F.transform(F.col("docs"), lambda d: F.struct(
-            d["doc_id"].alias("doc_id"),
-            F.aggregate(d["at"], F.lit(0).cast("long"), lambda s, i: s + F.get(n, i)).alias("n_tokens"),
-            F.sha2(F.unhex(F.array_join(F.transform(d["at"], lambda i: F.get(c, i)), "")), 256).alias("ids_sha256"),
-            F.sha2(F.encode(F.array_join(F.transform(d["at"], lambda i: F.get(t, i)), ""), "ISO-8859-1"), 256).alias("decoded_sha256"),
-        )))))
-
-    return blocks.select(F.explode(let(ids, results)).alias("r")).select("r.*")
+        spelled = F.transform(words, lambda ids: F.struct(
+            F.size(ids).alias("n"),
+            F.array_join(F.transform(ids, lambda i: F.get(digits, i)), "").alias("code"),
+            F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").alias("text")))
+
+        def laid(at: Column, of: Column) -> Column:
+            return F.array_join(F.transform(at, lambda i: F.get(of, i)), "")
+
+        def digests(found: Column) -> Column:
+            return F.transform(F.col("docs"), lambda d: F.struct(
+                d["doc_id"].alias("doc_id"),
+                F.aggregate(d["at"], F.lit(0).cast("long"), lambda s, i: s + F.get(found["n"], i)).alias("n_tokens"),
+                F.sha2(F.unhex(laid(d["at"], found["code"])), 256).alias("ids_sha256"),
+                F.sha2(F.encode(laid(d["at"], found["text"]), "ISO-8859-1"), 256).alias("decoded_sha256")))
+
+        columns = let(spelled, lambda w: F.struct(w["n"].alias("n"), w["code"].alias("code"), w["text"].alias("text")))
+        return let(columns, digests)
+
+    merged = F.transform("words", lambda w: encoded_word(w, pairs))
+    return blocks.select(F.explode(let(merged, results)).alias("r")).select("r.*")
