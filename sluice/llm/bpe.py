@@ -214,5 +214,6 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.P
         columns = let(spelled, lambda w: F.struct(w["n"].alias("n"), w["code"].alias("code"), w["text"].alias("text")))
         return let(columns, digests)
 
-    merged = F.transform("words", lambda w: encoded_word(w, pairs))
-    return blocks.select(F.explode(let(merged, results)).alias("r")).select("r.*")
+    # bound once: a literal of this size must not stand in the plan several times
+    merged = let(pairs, lambda known: F.transform("words", lambda w: encoded_word(w, known)))
+    return blocks.select(F.inline_outer(let(merged, results)))
