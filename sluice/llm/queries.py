@@ -68,4 +68,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_ngram_jaccard, op3_exact_dedup, op4_license_scan, op5_language_id, op6_packing, op7_private_data, op8_sharding,
     op9_html_extraction, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": r"""
+        WITH plain AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare
+            FROM documents
+        ), ranked AS (
+            SELECT doc_id, bare, first_value(doc_id) OVER (PARTITION BY bare ORDER BY n DESC, doc_id) AS keep_id,
+                   count(*) OVER (PARTITION BY bare) AS group_size
+            FROM plain
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM ranked""",
+}

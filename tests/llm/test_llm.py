@@ -10,8 +10,9 @@ import tiktoken
 
 import corpus_pipeline
 from sluice.llm import bpe, exact, language, licenses, packing, pages, private, quality, sharding, similar
-from sluice.llm.queries import BYTE_RANKS, WORD_TOKENIZER, ready
+from sluice.llm.queries import BYTE_RANKS, ORACLES, QUERIES, WORD_TOKENIZER, ready
 from sluice.llm.shared import numbered
+from tests.oracle import connect, spark_rows, sql_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _rid string"
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
@@ -209,3 +210,9 @@ def test_pipeline_runs_and_keeps_columns(spark, sf_dir):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == docs.count()
+
+
+def test_exact_copies_agree_with_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    found = spark_rows(QUERIES["op3_exact_dedup"](spark, folder))
+    assert found == sql_rows(connect(folder), ORACLES["op3_exact_dedup"])
