@@ -15,6 +15,7 @@ BUCKET_WIDTH = 1 << 14
 FANOUT = 1 << 16
 LEVELS = 1
 SALTS = 64
+KEY = ["_keys"]
 
 
 def whole(value: Column, width: int) -> Column:
@@ -27,6 +28,11 @@ def _bucket(order: str, width: int) -> Column:
     return F.coalesce(whole(F.col(order), width), F.lit(0).cast("bigint"))
 
 
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys as one struct: it is never NULL itself, so joins on it keep rows with NULL keys and shuffle no more."""
+    return df.withColumn(KEY[0], F.struct(*keys)) if keys else df
+
+
 def with_sum_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str,
                     width: int = BUCKET_WIDTH, levels: int = LEVELS, totals_from: DataFrame | None = None) -> DataFrame:
     """Add the sum of ``value`` over the preceding rows of the same key; 0 for the first.
@@ -34,16 +40,22 @@ def with_sum_before(df: DataFrame, keys: Sequence[str], order: str, value: Colum
     Rows are shuffled once, on (keys, bucket). Bucket totals come from a separate narrow scan with
     partial aggregation; their own running sums are taken the same way, one level up. ``order`` is
     integral and unique within a key, so a bucket holds at most ``width`` rows of a key. One level
-    suits dense numbers such as offsets; raise ``levels`` to 2 for sparse 64-bit ones. Keys must not
-    be NULL. When ``df`` is expensive, ``totals_from`` names a cheaper table of the same rows.
+    suits dense numbers such as offsets; raise ``levels`` to 2 for sparse 64-bit ones. NULL is a key
+    like any other. When ``df`` is expensive, ``totals_from`` names a cheaper table of the same rows.
     """
-    keys, bucket, start = list(keys), f"_bucket{levels}", f"_start{levels}"
+    totals = None if totals_from is None else _keyed(totals_from, keys)
+    return _sum_before(_keyed(df, keys), KEY[:len(keys)], order, value, name, width, levels, totals).drop(*KEY)
+
+
+def _sum_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: int, levels: int,
+                totals_from: DataFrame | None = None) -> DataFrame:
+    bucket, start = f"_bucket{levels}", f"_start{levels}"
     group = [*keys, bucket]
     rows = df.withColumn(bucket, _bucket(order, width))
     source = rows if totals_from is None else totals_from.withColumn(bucket, _bucket(order, width))
     totals = source.groupBy(*group).agg(F.sum(value).alias("_total"))
     if levels > 0:
-        starts = with_sum_before(totals, keys, bucket, F.col("_total"), start, FANOUT, levels - 1)
+        starts = _sum_before(totals, keys, bucket, F.col("_total"), start, FANOUT, levels - 1)
     else:
         before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         starts = totals.withColumn(start, F.coalesce(F.sum("_total").over(before), F.lit(0)))
@@ -64,14 +76,18 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, value: str, na
     """Add the value of the preceding row of the same key, NULL for the first.
 
     Within a bucket this is a plain lag; the first row of a bucket takes the last value of the key's
-    preceding bucket, found the same way among one row per bucket.
+    preceding bucket, found the same way among one row per bucket. NULL is a key like any other.
     """
-    keys, bucket, carry = list(keys), f"_bucket{levels}", f"_carry{levels}"
+    return _previous(_keyed(df, keys), KEY[:len(keys)], order, value, name, width, levels).drop(*KEY)
+
+
+def _previous(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, width: int, levels: int) -> DataFrame:
+    bucket, carry = f"_bucket{levels}", f"_carry{levels}"
     group = [*keys, bucket]
     rows = df.withColumn(bucket, _bucket(order, width)).withColumn("_boxed", F.struct(F.col(value).alias("v")))
     last = rows.groupBy(*group).agg(F.max_by("_boxed", order).alias("_last"))
     if levels > 0:
-        carried = with_previous(last, keys, bucket, "_last", carry, FANOUT, levels - 1)
+        carried = _previous(last, keys, bucket, "_last", carry, FANOUT, levels - 1)
     else:
         carried = last.withColumn(carry, F.lag("_last").over(Window.partitionBy(*keys).orderBy(bucket)))
     local = rows.withColumn("_local", F.lag("_boxed").over(Window.partitionBy(*group).orderBy(order)))

@@ -118,3 +118,14 @@ def test_batches_by_topic_and_their_text(spark):
     grouped = batching.by_topic(batching.chunks(frame, "o", 10), message)
     texts = {r["topic"]: r["text"] for r in grouped.select("topic", batching.batch_text(F.col("topic"), F.col("messages")).alias("text")).collect()}
     assert texts == {"alpha": "Batch for alpha of 2 : [2:14, 100:12]", "beta": "Batch for beta of 1 : [7:13]"}
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_rows_with_null_keys_stay(spark, levels):
+    rows = [("a", None, 3), (None, None, 1), (None, None, 9), (None, "x", 2), ("a", None, 70000)]
+    table = spark.createDataFrame(rows, "k string, l string, o long")
+    placed = with_position(table, ["k", "l"], "o", width=2, levels=levels).collect()
+    assert sorted((r["o"], r["position"]) for r in placed) == [(1, 0), (2, 0), (3, 0), (9, 1), (70000, 1)]
+    follow = with_previous(table, ["k", "l"], "o", "o", width=2, levels=levels).collect()
+    assert sorted((r["o"], r["previous"] or 0) for r in follow) == [(1, 0), (2, 0), (3, 0), (9, 1), (70000, 3)]
+    assert set(follow[0].asDict()) == {"k", "l", "o", "previous"}
