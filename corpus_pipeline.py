@@ -1,40 +1,65 @@
 """A corpus pipeline: keep documents of a known language, drop copies and near copies, replace personal data, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of their input.
+A stage's result has to be written before the next stage over the same input folder begins, because that one
+deletes what the stages before it staged. Tables that its own ``docs`` read stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.llm import exact, language, packing, private, similar
 from sluice.llm.queries import WORD_TOKENIZER, ready
-from sluice.llm.shared import staged
+from sluice.llm.shared import leftovers_discarded, recorded, staged
 
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# folders that finished stages staged, by application and input folder
+_left: dict[tuple[str, str], list[str]] = {}
+
+
+def tidy(stage: Stage) -> Stage:
+    """The stage, after deleting the working tables of the stages before it."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ready(spark)
+        place = (spark.sparkContext.applicationId, sf_dir)
+        kept = leftovers_discarded(spark, _left.pop(place, []), docs)
+        with recorded() as folders:
+            result = stage(spark, docs, sf_dir)
+        _left[place] = kept + folders
+        return result
+
+    return begun
+
 
+@tidy
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter or text go."""
-    ready(spark)
     return language.with_language(docs)
 
 
+@tidy
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    ready(spark)
     return exact.without_copies(docs)
 
 
+@tidy
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of the n-gram join connect."""
-    ready(spark)
     return similar.without_near_copies(docs)
 
 
+@tidy
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; ``n_chars`` follows the text."""
-    ready(spark)
     changed = private.replaced(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -42,9 +67,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return changed
 
 
+@tidy
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed."""
-    ready(spark)
     return packing.packed(docs, WORD_TOKENIZER)
 
 

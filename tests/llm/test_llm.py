@@ -11,7 +11,7 @@ import tiktoken
 import corpus_pipeline
 from sluice.llm import bpe, exact, language, licenses, packing, pages, private, quality, sharding, similar
 from sluice.llm.queries import BYTE_RANKS, ORACLES, QUERIES, WORD_TOKENIZER, ready
-from sluice.llm.shared import numbered
+from sluice.llm.shared import leftovers_discarded, numbered, recorded, staged
 from tests.oracle import connect, spark_rows, sql_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _rid string"
@@ -216,3 +216,14 @@ def test_exact_copies_agree_with_sql(spark):
     folder = "/root/testdata/sf0.001"
     found = spark_rows(QUERIES["op3_exact_dedup"](spark, folder))
     assert found == sql_rows(connect(folder), ORACLES["op3_exact_dedup"])
+
+
+def test_working_tables_go_unless_they_are_read(spark):
+    with recorded() as folders:
+        first, second = staged(spark.range(3).toDF("doc_id"), "a"), staged(spark.range(5).toDF("doc_id"), "b")
+    staged(spark.range(2).toDF("doc_id"), "c")
+    assert len(folders) == 2
+    assert leftovers_discarded(spark, folders, second.where("doc_id > 1")) == folders[1:]
+    assert second.count() == 5
+    with pytest.raises(Exception, match="does not exist|FAILED_READ_FILE|PATH_NOT_FOUND"):
+        first.collect()
