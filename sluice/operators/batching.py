@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.operators.ranking import BUCKET_WIDTH, whole, with_position
+from sluice.operators.ranking import BUCKET_WIDTH, LEVELS, whole, with_position
 
 # Default size and age limit of a batch.
 MAX_COUNT = 1000
@@ -17,16 +17,16 @@ RUN_BLOCKS = 1 << 10
 
 
 def chunks(df: DataFrame, order: str, max_count: int = MAX_COUNT, name: str = "chunk",
-           width: int = BUCKET_WIDTH, totals_from: DataFrame | None = None) -> DataFrame:
+           width: int = BUCKET_WIDTH, totals_from: DataFrame | None = None, levels: int = LEVELS) -> DataFrame:
     """Cut the whole stream, in arrival order, into chunks of ``max_count`` records."""
-    placed = with_position(df, [], order, "_position", width, totals_from=totals_from)
+    placed = with_position(df, [], order, "_position", width, levels, totals_from)
     return placed.withColumn(name, whole(F.col("_position"), max_count)).drop("_position")
 
 
 def count_batches(df: DataFrame, keys: list[str], order: str, max_count: int = MAX_COUNT, name: str = "batch",
-                  width: int = BUCKET_WIDTH) -> DataFrame:
+                  width: int = BUCKET_WIDTH, levels: int = LEVELS) -> DataFrame:
     """Cut each key, in order, into batches of ``max_count`` records."""
-    placed = with_position(df, keys, order, "_position", width)
+    placed = with_position(df, keys, order, "_position", width, levels)
     return placed.withColumn(name, whole(F.col("_position"), max_count)).drop("_position")
 
 
@@ -50,10 +50,22 @@ def batch_text(topic: Column, messages: Column, partition: str = "partition", of
     )
 
 
-def _ends(times: np.ndarray, size: int, max_count: int, max_millis: int) -> list[int]:
-    """Where the batch that starts at each of the first ``size`` rows ends (start of the next batch)."""
-    by_time = np.searchsorted(times, times[:size] + max_millis, side="left")
-    return np.minimum(np.arange(size) + max_count, by_time).tolist()
+def _ends(times: np.ndarray, size: int, max_count: int, max_millis: int) -> np.ndarray:
+    """Where the batch that starts at each of the first ``size`` rows ends (start of the next batch).
+
+    That is the first later row that is old enough, whatever the order of times: runs of 2^k rows whose
+    latest time is too early are skipped, longest first.
+    """
+    latest = [times]
+    while 2 << (len(latest) - 1) <= min(max_count, len(times)):
+        half = 1 << (len(latest) - 1)
+        latest.append(np.maximum(latest[-1][:-half], latest[-1][half:]))
+    ends, limit = np.arange(1, size + 1), times[:size] + max_millis
+    for k in reversed(range(len(latest))):
+        fits = ends < len(latest[k])
+        early = fits & (latest[k][np.where(fits, ends, 0)] < limit)
+        ends = np.where(early, ends + (1 << k), ends)
+    return np.minimum(ends, np.arange(size) + max_count)
 
 
 def _transfer(max_count: int, max_millis: int):
@@ -63,15 +75,13 @@ def _transfer(max_count: int, max_millis: int):
         block = block.sort_values("_position", kind="stable")
         size = int((~block["_halo"]).sum())
         ends = _ends(block["_time"].to_numpy(), size, max_count, max_millis)
-        leave, batches = [0] * size, [0] * size
-        for i in range(size - 1, -1, -1):
-            end = ends[i]
-            if end < size:
-                leave[i], batches[i] = leave[end], batches[end] + 1
-            else:
-                leave[i], batches[i] = end - size, 1
+        batches = np.ones(size, dtype=np.int64)
+        # each turn doubles how many batches are followed at once
+        while (inside := ends < size).any():
+            at = ends[inside]
+            batches[inside], ends[inside] = batches[inside] + batches[at], ends[at]
         out = block.head(1).drop(columns=["_position", "_time", "_halo", "_order"])
-        out["_leave"], out["_batches"] = [leave[:max_count]], [batches[:max_count]]
+        out["_leave"], out["_batches"] = [(ends[:max_count] - size).tolist()], [batches[:max_count].tolist()]
         return out
 
     return transfer
@@ -122,10 +132,12 @@ def _assign(max_count: int, max_millis: int):
         size = int((~block["_halo"]).sum())
         ends = _ends(block["_time"].to_numpy(), size, max_count, max_millis)
         start, number = int(block["_entry"].iloc[0]), int(block["_number"].iloc[0])
-        batch = np.full(size, number - 1, dtype=np.int64)
-        while start < size:
-            batch[start : ends[start]] = number
-            start, number = ends[start], number + 1
+        starts = np.array([start] if start < size else [], dtype=np.int64)
+        # each turn doubles how many starts are known
+        while len(further := ends[starts][ends[starts] < size]):
+            starts = np.concatenate([starts, further])
+            ends = np.where(ends < size, ends[np.minimum(ends, size - 1)], ends)
+        batch = number - 1 + np.cumsum(np.bincount(starts, minlength=size))
         kept = [c for c in block.columns if c.startswith("_key")] + ["_order"]
         return block.loc[~block["_halo"], kept].assign(_batch=batch)
 
@@ -134,7 +146,7 @@ def _assign(max_count: int, max_millis: int):
 
 def count_or_time_batches(df: DataFrame, keys: list[str], order: str, time: str, max_count: int = MAX_COUNT,
                           max_millis: int = MAX_MILLIS, name: str = "batch", block_rows: int = BLOCK_ROWS,
-                          run_blocks: int = RUN_BLOCKS, width: int = BUCKET_WIDTH) -> DataFrame:
+                          run_blocks: int = RUN_BLOCKS, width: int = BUCKET_WIDTH, levels: int = LEVELS) -> DataFrame:
     """Cut each key into batches that close at ``max_count`` rows or ``max_millis`` after their first row.
 
     Each batch start depends on the one before, so the rule is sequential per key. To keep a hot key
@@ -144,17 +156,21 @@ def count_or_time_batches(df: DataFrame, keys: list[str], order: str, time: str,
     the blocks of each run, and all blocks number their rows in parallel. A block also sees the
     ``max_count`` rows after it, because its last batch may reach over its end.
 
-    ``time`` is in milliseconds and must not decrease along ``order`` within a key. ``max_millis=0``
-    means count only.
+    ``time`` is in milliseconds, in any order: a batch closes at the first row whose time is
+    ``max_millis`` after that of its first. ``max_millis=0`` means count only. A NULL key is a key like any
+    other; a block has at least ``max_count`` rows.
     """
     if max_millis <= 0:
-        return count_batches(df, keys, order, max_count, name, width)
-    if block_rows < max_count:
-        raise ValueError("block_rows has to be at least max_count")
-    key_names = [f"_key{i}" for i in range(len(keys))]
-    placed = with_position(df, keys, order, "_position", width)
+        return count_batches(df, keys, order, max_count, name, width, levels)
+    block_rows = max(block_rows, max_count)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    # all keys as one text, which is never NULL, so that joins keep rows with NULL keys
+    key_names = ["_key"] if keys else []
+    named = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    df = df.withColumn("_key", F.to_json(F.to_variant_object(named))) if keys else df
+    placed = with_position(df, keys, order, "_position", width, levels)
     slim = placed.select(
-        *[F.col(k).alias(a) for k, a in zip(keys, key_names)],
+        *key_names,
         F.col(order).alias("_order"), "_position", F.col(time).cast("bigint").alias("_time"),
     )
     types = {f.name: f.dataType.simpleString() for f in slim.schema}
@@ -183,7 +199,5 @@ def count_or_time_batches(df: DataFrame, keys: list[str], order: str, time: str,
     numbered = blocks.join(entries, block_key).groupBy(*block_key).applyInPandas(
         _assign(max_count, max_millis), ddl("_order", "_batch")
     )
-    back = numbered.select(
-        *[F.col(a).alias(k) for k, a in zip(keys, key_names)], F.col("_order").alias(order), F.col("_batch").alias(name)
-    )
-    return df.join(back, [*keys, order])
+    back = numbered.select(*key_names, F.col("_order").alias(order), F.col("_batch").alias(name))
+    return df.join(back, [*key_names, order]).select(*columns, name)

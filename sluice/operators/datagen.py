@@ -8,32 +8,47 @@ entries, unions their first non-null branch. So leaf ``k`` of a record uses the
 from __future__ import annotations
 
 import json
+from collections.abc import Generator
+from functools import cache
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluice.functions import codec, seeds as S
 
 PRIMITIVES = ("null", "boolean", "int", "long", "float", "double", "bytes", "string")
-MAX_DEPTH = 32
 
 
 class BadSchema(ValueError):
     """The text is not an Avro schema, or the schema has no finite sample."""
 
 
+def _unwound(task: Generator) -> Any:
+    """Run a generator that yields its inner calls and is sent their results, however deep they nest."""
+    open_, result = [task], None
+    while open_:
+        try:
+            open_.append(open_[-1].send(result))
+            result = None
+        except StopIteration as ended:
+            open_.pop()
+            result = ended.value
+    return result
+
+
 def parse_schema(text: str) -> Any:
     """Avro schema text as Python data."""
     try:
         schema = json.loads(text)
     except ValueError as error:
         raise BadSchema(f"not JSON: {error}") from error
-    _check(schema, {})
+    _unwound(_check(schema, {}))
     return schema
 
 
-def _check(schema: Any, names: dict[str, Any]) -> None:
+def _check(schema: Any, names: dict[str, Any]) -> Generator:
     if isinstance(schema, str):
         if schema not in PRIMITIVES and schema.rpartition(".")[2] not in names:
             raise BadSchema(f"unknown type {schema}")
@@ -41,7 +56,7 @@ def _check(schema: Any, names: dict[str, Any]) -> None:
         if not schema:
             raise BadSchema("an empty union")
         for branch in schema:
-            _check(branch, names)
+            yield _check(branch, names)
     elif isinstance(schema, dict) and "type" in schema:
         kind = schema["type"]
         needs = {"record": "fields", "enum": "symbols", "fixed": "size", "array": "items", "map": "values"}
@@ -55,19 +70,24 @@ def _check(schema: Any, names: dict[str, Any]) -> None:
             for inner in schema.get("fields", []) if kind == "record" else []:
                 if not isinstance(inner, dict) or "type" not in inner or "name" not in inner:
                     raise BadSchema("a field without name or type")
-                _check(inner["type"], names)
+                yield _check(inner["type"], names)
             if kind in ("array", "map"):
-                _check(schema[needs[kind]], names)
+                yield _check(schema[needs[kind]], names)
         else:
-            _check(kind, names)
+            yield _check(kind, names)
     else:
         raise BadSchema(f"not a schema: {schema!r:.80}")
 
 
 def _nullable(branch: Any) -> bool:
-    return branch == "null" or isinstance(branch, list) and any(_nullable(b) for b in branch) or (
-        isinstance(branch, dict) and branch.get("type") == "null"
-    )
+    open_ = [branch]
+    while open_:
+        found = open_.pop()
+        if found == "null" or isinstance(found, dict) and found.get("type") == "null":
+            return True
+        if isinstance(found, list):
+            open_.extend(found)
+    return False
 
 
 class _Columns:
@@ -120,7 +140,10 @@ class _Values:
     def leaf(self, kind: str, draw: int) -> Any:
         s = self._at(draw)
         low_int = _signed(s, 32)
-        if kind in ("float", "double"):
+        if kind == "float":
+            # 32 bits, as the column has
+            return float(np.int64(s).astype(np.float32))
+        if kind == "double":
             return float(s)
         if kind == "boolean":
             return (abs(s) % 7) % 2 == 0
@@ -152,31 +175,36 @@ def seed_text(seed: Column) -> Column:
     return F.lower(F.hex(seed))
 
 
-def _build(schema: Any, draw: int, out: Any, names: dict[str, Any], depth: int = 0) -> tuple[int, Any]:
-    """Sample of a schema from draw number ``draw`` on: (next draw number, value)."""
-    if depth > MAX_DEPTH:
-        raise BadSchema(f"the schema nests deeper than {MAX_DEPTH} levels; is it recursive?")
+def _build(schema: Any, draw: int, out: Any, names: dict[str, Any], inside: set[int]) -> Generator:
+    """Sample of a schema from draw number ``draw`` on: (next draw number, value).
+
+    ``inside`` has the records being built: one that holds itself has no finite sample.
+    """
 
-    def inner(child: Any, at: int) -> tuple[int, Any]:
-        return _build(child, at, out, names, depth + 1)
+    def inner(child: Any, at: int) -> Generator:
+        return _build(child, at, out, names, inside)
 
     if isinstance(schema, list):
         first = next((b for b in schema if not _nullable(b)), None)
-        return (draw, out.null()) if first is None else inner(first, draw)
+        return (draw, out.null()) if first is None else (yield inner(first, draw))
     if isinstance(schema, str):
         if schema == "null":
             return draw, out.null()
         if schema in PRIMITIVES:
             return draw + 1, out.leaf(schema, draw)
-        return inner(names[schema.rpartition(".")[2]], draw)
+        return (yield inner(names[schema.rpartition(".")[2]], draw))
     kind = schema["type"]
     if kind in ("record", "enum", "fixed"):
         names[schema["name"].rpartition(".")[2]] = schema
     if kind == "record":
+        if id(schema) in inside:
+            raise BadSchema(f"{schema['name']} holds itself")
+        inside.add(id(schema))
         fields = []
         for f in schema["fields"]:
-            draw, value = inner(f["type"], draw)
+            draw, value = yield inner(f["type"], draw)
             fields.append((f["name"], value))
+        inside.remove(id(schema))
         return draw, out.record(fields)
     if kind == "enum":
         # no draw: the next field sees the same seed
@@ -184,26 +212,30 @@ def _build(schema: Any, draw: int, out: Any, names: dict[str, Any], depth: int =
     if kind == "fixed":
         return draw + 1, out.leaf("fixed", draw)
     if kind == "array":
-        draw, a = inner(schema["items"], draw)
-        draw, b = inner(schema["items"], draw)
+        draw, a = yield inner(schema["items"], draw)
+        draw, b = yield inner(schema["items"], draw)
         return draw, out.array([a, b])
     if kind == "map":
         first, second = out.leaf("string", draw), out.leaf("string", draw + 1)
-        draw, a = inner(schema["values"], draw + 2)
-        draw, b = inner(schema["values"], draw)
+        draw, a = yield inner(schema["values"], draw + 2)
+        draw, b = yield inner(schema["values"], draw)
         return draw, out.map([(first, a), (second, b)])
-    return inner(kind, draw)
+    return (yield inner(kind, draw))
 
 
 def sample(schema: str | Any, seed: Column) -> Column:
     """Sample record of one schema as a column: pure column logic, no per-row Python."""
     parsed = parse_schema(schema) if isinstance(schema, str) else schema
-    return _build(parsed, 0, _Columns(seed), {})[1]
+    return _unwound(_build(parsed, 0, _Columns(seed), {}, set()))[1]
 
 
 def sample_text(schema: str, seed: int) -> str:
     """Sample record of one schema as compact JSON text."""
-    value = _build(parse_schema(schema), 0, _Values(seed), {})[1]
+    return _parsed_sample_text(parse_schema(schema), seed)
+
+
+def _parsed_sample_text(parsed: Any, seed: int) -> str:
+    value = _unwound(_build(parsed, 0, _Values(seed), {}, set()))[1]
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
@@ -215,10 +247,13 @@ def sample_json(schema_text: Column, seed: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def generate(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        # many rows often share a schema
+        parsed = cache(parse_schema)
+
         def one(text: str | None, s: int) -> str | None:
             try:
-                return None if text is None else sample_text(text, int(s))
-            except (BadSchema, RecursionError):
+                return None if text is None else _parsed_sample_text(parsed(text), int(s))
+            except BadSchema:
                 return None
 
         return pd.Series([one(t, s) for t, s in zip(texts, seeds)], dtype=object)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.operators.ranking import BUCKET_WIDTH, with_previous
+from sluice.operators.ranking import BUCKET_WIDTH, LEVELS, with_previous
 
 
 def current(log: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def current(log: DataFrame) -> DataFrame:
     return last.where(F.col("last.op") == "put").select("path", "last.body", "last.seq")
 
 
-def outcomes(log: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+def outcomes(log: DataFrame, width: int = BUCKET_WIDTH, levels: int = LEVELS) -> DataFrame:
     """Each change with ``existed``: whether the path held a document before it.
 
     ``status`` is 201 for a created and 200 for an updated document, 200 or 410 for a delete of an
     existing or a missing one.
     """
-    seen = with_previous(log, ["path"], "seq", "op", "_before", width)
+    seen = with_previous(log, ["path"], "seq", "op", "_before", width, levels)
     existed = F.coalesce(F.col("_before") == "put", F.lit(False))
     status = F.when(F.col("op") == "put", F.when(existed, 200).otherwise(201)).otherwise(F.when(existed, 200).otherwise(410))
     return seen.withColumns({"existed": existed, "status": status}).drop("_before")

@@ -25,11 +25,11 @@ TEMPLATE = T.StructType(
 _STRIDE = 1 << 16
 
 
-def repeat(df: DataFrame, times: str = "repeat", index: str = "index", spread: bool = False) -> DataFrame:
+def repeat(df: DataFrame, times: str = "repeat", index: str = "index", spread: bool = True) -> DataFrame:
     """Each row ``max(times, 1)`` times with indices from 0.
 
-    Indices are laid out in strides, so one row with a large count needs no large array. ``spread``
-    also redistributes the strides, for few rows with very large counts.
+    Indices are laid out in strides, so one row with a large count needs no large array, and the strides
+    are dealt out over all tasks; ``spread=False`` leaves them where their row is.
     """
     top = F.greatest(F.coalesce(F.col(times), F.lit(0)), F.lit(1)).cast("bigint") - 1
     strides = df.withColumn("_top", top)

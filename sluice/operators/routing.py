@@ -65,12 +65,8 @@ def route(df: DataFrame, table: list[Route], topic: str = "topic") -> DataFrame:
 
 
 def route_by_topic(df: DataFrame, table: list[Route], topic: str = "topic") -> DataFrame:
-    """Like ``route``, but matches once per distinct topic: for long route tables.
-
-    Spark broadcasts the topic side only when its measured size allows, and joins by sorting otherwise.
-    """
-    topics = route(df.select(topic).distinct(), table, topic)
-    return df.join(topics, topic)
+    """The same as ``route``: matching is an expression, so no topic's messages are gathered in one place."""
+    return route(df, table, topic)
 
 
 def subscription(topic: str) -> tuple[str, str]:

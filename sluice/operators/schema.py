@@ -12,7 +12,6 @@ from sluice.functions import codec, dynamic as D
 # An array's items have no name; in a path they are the NULL step.
 ITEM = None
 PATH = "array<string>"
-MAX_PATHS = 100_000
 
 # The types a JSON value is given.
 JSON_TYPES = ("NULL", "BOOLEAN", "INT", "LONG", "DOUBLE", "STRING", "ARRAY", "RECORD")
@@ -100,17 +99,14 @@ class Node:
         return sum(self.types.values())
 
 
-def fold(collected: DataFrame, max_paths: int = MAX_PATHS) -> Node:
-    """Merged schema from a ``path_types`` table; only the distinct paths reach the driver.
+def fold(collected: DataFrame) -> Node:
+    """Merged schema from a ``path_types`` table: its rows are the schema's own nodes, so they fit where it does.
 
-    Objects used as maps, with data for keys, have no useful schema: too many paths are an error. The
-    ``path_types`` table itself has no limit.
+    They are read a partition at a time. Objects used as maps, with data for keys, make a schema as large as
+    their data; look at the ``path_types`` table instead.
     """
     root = Node()
-    rows = collected.select("path", "type", "n").limit(max_paths + 1).collect()
-    if len(rows) > max_paths:
-        raise ValueError(f"more than {max_paths} different paths: the objects' keys seem to be data")
-    for row in rows:
+    for row in collected.select("path", "type", "n").toLocalIterator():
         node = root
         for step in row["path"]:
             node = node.child(step)
@@ -210,25 +206,52 @@ def read_typed(df: DataFrame, json_text: str, schema: T.StructType, name: str =
 
 
 def union_all(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of both; all columns of both, absent ones NULL, differing types as VARIANT."""
-    theirs = {f.name: f.dataType for f in right.schema}
-    clash = {
-        f.name for f in left.schema if f.name in theirs and f.dataType.simpleString() != theirs[f.name].simpleString()
-    }
+    """Rows of both; all columns of both, absent ones NULL.
+
+    Records merge field by field, also inside arrays, maps and other records; other types that differ
+    become VARIANT.
+    """
+    both = _merged(left.schema, right.schema)
 
     def widen(df: DataFrame) -> DataFrame:
-        return df.select(
-            *[
-                F.when(F.col(f.name).isNotNull(), _variant(F.col(f.name), f.dataType)).alias(f.name)
-                if f.name in clash
-                else F.col(f.name)
-                for f in df.schema
-            ]
-        )
+        return df.select(*[_as(F.col(f"`{f.name}`"), f.dataType, both[f.name].dataType).alias(f.name) for f in df.schema])
 
     return widen(left).unionByName(widen(right), allowMissingColumns=True)
 
 
+def _merged(a: T.DataType, b: T.DataType) -> T.DataType:
+    if a.simpleString() == b.simpleString():
+        return a
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        of_a, of_b = ({f.name: f.dataType for f in t.fields} for t in (a, b))
+        names = [*of_a, *(n for n in of_b if n not in of_a)]
+        return T.StructType([
+            T.StructField(n, _merged(of_a[n], of_b[n]) if n in of_a and n in of_b else of_a.get(n) or of_b[n]) for n in names
+        ])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_merged(a.elementType, b.elementType))
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType) and a.keyType == b.keyType:
+        return T.MapType(a.keyType, _merged(a.valueType, b.valueType))
+    return T.VariantType()
+
+
+def _as(col: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value of one type as the type it was merged to."""
+    if have.simpleString() == want.simpleString():
+        return col
+    if isinstance(want, T.VariantType):
+        return F.when(col.isNotNull(), _variant(col, have))
+    if isinstance(want, T.StructType):
+        own = {f.name: f.dataType for f in have.fields}
+        fields = [
+            _as(col.getField(f.name), own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType) for f in want.fields
+        ]
+        return F.when(col.isNotNull(), F.struct(*[c.alias(f.name) for c, f in zip(fields, want.fields)]))
+    if isinstance(want, T.ArrayType):
+        return F.transform(col, lambda x: _as(x, have.elementType, want.elementType))
+    return F.transform_values(col, lambda _, v: _as(v, have.valueType, want.valueType))
+
+
 def _variant(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.VariantType):
         return col

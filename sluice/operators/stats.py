@@ -78,13 +78,17 @@ def results_text(results: Column) -> Column:
 
 
 def results_json(results: Column) -> Column:
-    """JSON of one record's HTTP results: one object, or an array unless there is exactly one."""
-    objects = F.transform(
-        results,
-        lambda r: F.to_variant_object(
-            F.struct(H.to_json(r["request"]).alias("request"), H.response_json(r["response"]).alias("response"))
-        ),
-    )
+    """JSON of one record's HTTP results: one object, or an array unless there is exactly one.
+
+    A request without a response gives an object with the field ``error``.
+    """
+
+    def object_(r: Column) -> Column:
+        answered = F.struct(H.to_json(r["request"]).alias("request"), H.response_json(r["response"]).alias("response"))
+        failed = F.struct(result_text(r["request"], r["response"]).alias("error"))
+        return F.when(r["response"].isNull(), F.to_variant_object(failed)).otherwise(F.to_variant_object(answered))
+
+    objects = F.transform(results, object_)
     return F.when(F.size(results) == 1, F.element_at(objects, 1)).otherwise(F.to_variant_object(objects))
 
 

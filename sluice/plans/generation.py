@@ -139,7 +139,7 @@ def _text(s: str) -> str:
     return f"lower(to_hex({s}))"
 
 
-_DAYS = "['MONDAY', 'TUESDAY', 'WEDNESDAY', 'THURSDAY', 'FRIDAY', 'SATURDAY', 'SUNDAY']"
+_DAYS = next(f["type"]["symbols"] for f in json.loads(EXAMPLE)[0]["fields"] if f["name"] == "day")
 
 
 @query("G-1", sql="""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,7 +35,32 @@ _RESULTS = pa.list_(
 )
 
 
-def _send_one(request: dict, transport: Transport, attempts: int, backoff: float) -> dict:
+# How long one attempt may take, and how many messages of a batch are sent at a time.
+TIMEOUT = 30.0
+PARALLEL = 8
+
+
+def _within(seconds: float, call: Callable[[], tuple[int, str]]) -> tuple[int, str]:
+    """A call's result, or TimeoutError when the time is over; nobody waits for the call any longer then."""
+    ended: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work() -> None:
+        try:
+            ended.put((call(), None))
+        except Exception as failure:
+            ended.put((None, failure))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        found, failure = ended.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no response within {seconds:g} s") from None
+    if failure is not None:
+        raise failure
+    return found
+
+
+def _send_one(request: dict, transport: Transport, attempts: int, backoff: float, timeout: float) -> dict:
     """Send with bounded retries; a failure becomes an error text, never an exception."""
     started, error, response, tried = time.monotonic(), None, None, 0
     while tried < attempts and response is None:
@@ -40,7 +68,8 @@ def _send_one(request: dict, transport: Transport, attempts: int, backoff: float
             time.sleep(backoff * 2 ** (tried - 1))
         tried += 1
         try:
-            status, body = transport(request["method"], request["url"], dict(request["headers"] or []), request["body"])
+            headers = dict(request["headers"] or [])
+            status, body = _within(timeout, lambda: transport(request["method"], request["url"], headers, request["body"]))
             response, error = {"statusCode": status, "body": body}, None
         except Exception as failure:
             error = f"{type(failure).__name__}: {failure}"
@@ -48,20 +77,25 @@ def _send_one(request: dict, transport: Transport, attempts: int, backoff: float
     return {"request": request, "response": response, "error": error, "attempts": tried, "millis": millis}
 
 
-def send_all(requests: Column, transport: Transport, attempts: int = 1, backoff: float = 0.5) -> Column:
+def send_all(requests: Column, transport: Transport, attempts: int = 1, backoff: float = 0.5, timeout: float = TIMEOUT,
+             parallel: int = PARALLEL) -> Column:
     """Send each row's requests and keep (request, response or error, attempts, millis) in the row.
 
-    Results stay with their message, so no shuffle gathers them again.
+    Results stay with their message, so no shuffle gathers them again. A message's requests are sent in
+    order, those of ``parallel`` messages of a task at once; an attempt ends after ``timeout`` seconds.
     """
 
+    def of_message(row: list[dict] | None) -> list[dict]:
+        return [_send_one(r, transport, attempts, backoff, timeout) for r in row or []]
+
     @F.arrow_udf(RESULTS)
     def send(batch: pa.Array) -> pa.Array:
-        rows = batch.to_pylist()
-        return pa.array([[_send_one(r, transport, attempts, backoff) for r in row or []] for row in rows], _RESULTS)
+        with ThreadPoolExecutor(parallel) as pool:
+            return pa.array(list(pool.map(of_message, batch.to_pylist())), _RESULTS)
 
     return send.asNondeterministic()(requests)
 
 
 def post_all(df: DataFrame, requests: str, transport: Transport, *, attempts: int = 1, backoff: float = 0.5,
-             results: str = "results") -> DataFrame:
-    return df.withColumn(results, send_all(F.col(requests), transport, attempts, backoff))
+             timeout: float = TIMEOUT, parallel: int = PARALLEL, results: str = "results") -> DataFrame:
+    return df.withColumn(results, send_all(F.col(requests), transport, attempts, backoff, timeout, parallel))

@@ -21,10 +21,16 @@ def materialised(df: DataFrame, kind: Column | None = None, id_: Column | None =
     )
 
 
-def append(rows: DataFrame, path: str | None) -> int:
-    """Append to a Parquet table and return how many rows were written; -1 when no table is configured."""
+def append(rows: DataFrame, path: str | None, pipeline: str | None = None, epoch: int | None = None) -> int:
+    """Append to a Parquet table and return how many rows were written; -1 when no table is configured.
+
+    With the pipeline and epoch of a micro-batch, a replay replaces what it wrote before; ``read_epochs``
+    reads such a table.
+    """
     if not path:
         return NO_TABLE
+    if pipeline is not None and epoch is not None:
+        return _counted(rows, lambda df: write_epoch(df, path, pipeline, epoch))
     return _counted(rows, lambda df: df.write.mode("append").parquet(path))
 
 

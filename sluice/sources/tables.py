@@ -14,9 +14,27 @@ def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def jdbc_query(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A query that the database runs; needs its driver on the classpath."""
-    return lower_names(spark.read.format("jdbc").options(url=url, query=query, **options).load())
+def jdbc_options(url: str, query: str, split: tuple[str, int, int, int] | None = None, **options: str) -> dict[str, str]:
+    """Reader options; ``split`` has a numeric column, its bounds and the number of tasks.
+
+    The bounds only place the cuts: rows beyond them go to the first and last task.
+    """
+    if split is None:
+        return {"url": url, "query": query, **options}
+    column, low, high, tasks = split
+    parts = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(tasks)}
+    return {"url": url, "dbtable": f"({query}) q", **parts, **options}
+
+
+def jdbc_query(spark: SparkSession, url: str, query: str, *, split: tuple[str, int, int, int] | None = None,
+               row_order: str | None = None, **options: str) -> DataFrame:
+    """A query that the database runs; needs its driver on the classpath.
+
+    One task reads it all unless ``split`` says how to part it. ``row_order``, a unique integral column,
+    adds ``$row``.
+    """
+    rows = lower_names(spark.read.format("jdbc").options(**jdbc_options(url, query, split, **options)).load())
+    return with_row_numbers(rows, row_order) if row_order else rows
 
 
 def sql_query(spark: SparkSession, query: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -13,6 +14,9 @@ from sluice.operators.batching import MAX_COUNT, MAX_MILLIS
 from sluice.operators.routing import subscription
 
 
+RANDOM = "<random>"
+
+
 class KafkaUnavailable(RuntimeError):
     """Raised when the Kafka connector is not on the session's classpath."""
 
@@ -40,6 +44,9 @@ class TopicConfig:
     options: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        if self.topic == RANDOM:
+            # a new topic of its own
+            self.topic = f"topic{uuid.uuid4().hex}"
         starting_offsets(self.offset)
         wire_type(self.key_type)
         wire_type(self.value_type)

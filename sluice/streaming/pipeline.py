@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -38,7 +39,10 @@ def error_kind(error: BaseException) -> str:
     return "expression"
 
 
-DEAD_LETTERS = "topic string, partition int, offset bigint, handler string, error_kind string, error string"
+DEAD_LETTERS = (
+    "topic string, partition int, offset bigint, handler string, error_kind string, error string, "
+    "key string, content string, headers map<string,string>, timestamp bigint"
+)
 STATS = "topic string, handler string, records bigint, batches bigint, failed boolean"
 LOGS = "stream string, seq int, line string"
 RECENT = "kind string, topic string, partition int, offset bigint, key string, message string, value string, timestamp bigint"
@@ -50,9 +54,9 @@ class Tables:
 
     base: str
 
-    @property
-    def output(self) -> str:
-        return f"{self.base}/output"
+    def output(self, handler: str) -> str:
+        # a handler may be named like a path
+        return f"{self.base}/output/handler={quote(handler, safe='')}"
 
     @property
     def dead_letters(self) -> str:
@@ -133,14 +137,18 @@ class Pipeline:
             raise ConversionError(f"no handler named {name}")
         produced = self.handlers[name](messages, self.context)
         if produced is not None:
-            write_epoch(produced, f"{self.tables.output}/handler={name}", self.name, epoch)
+            write_epoch(produced, self.tables.output(name), self.name, epoch)
 
     def _write_dead_letters(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
         kind, text = F.when(F.col("handler").isNull(), "compile"), F.when(F.col("handler").isNull(), F.col("route_error"))
         for handler, (failed_kind, failed_text) in failures.items():
             kind = kind.when(F.col("handler") == handler, failed_kind)
             text = text.when(F.col("handler") == handler, failed_text)
-        marked = routed.select("topic", "partition", "offset", "handler", kind.alias("error_kind"), text.alias("error"))
+        # with all that it takes to send the message again
+        marked = routed.select(
+            "topic", "partition", "offset", "handler", kind.alias("error_kind"), text.alias("error"),
+            F.to_json("key").alias("key"), F.to_json("content").alias("content"), "headers", "timestamp",
+        )
         write_epoch(marked.where(F.col("error_kind").isNotNull()), self.tables.dead_letters, self.name, epoch)
 
     def _write_recent(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
@@ -170,7 +178,7 @@ class Pipeline:
         )
 
     def output(self, spark: SparkSession, handler: str, schema: str) -> DataFrame:
-        return read_epochs(spark, f"{self.tables.output}/handler={handler}", schema)
+        return read_epochs(spark, self.tables.output(handler), schema)
 
     def dead_letters(self, spark: SparkSession) -> DataFrame:
         return read_epochs(spark, self.tables.dead_letters, DEAD_LETTERS)
@@ -230,14 +238,14 @@ class Manager:
     def stop(self, id_: str) -> bool:
         """Stop a pipeline; False if it was not running."""
         found = self._running.pop(id_, None)
-        if found is None:
+        if found is None or not found.query.isActive:
             return False
         found.query.stop()
         return True
 
     def running(self) -> list[Running]:
-        """Running pipelines by start time."""
-        return sorted(self._running.values(), key=lambda r: r.started_at)
+        """Running pipelines by start time; those that have ended or failed are none."""
+        return sorted((r for r in self._running.values() if r.query.isActive), key=lambda r: r.started_at)
 
     def pipeline(self, id_: str) -> Pipeline | None:
         """A pipeline this manager has started, also after it was stopped."""
@@ -249,8 +257,9 @@ class Manager:
         return found.statistics(self.spark) if found else None
 
     def input_rows(self, id_: str) -> int:
-        """Rows the recent micro-batches of a pipeline have read."""
-        return sum(p["numInputRows"] for p in self._running[id_].query.recentProgress)
+        """Messages a pipeline has dispatched, in all its micro-batches."""
+        known = self.stats(id_)
+        return 0 if known is None else known.agg(F.sum("total_records")).first()[0] or 0
 
 
 def run_once(messages: DataFrame, pipeline: Pipeline, timeout: int | None = None) -> None:

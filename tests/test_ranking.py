@@ -99,9 +99,22 @@ def test_count_or_time(frame, rows, max_count, max_millis, block_rows, run_block
     assert {(r["k"], r["o"]): r["batch"] for r in cut.collect()} == closed(rows, max_count, max_millis)
 
 
-def test_blocks_have_to_hold_a_batch(frame):
-    with pytest.raises(ValueError, match="block_rows"):
-        batching.count_or_time_batches(frame, ["k"], "o", "t", 100, 10, block_rows=50)
+def test_blocks_hold_a_batch_at_least(frame, rows):
+    cut = batching.count_or_time_batches(frame, ["k"], "o", "t", 100, 400, block_rows=50, width=16)
+    assert {(r["k"], r["o"]): r["batch"] for r in cut.collect()} == closed(rows, 100, 400)
+
+
+@pytest.mark.parametrize("max_count, max_millis", [(1, 100), (3, 100), (8, 1000), (20, 10**9), (16, 400), (5, 1)])
+def test_count_or_time_with_times_out_of_order_and_a_null_key(spark, max_count, max_millis):
+    draw = random.Random(max_count)
+    rows = [(k, o * 3, draw.randrange(3000)) for k in ("a", None) for o in range(150)]
+    frame = spark.createDataFrame(rows, "k string, o bigint, t bigint")
+    cut = batching.count_or_time_batches(frame, ["k"], "o", "t", max_count, max_millis, block_rows=20, run_blocks=3, width=16)
+    assert cut.columns == ["k", "o", "t", "batch"]
+    expected = {}
+    for key in ("a", None):
+        expected |= {(key, o): b for (_, o), b in closed([("x", *r[1:]) for r in rows if r[0] == key], max_count, max_millis).items()}
+    assert {(r["k"], r["o"]): r["batch"] for r in cut.collect()} == expected
 
 
 def test_count_only_gives_34_batches_of_101_records(spark):

@@ -101,6 +101,35 @@ def test_missing_handler_goes_to_dead_letters(spark, record_dir):
     assert {r["error_kind"] for r in p.dead_letters(spark).collect()} == {"convert"}
 
 
+def test_dead_letters_hold_the_whole_message(spark, record_dir):
+    p = pipeline(spark)
+    p.dispatch(topics.envelopes(spark.read.schema(envelope.RECORD).parquet(record_dir), CONFIG), 0)
+    letter = p.dead_letters(spark).where("offset = 58").first()
+    assert (letter["topic"], letter["key"], letter["content"]) == ("bad", '{"id":58}', '{"n":58}')
+    assert letter["timestamp"] is not None and "headers" in letter.asDict()
+
+
+def test_handlers_named_like_paths(spark, record_dir):
+    p = Pipeline("p", routes(("good*", "path/to/x.sc")), {"path/to/x.sc": good}, Tables(session.shared_dir(spark, "pipeline")))
+    p.dispatch(topics.envelopes(spark.read.schema(envelope.RECORD).parquet(record_dir), CONFIG), 0)
+    assert p.output(spark, "path/to/x.sc", OUTPUT).count() == 30
+
+
+def test_pipelines_that_have_ended_do_not_run(spark, record_dir):
+    manager = Manager(spark)
+    ended = manager.start(stream(spark, record_dir), ROUTES, {"good": good, "bad": bad}, trigger={"availableNow": True})
+    manager._running[ended].query.awaitTermination()
+    assert manager.running() == [] and manager.input_rows(ended) == 60
+    assert manager.stop(ended) is False
+
+
+def test_append_of_a_replayed_micro_batch_does_not_add(spark):
+    path = session.shared_dir(spark, "append")
+    rows = spark.range(5).selectExpr("id AS n")
+    assert [tables.append(rows, path, "p", epoch) for epoch in (3, 3, 4)] == [5, 5, 5]
+    assert tables.read_epochs(spark, path, "n bigint").count() == 10
+
+
 def test_error_kinds(spark):
     with pytest.raises(Exception) as caught:
         spark.range(1).select("nope")
