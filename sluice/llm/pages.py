@@ -2,8 +2,10 @@
 
 Pages are range-partitioned by host and read in order, up to ``CHUNK`` pages of a host at a time, so a host
 of any size is spread over tasks and memory stays bounded. The token streams of a chunk are concatenated
-and their suffixes sorted by prefix doubling, to the depth that a repeated run must have; every run that
-stands on two distinct pages is boilerplate, and a block mostly covered by such runs goes.
+and their suffixes sorted by prefix doubling, to the depth that a repeated run must have. The runs of all
+chunks, as 64-bit hashes with their numbers of pages, meet by host and hash; every run that stands on two
+distinct pages of the host is boilerplate, whatever chunks they are in, and a block mostly covered by such
+runs goes.
 
 Markup has the last word: blocks in menus, footers, adverts and the like go even when they are unique, and
 blocks of an article element stay even when they repeat, because a copied article is no boilerplate.
@@ -13,13 +15,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sluice.llm.shared import staged
+
 CHUNK = 64
 # A chunk also ends when its pages have this many characters of markup together.
 CHUNK_CHARS = 1 << 23
@@ -119,18 +124,16 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def repeated(streams: list[np.ndarray], depth: int = DEPTH) -> list[np.ndarray]:
-    """For each page's token stream, which tokens lie in a run of ``depth`` tokens that another page has too.
+def runs(streams: list[np.ndarray], depth: int = DEPTH) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each page's runs of ``depth`` tokens by number, and for each number a place it stands at and its pages.
 
     Suffixes of the concatenated streams are ranked by their first 1, 2, 4, ... ``depth`` tokens; each page
-    ends in a token of its own, so that no run crosses pages.
+    ends in a token of its own, so that no run crosses pages. Places count in the streams put end to end.
     """
     lengths = np.array([len(s) for s in streams])
-    if not lengths.sum():
-        return [np.zeros(0, bool) for _ in streams]
-    ends = [np.append(s, -1 - i) for i, s in enumerate(streams)]
-    rank = np.unique(np.concatenate(ends), return_inverse=True)[1].astype(np.int64)
-    page = np.repeat(np.arange(len(streams)), lengths + 1)
+    tokens = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
+    cuts = np.cumsum(lengths)
+    rank = np.insert(tokens, cuts, len(tokens) + np.arange(len(streams)))
     n, width = len(rank), 1
     while width < depth:
         step = min(width, depth - width)
@@ -138,52 +141,78 @@ def repeated(streams: list[np.ndarray], depth: int = DEPTH) -> list[np.ndarray]:
         after[:n - step] = rank[step:]
         rank = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
         width += step
-    suffixes = np.argsort(rank, kind="stable")
+    page = np.repeat(np.arange(len(streams)), lengths + 1)
+    whole = np.arange(n) + depth <= np.repeat(cuts + np.arange(len(streams)), lengths + 1)
+    # neighbours in the suffix array that agree to the depth, a page counted once
+    suffixes = np.flatnonzero(whole)[np.lexsort((page[whole], rank[whole]))]
     ordered, owner = rank[suffixes], page[suffixes]
-    # neighbours in the suffix array that agree to the depth and belong to distinct pages
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    shared = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-    starts = suffixes[np.repeat(shared, np.diff(np.append(first, n)))]
-    marks = np.zeros(n + depth + 1, np.int64)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, starts + depth, -1)
-    covered = np.cumsum(marks)[:n] > 0
-    cuts = np.cumsum(lengths + 1)
-    return [covered[e - length - 1:e - 1] for e, length in zip(cuts, lengths, strict=True)]
+    fresh = np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)]
+    other = fresh | np.append(True, owner[1:] != owner[:-1])[:len(ordered)]
+    number = np.zeros(n, np.int64)
+    number[suffixes] = np.cumsum(fresh) - 1
+    first = np.flatnonzero(fresh)
+    counts = np.add.reduceat(other.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    places = suffixes[first] - page[suffixes[first]]
+    return np.split(number[whole], np.cumsum(np.maximum(lengths - depth + 1, 0))[:-1]), places, counts
+
+
+def spread(values: np.ndarray, length: int, depth: int = DEPTH) -> np.ndarray:
+    """For each of ``length`` tokens the largest value of the runs it lies in, 1 at least."""
+    most = np.ones(length, np.int64)
+    for j in range(depth if len(values) else 0):
+        np.maximum(most[j:j + len(values)], values, out=most[j:j + len(values)])
+    return most
+
+
+def repeated(streams: list[np.ndarray], depth: int = DEPTH) -> list[np.ndarray]:
+    """For each page's token stream, which tokens lie in a run of ``depth`` tokens that another page has too."""
+    numbers, _, counts = runs(streams, depth)
+    return [spread(counts[k], len(s), depth) > 1 for k, s in zip(numbers, streams, strict=True)]
+
+
+def tokens_of(blocks: list[Block]) -> tuple[np.ndarray, list[int]]:
+    """64-bit hashes of a page's tokens, the same in every process, and the number of tokens of each block."""
+    words = [["<" + b.tag, *b.text.split(" ")] for b in blocks]
+    return pd.util.hash_array(np.array([w for block in words for w in block], object), categorize=False), [len(w) for w in words]
+
+
+def run_keys(tokens: np.ndarray, host: str, depth: int = DEPTH) -> np.ndarray:
+    """64-bit hashes of the runs that start at each token, with the host."""
+    n = max(len(tokens) - depth + 1, 0)
+    keys = np.full(n, pd.util.hash_array(np.array([host], object), categorize=False)[0], np.uint64)
+    for j in range(depth if n else 0):
+        keys = (keys ^ tokens[j:j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def main_text(blocks: list[Block], counts: list[int], stands: np.ndarray) -> str:
+    """The main text of a page, from the number of the host's pages that each token's run stands on."""
+    at, kept, plain = 0, [], []
+    has_article = any(b.article and not b.dropped for b in blocks)
+    for block, count in zip(blocks, counts, strict=True):
+        share = (stands[at:at + count] > 1).mean()
+        at += count
+        if block.dropped:
+            continue
+        if has_article:
+            if block.article:
+                kept.append(block.text)
+        else:
+            plain.append(block.text)
+            if share < COVERED:
+                kept.append(block.text)
+    # a page without an article whose every block repeats is a copy, not boilerplate
+    return "\n\n".join(kept or plain)
 
 
 def main_texts(pages: list[str]) -> list[str]:
     """The main text of each page of a host."""
-    numbers: dict[str, int] = {}
     parsed = [blocks_of(p) for p in pages]
-    streams, sizes = [], []
-    for blocks in parsed:
-        tokens, counts = [], []
-        for b in blocks:
-            words = ["<" + b.tag, *b.text.split(" ")]
-            counts.append(len(words))
-            tokens += [numbers.setdefault(w, len(numbers)) for w in words]
-        streams.append(np.array(tokens, np.int64))
-        sizes.append(counts)
-    texts = []
-    for blocks, counts, covered in zip(parsed, sizes, repeated(streams), strict=True):
-        at, kept, plain = 0, [], []
-        has_article = any(b.article and not b.dropped for b in blocks)
-        for block, count in zip(blocks, counts, strict=True):
-            share = covered[at:at + count].mean()
-            at += count
-            if block.dropped:
-                continue
-            if has_article:
-                if block.article:
-                    kept.append(block.text)
-            else:
-                plain.append(block.text)
-                if share < COVERED:
-                    kept.append(block.text)
-        # a page without an article whose every block repeats is a copy, not boilerplate
-        texts.append("\n\n".join(kept or plain))
-    return texts
+    streams = [tokens_of(b) for b in parsed]
+    numbers, _, pages_of = runs([tokens for tokens, _ in streams])
+    return [main_text(blocks, sizes, spread(pages_of[k], len(tokens)))
+            for blocks, (tokens, sizes), k in zip(parsed, streams, numbers, strict=True)]
 
 
 def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,9 +235,66 @@ def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for chunk in _chunks(batches):
-        yield chunk[["page_id", "url"]].assign(text=main_texts(chunk["html"].tolist()))
+def _parsed(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Chunks as rows of pages with their blocks, and as rows of run keys with their pages, dealt to ``parts`` buckets."""
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number, chunk in enumerate(_chunks(batches)):
+            # a stage writes each of its partitions once
+            name = (TaskContext.get().partitionId() << 32) + number
+            host = chunk["_host"].iloc[0]
+            parsed = [blocks_of(p) for p in chunk["html"]]
+            streams = [tokens_of(b)[0] for b in parsed]
+            _, places, pages = runs(streams)
+            keys = run_keys(np.concatenate(streams), host)[places]
+            bucket = (keys >> np.uint64(32)) % np.uint64(parts)
+            yield chunk[["page_id", "url"]].assign(
+                chunk=name, host=host, texts=[[b.text for b in p] for p in parsed], tags=[[b.tag for b in p] for p in parsed],
+                flags=[[sum(1 << i for i, flag in enumerate(b[2:]) if flag) for b in p] for p in parsed], bucket=None, keys=None, pages=None)
+            order = np.lexsort((keys, bucket))
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            dealt = [i for i in np.split(order, cuts) if len(i)]
+            yield pd.DataFrame({
+                "page_id": None, "url": None, "chunk": name, "host": None, "texts": None, "tags": None, "flags": None,
+                "bucket": [int(bucket[i[0]]) for i in dealt], "keys": [keys[i].tobytes() for i in dealt],
+                "pages": [pages[i].astype(np.int32).tobytes() for i in dealt]})
+    return parse
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk, which of its runs stand on two or more pages of the host, and on how many."""
+    keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
+    pages = np.frombuffer(b"".join(rows["pages"]), np.int32).astype(np.int64)
+    chunk = np.repeat(rows["chunk"].to_numpy(), [len(k) // 8 for k in rows["keys"]])
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+    totals = np.repeat(np.add.reduceat(pages[order], first), np.diff(np.append(first, len(order))))
+    order, totals = order[totals > 1], totals[totals > 1]
+    by_chunk = np.argsort(chunk[order], kind="stable")
+    order, totals = order[by_chunk], totals[by_chunk]
+    cuts = np.flatnonzero(np.diff(chunk[order])) + 1
+    parts = [(o, t) for o, t in zip(np.split(order, cuts), np.split(totals, cuts), strict=True) if len(o)]
+    return pd.DataFrame({"chunk": [int(chunk[o[0]]) for o, _ in parts], "keys": [keys[o].tobytes() for o, _ in parts],
+                         "pages": [t.tobytes() for _, t in parts]}, columns=["chunk", "keys", "pages"])
+
+
+def _extract(rows: pd.DataFrame) -> pd.DataFrame:
+    """The main texts of a chunk, from its pages and the runs that repeat on the host."""
+    repeats = rows["texts"].isna()
+    keys = np.frombuffer(b"".join(rows["keys"][repeats]), np.uint64)
+    totals = np.frombuffer(b"".join(rows["pages"][repeats]), np.int64)
+    order = np.argsort(keys)
+    # one more key, larger than any, so that every search ends at a place
+    keys, totals = np.append(keys[order], np.uint64(2**64 - 1)), np.append(totals[order], 1)
+    chunk, texts = rows[~repeats], []
+    for host, *columns in zip(chunk["host"], chunk["texts"], chunk["tags"], chunk["flags"], strict=True):
+        blocks = [Block(text, tag, *[bool(flags >> i & 1) for i in range(len(Block._fields) - 2)])
+                  for text, tag, flags in zip(*columns, strict=True)]
+        tokens, sizes = tokens_of(blocks)
+        mine = run_keys(tokens, host)
+        at = np.searchsorted(keys, mine)
+        stands = np.where(keys[at] == mine, totals[at], 1)
+        texts.append(main_text(blocks, sizes, spread(stands, len(tokens))))
+    return chunk[["page_id", "url"]].assign(text=texts)
 
 
 def host_of(url: Column) -> Column:
@@ -229,5 +315,11 @@ def extracted(pages: DataFrame, html_column: str = "html", url_column: str = "ur
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["_host", F.xxhash64("page_id", "url")]
     near = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    texts = near.mapInPandas(_extract, f"page_id {kind}, url string, text string")
+    held = staged(near.mapInPandas(
+        _parsed(parts), f"page_id {kind}, url string, chunk long, host string, texts array<string>, tags array<string>, "
+        "flags array<int>, bucket int, keys binary, pages binary"), "pages")
+    keyed = held.where(F.col("bucket").isNotNull()).select("bucket", "chunk", "keys", "pages")
+    repeats = keyed.groupBy("bucket").applyInPandas(_summed, "chunk long, keys binary, pages binary")
+    whole = held.where(F.col("bucket").isNull()).drop("bucket").unionByName(repeats, allowMissingColumns=True)
+    texts = whole.groupBy("chunk").applyInPandas(_extract, f"page_id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

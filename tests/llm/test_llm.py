@@ -203,6 +203,16 @@ def test_repeated_runs_agree_with_a_plain_search():
         assert (got == want).all()
 
 
+def test_boilerplate_goes_wherever_the_host_has_it_again(spark):
+    notice = "<div>all rights are reserved by the owner of this very site</div>"
+    rows = [(i, f"http://big.example/{i}", f"<body><div>only {i}</div>{notice if i in (3, 250) else ''}</body>") for i in range(300)]
+    rows += [(1000, "http://b.example/", f"<body><div>other host</div>{notice}</body>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in pages.extracted(table).collect()}
+    assert len(found) == 301 and all(found[i] == f"only {i}" for i in range(300))
+    assert found[1000].startswith("other host\n\nall rights")
+
+
 def test_pipeline_runs_and_keeps_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
