@@ -7,8 +7,10 @@ chunks, as 64-bit hashes with their numbers of pages, meet by host and hash; eve
 distinct pages of the host is boilerplate, whatever chunks they are in, and a block mostly covered by such
 runs goes.
 
-Markup has the last word: blocks in menus, footers, adverts and the like go even when they are unique, and
-blocks of an article element stay even when they repeat, because a copied article is no boilerplate.
+Blocks in menus, footers, adverts and the like go even when they are unique. Inside an article element a
+block goes when it stands on most of the host's pages, more than ``OFTEN`` times as many as the article's own
+text does, and mostly at the same place from the article's start or end: a notice beside otherwise different
+texts goes; a copied article and a line that some articles share stay.
 """
 
 from __future__ import annotations
@@ -31,6 +33,14 @@ CHUNK_CHARS = 1 << 23
 # Tokens in a row that must repeat, and the part of a block that repeats must cover.
 DEPTH = 8
 COVERED = 0.5
+# In an article, the part of its tokens that counts as its own text at least, and how many times more pages a block must
+# stand on than that text does to be boilerplate.
+OWN = 0.25
+OFTEN = 2
+# The part of those pages that must have the block at the same place of the article.
+PLACED = 0.5
+# The part of the host's pages with an article that must have the block.
+MOST = 0.5
 
 # fixed values: element names of the HTML standard
 BLOCKS = frozenset((
@@ -186,24 +196,46 @@ def run_keys(tokens: np.ndarray, host: str, depth: int = DEPTH) -> np.ndarray:
     return keys
 
 
-def main_text(blocks: list[Block], counts: list[int], stands: np.ndarray) -> str:
-    """The main text of a page, from the number of the host's pages that each token's run stands on."""
-    at, kept, plain = 0, [], []
-    has_article = any(b.article and not b.dropped for b in blocks)
-    for block, count in zip(blocks, counts, strict=True):
-        share = (stands[at:at + count] > 1).mean()
-        at += count
-        if block.dropped:
-            continue
-        if has_article:
-            if block.article:
-                kept.append(block.text)
-        else:
-            plain.append(block.text)
-            if share < COVERED:
-                kept.append(block.text)
+def place_keys(blocks: list[Block], counts: list[int], tokens: np.ndarray, host: str) -> np.ndarray:
+    """For each block of an article two 64-bit hashes: of a run in it with its place from the start, and from the end."""
+    inside = [i for i, b in enumerate(blocks) if b.article and not b.dropped]
+    starts = np.cumsum(counts) - counts
+    keys = np.zeros((len(blocks), 2), np.uint64)
+    for at, i in enumerate(inside):
+        block = tokens[starts[i]:starts[i] + counts[i]]
+        # blocks that differ in a few words mostly have the same smallest run
+        least = run_keys(block, host, min(DEPTH, len(block))).min()
+        keys[i] = [run_keys(np.array([least, place], np.uint64), host, 2)[0] for place in (2 * at, 2 * (len(inside) - at) + 1)]
+    return keys
+
+
+def has_article(blocks: list[Block]) -> bool:
+    return any(b.article and not b.dropped for b in blocks)
+
+
+def host_key(host: str) -> np.uint64:
+    """The key under which a host's pages with an article are counted."""
+    return run_keys(np.zeros(1, np.uint64), host, 1)[0]
+
+
+def main_text(blocks: list[Block], counts: list[int], stands: np.ndarray, placed: np.ndarray, pages: int) -> str:
+    """The main text of a page, from the number of the host's pages that each token's run and each block's places stand on.
+
+    ``pages`` is the number of the host's pages with an article.
+    """
+    cuts = np.cumsum(counts)[:-1]
+    each = np.split(stands, cuts)
+    articles = [i for i, b in enumerate(blocks) if b.article and not b.dropped]
+    if articles:
+        # pages that the article itself stands on: most of a copied article's tokens stand on as many as there are copies
+        own = np.quantile(np.concatenate([each[i] for i in articles]), OWN, method="lower")
+        often = {i: np.median(each[i]) for i in articles}
+        kept = [i for i in articles if often[i] <= max(OFTEN * own, MOST * pages) or placed[i].max() < PLACED * often[i]]
+        return "\n\n".join(blocks[i].text for i in kept or articles)
+    plain = [i for i, b in enumerate(blocks) if not b.dropped]
+    kept = [i for i in plain if (each[i] > 1).mean() < COVERED]
     # a page without an article whose every block repeats is a copy, not boilerplate
-    return "\n\n".join(kept or plain)
+    return "\n\n".join(blocks[i].text for i in kept or plain)
 
 
 def main_texts(pages: list[str]) -> list[str]:
@@ -211,8 +243,10 @@ def main_texts(pages: list[str]) -> list[str]:
     parsed = [blocks_of(p) for p in pages]
     streams = [tokens_of(b) for b in parsed]
     numbers, _, pages_of = runs([tokens for tokens, _ in streams])
-    return [main_text(blocks, sizes, spread(pages_of[k], len(tokens)))
-            for blocks, (tokens, sizes), k in zip(parsed, streams, numbers, strict=True)]
+    places = [place_keys(b, sizes, tokens, "") for b, (tokens, sizes) in zip(parsed, streams, strict=True)]
+    keys, totals = np.unique(np.concatenate(places), return_counts=True)
+    return [main_text(blocks, sizes, spread(pages_of[k], len(tokens)), totals[np.searchsorted(keys, p)], sum(map(has_article, parsed)))
+            for blocks, (tokens, sizes), k, p in zip(parsed, streams, numbers, places, strict=True)]
 
 
 def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,9 +277,14 @@ def _parsed(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
             name = (TaskContext.get().partitionId() << 32) + number
             host = chunk["_host"].iloc[0]
             parsed = [blocks_of(p) for p in chunk["html"]]
-            streams = [tokens_of(b)[0] for b in parsed]
-            _, places, pages = runs(streams)
-            keys = run_keys(np.concatenate(streams), host)[places]
+            streams = [tokens_of(b) for b in parsed]
+            _, places, pages = runs([tokens for tokens, _ in streams])
+            keys = run_keys(np.concatenate([tokens for tokens, _ in streams]), host)[places]
+            placed, alike = np.unique(np.concatenate(
+                [place_keys(b, sizes, tokens, host)[[x.article and not x.dropped for x in b]].ravel()
+                 for b, (tokens, sizes) in zip(parsed, streams, strict=True) if b] or [np.zeros(0, np.uint64)]), return_counts=True)
+            keys = np.concatenate([keys, placed, [host_key(host)]])
+            pages = np.concatenate([pages, alike, [sum(map(has_article, parsed))]])
             bucket = (keys >> np.uint64(32)) % np.uint64(parts)
             yield chunk[["page_id", "url"]].assign(
                 chunk=name, host=host, texts=[[b.text for b in p] for p in parsed], tags=[[b.tag for b in p] for p in parsed],
@@ -290,10 +329,11 @@ def _extract(rows: pd.DataFrame) -> pd.DataFrame:
         blocks = [Block(text, tag, *[bool(flags >> i & 1) for i in range(len(Block._fields) - 2)])
                   for text, tag, flags in zip(*columns, strict=True)]
         tokens, sizes = tokens_of(blocks)
-        mine = run_keys(tokens, host)
-        at = np.searchsorted(keys, mine)
-        stands = np.where(keys[at] == mine, totals[at], 1)
-        texts.append(main_text(blocks, sizes, spread(stands, len(tokens))))
+        stands, placed, pages = (
+            np.where(keys[at] == mine, totals[at], 1)
+            for mine in (run_keys(tokens, host), place_keys(blocks, sizes, tokens, host), np.array([host_key(host)]))
+            for at in (np.searchsorted(keys, mine),))
+        texts.append(main_text(blocks, sizes, spread(stands, len(tokens)), placed, int(pages[0])))
     return chunk[["page_id", "url"]].assign(text=texts)
 
 

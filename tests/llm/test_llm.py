@@ -213,6 +213,21 @@ def test_boilerplate_goes_wherever_the_host_has_it_again(spark):
     assert found[1000].startswith("other host\n\nall rights")
 
 
+def test_boilerplate_inside_articles_goes_and_copied_articles_stay():
+    share = "<p>Share this story with all of your friends and please subscribe today</p>"
+    def body(name):
+        return "".join(f"<p>{' '.join(f'{name}{k}x{i}' for i in range(12))}</p>" for k in range(3))
+    own = [f"<article>{body(n)}{share}</article>" for n in "abcdefgh"]
+    # three copies, one of them with a changed word
+    own += [own[0], own[0].replace("a1x5", "other")]
+    for n, text in zip("abcdefghaa", pages.main_texts(own), strict=True):
+        assert "Share" not in text and text.count("\n\n") == 2 and text.startswith(f"{n}0x0 ") and text.endswith(f"{n}2x11")
+    # a sentence that articles have at different places is their own text
+    quote = "<p>to be or not to be that is the question</p>"
+    moving = [f"<article>{''.join(f'<p>{n}{k} text</p>' for k in range(i))}{quote}{'<p>end</p>' * (9 - i)}</article>" for i, n in enumerate("abcdefgh")]
+    assert all("to be or not" in text for text in pages.main_texts(moving))
+
+
 def test_pipeline_runs_and_keeps_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
