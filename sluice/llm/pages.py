@@ -52,16 +52,22 @@ DROPPED = frozenset(
     "aside button dialog fieldset footer form head iframe menu nav noscript object select svg template textarea title".split())
 ARTICLE = frozenset(("article", "main"))
 
-# words of class, id and role values that mark what is not the article
+# class, id and role names that mark what is not the article
 MARKS = frozenset((
     "ad ads advert advertisement alert banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies "
     "disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo related "
     "replies reply search share sharing sidebar signup social sponsor sponsored subscribe widget"
 ).split())
+# words that may stand beside them in a name: cookie-banner, share-buttons, site-footer, but not has-sidebar or comments-open
+BESIDE = frozenset((
+    "area articles bar block bottom box button buttons container content form global icons inner item items left links list main outer page "
+    "panel posts primary right secondary section site slot top unit wrap wrapper"
+).split())
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|iframe|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _PART = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[A-Za-z/!?][^<>]*\Z|([^<]+|<)""")
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# whole attributes, so that nothing in another attribute's value counts as a name
+_ATTRIBUTE = re.compile(r"""(?:(?<=\s)|(?<=["'])|^)([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 
 
@@ -70,27 +76,36 @@ class Block(NamedTuple):
     tag: str
     dropped: bool
     article: bool
+    # the article stands in an element with a mark, or has one
+    doubtful: bool = False
 
 
-def _marked(attributes: str) -> bool:
-    for found in _NAMED.findall(attributes):
-        if not MARKS.isdisjoint(re.split(r"[\s_-]+", "".join(found).lower())):
-            return True
+def _marked(attributes: str, inside: bool = False) -> bool:
+    """Whether a whole name marks the element; inside an article a header is the article's own."""
+    for found in _ATTRIBUTE.finditer(attributes):
+        if found[1].lower() not in ("class", "id", "role"):
+            continue
+        for name in (found[2] or found[3] or found[4] or "").lower().split():
+            words = set(re.split(r"[_-]+", name)) - {""}
+            marks = words & MARKS - ({"header", "masthead"} if inside else set())
+            if marks and words <= MARKS | BESIDE:
+                return True
     return False
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of visible text in page order, with what the markup says about them."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    # name, dropped, in an article, dropped or doubtful because of a mark outside an article
+    stack: list[tuple[str, bool, bool, bool]] = []
     text: list[str] = []
-    tag, dropped, article = "body", False, False
+    tag, dropped, article, doubtful = "body", False, False, False
 
     def close() -> None:
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                found.append(Block(joined, tag, dropped, article))
+                found.append(Block(joined, tag, dropped, article, article and doubtful))
             text.clear()
 
     for part in _PART.finditer(_RAW.sub("", page)):
@@ -123,14 +138,23 @@ def blocks_of(page: str) -> list[Block]:
                     stack.pop()
             if name in VOID or attributes.endswith("/") and name not in BLOCKS:
                 continue
-            above = stack[-1] if stack else ("", False, False)
-            inside = above[2]
-            out = above[1] or name in DROPPED or (name == "header" and not inside)
-            out = out or bool(attributes) and name not in ("html", "body") and _marked(attributes)
-            main = inside or (not out and (name in ARTICLE or 'role="main"' in attributes))
-            stack.append((name, out, main))
-        tag, dropped, article = stack[-1] if stack else ("body", False, False)
+            _, out, inside, mark = stack[-1] if stack else ("", False, False, False)
+            hard = out and not mark or name in DROPPED or (name == "header" and not inside)
+            own = bool(attributes) and name not in ("html", "body") and _marked(attributes, inside)
+            main = inside or (not hard and (name in ARTICLE or 'role="main"' in attributes))
+            if main and not inside:
+                # a mark on the article or around it does not drop it
+                out, mark = False, mark or own
+            elif inside:
+                out = out or hard or own
+            else:
+                out, mark = out or hard or own, not hard and (mark or own)
+            stack.append((name, out, main, mark))
+        tag, dropped, article, doubtful = stack[-1] if stack else ("body", False, False, False)
     close()
+    if any(b.article and not b.dropped and not b.doubtful for b in found):
+        # beside a page's article, what looks like one in a sidebar or among comments is none
+        found = [b._replace(dropped=b.dropped or b.doubtful) for b in found]
     return found
 
 
@@ -148,7 +172,7 @@ def runs(streams: list[np.ndarray], depth: int = DEPTH) -> tuple[list[np.ndarray
     while width < depth:
         step = min(width, depth - width)
         after = np.full(n, -1, np.int64)
-        after[:n - step] = rank[step:]
+        after[:max(n - step, 0)] = rank[step:]
         rank = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
         width += step
     page = np.repeat(np.arange(len(streams)), lengths + 1)

@@ -228,6 +228,17 @@ def test_boilerplate_inside_articles_goes_and_copied_articles_stay():
     assert all("to be or not" in text for text in pages.main_texts(moving))
 
 
+def test_marks_are_whole_names_and_never_drop_the_article():
+    def text(page):
+        return pages.main_texts([page])[0]
+    for around in ('<div class="layout has-sidebar">', '<div class="sidebar">', '<div data-id="search">', "<div title='a class=ad'>"):
+        assert text(f'{around}<article class="post comments-open"><p>story</p></article></div>') == "story"
+    assert text('<article class="comments"><header class="entry-header"><h1>Head</h1></header><p class="alert-note">a</p>'
+                '<section id="related-work">b</section><div class="share-buttons">x</div><p class="ad">y</p></article>') == "Head\n\na\n\nb"
+    assert text('<main><p>story</p></main><div class="comments"><article><p>reply</p></article></div>') == "story"
+    assert text('<nav><article>menu</article></nav><div class="site-footer">f</div><p>story</p>') == "story"
+
+
 def test_pipeline_runs_and_keeps_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
