@@ -35,12 +35,12 @@ _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])", "address"),
     Kind("ip", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])", "octets"),
-    Kind("card", r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9])", "digits"),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64}+|[0-9A-F]{32,64}+)(?![A-Za-z0-9])", "letters"),
+    Kind("card", r"(?<![0-9])(?:[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?:[ -]?[0-9]{3})?|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5}|[2-6][0-9]{12,18})(?![0-9])", "digits"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digits"),
     Kind("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", "digits"),
     Kind("phone", r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])", "digits"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "letters"),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64}+)(?![A-Za-z0-9])", "letters"),
     Kind("person", rf"(?<!\p{{L}})(?:{'|'.join((*FEMALE, *MALE))})\.? {_NAME}(?: {_NAME})?", "person"),
 )
 EVERY = "|".join(f"(?:{k.pattern})" for k in KINDS)
@@ -72,11 +72,30 @@ def _bare_name(mention: Column) -> Column:
     return F.regexp_replace(mention, r"^\S+ ", "")
 
 
+def _luhn(digits: Column, doubled: int) -> Column:
+    """The Luhn sum modulo 10; from the right, digits are doubled from the given place on."""
+    def worth(c: Column, i: Column) -> Column:
+        value = c.cast("int")
+        return F.when(F.pmod(i, F.lit(2)) == doubled, F.when(value > 4, 2 * value - 9).otherwise(2 * value)).otherwise(value)
+    values = F.transform(F.split(F.reverse(digits), ""), worth)
+    return F.pmod(F.aggregate(values, F.lit(0), lambda total, v: total + F.coalesce(v, F.lit(0))), F.lit(10))
+
+
+def card_number(mention: Column) -> Column:
+    """A card's digits, or null when the check digit is wrong; three digits after 16 can be another number."""
+    digits = F.regexp_replace(mention, "[^0-9]", "")
+    first = F.substring(digits, 1, 16)
+    return (
+        F.when(_luhn(digits, 1) == 0, digits)
+        .when(mention.rlike("[ -][0-9]{3}$") & (F.length(digits) == 19) & (_luhn(first, 1) == 0), first))
+
+
 def normal_form(kind: Column, mention: Column) -> Column:
-    """What all mentions of one entity have in common."""
+    """What all mentions of one entity have in common; null for what is no entity."""
     female = mention.rlike(rf"^(?:{'|'.join(FEMALE)})\b")
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(mention, "[^0-9]", ""))
+        F.when(kind == "card", card_number(mention))
+        .when(kind.isin("ssn", "phone"), F.regexp_replace(mention, "[^0-9]", ""))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "email", F.lower(mention))
         .when(kind == "person", F.concat(F.when(female, "f").otherwise("m"), F.lit(" "), _bare_name(mention)))
@@ -125,9 +144,11 @@ def candidate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
         names.append(F.when(fits, F.concat(F.lit(f"{gender} "), whole)))
     # the first digit of a number and the country and check digits' places of an account number stay in range
     digits = F.concat(F.substring(normal, 1, 1), _same_shape(F.substring(normal, F.lit(2), F.length(normal)), digest))
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     shape = _shape(kind)
     return (
-        F.when(shape == "address", address).when(shape == "octets", octets).when(shape == "digits", digits)
+        F.when(kind == "card", F.concat(body, F.pmod(10 - _luhn(body, 0), F.lit(10)).cast("string")))
+        .when(shape == "address", address).when(shape == "octets", octets).when(shape == "digits", digits)
         .when(shape == "person", F.coalesce(*names)).otherwise(_same_shape(normal, digest)))
 
 
@@ -136,7 +157,8 @@ def rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
     # characters of the surrogate take the places of the mention's digits and letters; separators stay
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
     def step(acc: Column, c: Column) -> Column:
-        taken = c.rlike("^[0-9A-Za-z]$")
+        # what a card's mention has after its digits stays
+        taken = c.rlike("^[0-9A-Za-z]$") & (acc["i"] <= F.length(surrogate))
         return F.struct(
             F.concat(acc["s"], F.when(taken, F.substring(surrogate, acc["i"], F.lit(1))).otherwise(c)).alias("s"),
             (acc["i"] + F.when(taken, 1).otherwise(0)).alias("i"))
@@ -173,7 +195,7 @@ def replaced(docs: DataFrame, key: str = "surrogate key", text_column: str = "te
     Null and empty texts stay so; repeated rows are treated alike. ``count_column`` adds the number of
     replaced mentions.
     """
-    rid, parts, held, new = (fresh(docs, n) for n in ("_rid", "_parts", "_mentions", "_new"))
+    rid, parts, held, new, replacements = (fresh(docs, n) for n in ("_rid", "_parts", "_mentions", "_new", "_replaced"))
     text = F.col(f"`{text_column}`")
     table = numbered(docs.withColumn(held, F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(EVERY), F.lit(0))),
                      "private-input", rid)
@@ -181,15 +203,18 @@ def replaced(docs: DataFrame, key: str = "surrogate key", text_column: str = "te
     each = table.where(hit).select(F.col(rid).alias("rid"), F.posexplode(held).alias("at", "mention"))
     each = each.withColumn("kind", kind_of(F.col("mention")))
     mentions = staged(each.withColumn("normal", normal_form(F.col("kind"), F.col("mention"))), "mentions")
-    found = mentions.join(surrogates(mentions, key), ["kind", "normal"]).select(
-        "rid", "at", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
-    by_row = found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias(new))
+    known = mentions.where(F.col("normal").isNotNull())
+    found = known.join(surrogates(known, key), ["kind", "normal"]).select(
+        "rid", "at", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"), F.lit(1).alias("one"))
+    found = found.unionByName(mentions.where(F.col("normal").isNull()).select("rid", "at", F.col("mention").alias("new"), F.lit(0).alias("one")))
+    by_row = found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias(new), F.sum("one").alias(replacements))
     changed = table.where(hit).join(by_row.withColumnRenamed("rid", rid), rid)
     pieces = F.split(text, EVERY, -1)
     joined = F.array_join(F.flatten(F.zip_with(
         pieces, F.transform(F.col(new), lambda x: x["new"]), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
-    counts = [] if count_column is None else [F.size(held).cast("long").alias(count_column)]
+    counts, none = ([], []) if count_column is None else (
+        [F.col(replacements).cast("long").alias(count_column)], [F.lit(0).cast("long").alias(count_column)])
     names = [F.col(f"`{c}`") for c in docs.columns]
     done = changed.withColumn(parts, joined).select(
         *[F.col(parts).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns], *counts)
-    return done.unionByName(table.where(~hit).select(*names, *counts))
+    return done.unionByName(table.where(~hit).select(*names, *none))

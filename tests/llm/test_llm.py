@@ -147,6 +147,22 @@ def test_surrogates_are_consistent_distinct_and_of_the_same_kind(docs, nothing):
     assert private.replaced(nothing).count() == 0
 
 
+def test_cards_have_check_digits_and_secrets_both_cases(spark):
+    def luhn(number):
+        digits = [int(c) for c in reversed(number) if c.isdigit()]
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    cards = ["4111 1111 1111 1111", "378282246310005", "3782-822463-10005", "30569309025904", "4222222222222", "6304000000000000000", "2223003122003222"]
+    plain = ["4111111111111112", "6625883203433323", "378282246310006"]
+    rows = [(i, c) for i, c in enumerate([*cards, *plain, "TOKEN = " + "9233A8EC" * 5, "4111 1111 1111 1111 123"])]
+    found = {r["doc_id"]: r for r in private.replaced(spark.createDataFrame(rows, "doc_id long, text string"), count_column="n").collect()}
+    for i, card in enumerate(cards):
+        new = found[i]["text"]
+        assert luhn(card) and new != card and luhn(new) and len(new) == len(card) and found[i]["n"] == 1
+    assert all(found[len(cards) + i]["text"] == p and found[len(cards) + i]["n"] == 0 for i, p in enumerate(plain))
+    assert "9233A8EC" not in found[10]["text"] and found[10]["n"] == 1
+    assert found[11]["text"] == found[0]["text"] + " 123"
+
+
 def test_shards_are_minimal_and_slots_gapless(docs, nothing):
     rows = sharding.sharded(docs, 3).collect()
     groups, size = {}, {}
