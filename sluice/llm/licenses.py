@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block (a line of text) matches a template when it contains at least ``THRESHOLD`` of the template's
-distinct words. Template words are ordered by how many blocks of the whole corpus hold them, rarest
+A block (a line of text, or a line with the next ones up to ``RUN_WORDS`` words, for wrapped notices) matches
+a template when it contains at least ``THRESHOLD`` of the template's distinct words, and those that tell it
+from its siblings. Template words are ordered by how many blocks of the whole corpus hold them, rarest
 first. A matching block must hold one of the first ``|T| - need + 1`` words of the template (prefix),
 enough words altogether (length), and enough words from its first common word on (position); what is
 left is compared word by word. Everything is DataFrame work.
@@ -19,6 +20,12 @@ from sluice.llm.shared import lower_ascii, numbered, text_or_empty
 # every run of these characters separates words: ASCII but for digits and lower-case letters
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+# Words of a run of lines at most: more than the longest notice, with the rest of the lines it begins and ends in.
+RUN_WORDS = 64
+# A notice of fewer words needs all of them in a run of lines, where its common words meet by chance.
+SHORT = 9
+# words that tell a template from a sibling: a template that has one needs it
+TELLING = ("lesser", "noncommercial", "nc")
 
 # fixed values: phrase, label
 PHRASES = (
@@ -92,20 +99,31 @@ def with_phrases(docs: DataFrame, text_column: str, id_column: str, notices: lis
         last.append(F.when(hit, n_words - length - F.call_function("div", _spaces(F.element_at(parts, -1)), F.lit(2))))
         labels.append(F.when(hit, F.lit(label)))
     # the last space of the wide text belongs to no word when the text has none; such texts have no place either
-    held = F.transform(
+    rows = rows.withColumn("_lines", F.filter(F.transform(
         F.split("_text", "\n"),
-        lambda line: F.array_distinct(F.filter(F.split(plain_words(line), " "), lambda w: w.isin(vocabulary))))
+        lambda line: F.transform(F.array(plain_words(line)), lambda plain: F.struct(
+            F.array_distinct(F.filter(F.split(plain, " "), lambda w: w.isin(vocabulary))).alias("words"),
+            (_spaces(plain) + 1).alias("n"), (plain != "").alias("any")))[0]), lambda line: line["any"]))
+    # a run grows by whole lines as long as they fit; a line of its own is a block in any case
+    empty = F.struct(F.array().cast("array<string>").alias("words"), F.lit(0).alias("n"))
+    def grown(run: Column, line: Column) -> Column:
+        n = run["n"] + line["n"]
+        return F.struct(F.when(n <= RUN_WORDS, F.array_union(run["words"], line["words"])).otherwise(run["words"]).alias("words"), n.alias("n"))
+    runs = F.transform("_lines", lambda line, i: F.when(
+        line["n"] < RUN_WORDS, F.aggregate(F.slice("_lines", i + 1, F.lit(RUN_WORDS)), empty, grown, lambda run: run["words"])))
+    lines = F.filter(F.array_distinct(F.col("_lines.words")), lambda words: F.size(words) >= least)
+    held = F.array_union(lines, F.array_compact(runs))
     return rows.select(
         "doc_id", n_words.alias("n_words"), count.cast("long").alias("n_base"),
         F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"),
         F.array_compact(F.array(*labels)).alias("_base"),
-        F.filter(held, lambda words: F.size(words) >= least).alias("_blocks"))
+        F.filter(held, lambda words: F.size(words) >= least).alias("_blocks"), F.size(lines).alias("_n_lines"))
 
 
 def block_matches(scanned: DataFrame, notices: list[Template]) -> DataFrame:
     """Each (row, block, template label, share of the template's words) at or above the threshold."""
     spark = scanned.sparkSession
-    blocks = scanned.select("_rid", F.posexplode("_blocks").alias("block", "_words"))
+    blocks = scanned.select("_rid", "_n_lines", F.posexplode("_blocks").alias("block", "_words"))
     # one row per template word at most
     counted = {r["w"]: r["n"] for r in blocks.select(F.explode("_words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted({w for t in notices for w in t.words}, key=lambda w: (counted.get(w, 0), w))
@@ -121,12 +139,14 @@ def block_matches(scanned: DataFrame, notices: list[Template]) -> DataFrame:
     ordered = F.filter(F.array(*[F.lit(w) for w in order]), lambda w: F.array_contains("_words", w))
     near = blocks.where(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in rarest])))
     near = near.withColumn("_ordered", ordered)
-    probes = near.select("_rid", "block", "_ordered", F.posexplode("_ordered").alias("_at", "word"))
+    probes = near.select("_rid", (F.col("block") >= F.col("_n_lines")).alias("run"), "block", "_ordered", F.posexplode("_ordered").alias("_at", "word"))
     pairs = probes.where(F.col("word").isin(rarest)).join(F.broadcast(prefix), "word")  # the index is as small as the templates
     held = F.size("_ordered")
     pairs = pairs.where((held >= F.col("need")) & (F.least(F.size("words") - F.col("at"), held - F.col("_at")) >= F.col("need")))
     overlap = F.size(F.array_intersect("_ordered", "words"))
-    verified = pairs.withColumn("_overlap", overlap).where(F.col("_overlap") >= F.col("need"))
+    telling = F.filter("words", lambda w: w.isin(*TELLING))
+    verified = pairs.withColumn("_overlap", overlap).where(
+        (F.col("_overlap") >= F.when(F.col("run") & (F.size("words") < SHORT), F.size("words")).otherwise(F.col("need"))) & (F.size(F.array_except(telling, "_ordered")) == 0))
     return verified.select("_rid", "block", "label", (F.col("_overlap") / F.size("words")).alias("share")).distinct()
 
 

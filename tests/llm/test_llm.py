@@ -95,6 +95,20 @@ def test_license_phrases_and_templates(docs, nothing):
     assert licenses.scanned_licenses(nothing).count() == 0
 
 
+def test_wrapped_notices_match_and_siblings_do_not(spark):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files "
+           "(the \"Software\"), to deal\n#\n# in the Software without restriction, including")
+    rows = ["x\n# " + mit, "GNU General Public License as published by the Free Software Foundation", "Licensed under CC BY 4.0.",
+            "This work is licensed under a Creative Commons Attribution 4.0 International License",
+            "GNU Lesser General Public\nLicense as published by\nthe Free Software Foundation",
+            "Ich komme mit\nLicensed under the Apache License, Version 2.0."]
+    found = by_id(licenses.scanned_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    labels = [found[i]["labels"].split(",") for i in range(6)]
+    assert labels[5] == ["apache"]
+    assert labels[0] == ["mit"] and found[0]["score"] >= 0.8 and "lgpl" not in labels[1] and labels[2] == [""]
+    assert labels[3] == ["cc-by"] and "lgpl" in labels[4]
+
+
 def test_language_is_learned_and_text_without_letters_is_unknown(spark, nothing):
     ready(spark)
     words = {"en": "the house and the river of this land", "de": "und das schöne wetter über der straße"}
