@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import bpe, exact, language, licenses, packing, pages, private, quality, sharding, similar
+from sluice.llm import bpe, exact, language, licenses, manifest, packing, pages, private, quality, repeats, sharding, similar, whitening
 from sluice.llm.shared import documents, numbered
 from sluice.session import configure
 
@@ -65,9 +65,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(ready(spark), sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeats_removed(documents(ready(spark), sf_dir), keep="none")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return manifest.manifest(documents(ready(spark), sf_dir), {"text": text})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_ngram_jaccard, op3_exact_dedup, op4_license_scan, op5_language_id, op6_packing, op7_private_data, op8_sharding,
-    op9_html_extraction, op10_quality_rules)}
+    op9_html_extraction, op10_quality_rules, op11_embedding_whitening, op12_repeated_passages, op13_merkle_manifest)}
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
         WITH plain AS (
