@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.operators.ranking import BUCKET_WIDTH, LEVELS, whole, with_position
+from sluice.session import written
 
 # Default size and age limit of a batch.
 MAX_COUNT = 1000
@@ -80,7 +81,7 @@ def _transfer(max_count: int, max_millis: int):
         while (inside := ends < size).any():
             at = ends[inside]
             batches[inside], ends[inside] = batches[inside] + batches[at], ends[at]
-        out = block.head(1).drop(columns=["_position", "_time", "_halo", "_order"])
+        out = block.head(1).drop(columns=["_position", "_time", "_halo"])
         out["_leave"], out["_batches"] = [(ends[:max_count] - size).tolist()], [batches[:max_count].tolist()]
         return out
 
@@ -138,15 +139,29 @@ def _assign(max_count: int, max_millis: int):
             starts = np.concatenate([starts, further])
             ends = np.where(ends < size, ends[np.minimum(ends, size - 1)], ends)
         batch = number - 1 + np.cumsum(np.bincount(starts, minlength=size))
-        kept = [c for c in block.columns if c.startswith("_key")] + ["_order"]
+        kept = [c for c in block.columns if c.startswith("_key")] + ["_position"]
         return block.loc[~block["_halo"], kept].assign(_batch=batch)
 
     return assign
 
 
+def _carry(placed: DataFrame, carried: DataFrame | None, key: list[str], max_count: int, max_millis: int) -> DataFrame | None:
+    """Per key with an open batch: how many rows that one still takes, and the number of the batch after it."""
+    if carried is None:
+        return None
+    closes = F.col("_position") + F.col("n") >= max_count
+    if max_millis > 0:
+        closes = closes | (F.col("_time") - F.col("first") >= max_millis)
+    near = placed.where(F.col("_position") < max_count).join(carried, key) if key else placed.where(F.col("_position") < max_count).join(carried)
+    return near.groupBy(*key, "batch").agg(
+        F.coalesce(F.min(F.when(closes, F.col("_position"))), F.count(F.lit(1))).alias("_entry")
+    ).select(*key, "_entry", (F.col("batch") + 1).alias("_number"))
+
+
 def count_or_time_batches(df: DataFrame, keys: list[str], order: str, time: str, max_count: int = MAX_COUNT,
                           max_millis: int = MAX_MILLIS, name: str = "batch", block_rows: int = BLOCK_ROWS,
-                          run_blocks: int = RUN_BLOCKS, width: int = BUCKET_WIDTH, levels: int = LEVELS) -> DataFrame:
+                          run_blocks: int = RUN_BLOCKS, width: int = BUCKET_WIDTH, levels: int = LEVELS,
+                          carried: DataFrame | None = None) -> DataFrame:
     """Cut each key into batches that close at ``max_count`` rows or ``max_millis`` after their first row.
 
     Each batch start depends on the one before, so the rule is sequential per key. To keep a hot key
@@ -158,21 +173,29 @@ def count_or_time_batches(df: DataFrame, keys: list[str], order: str, time: str,
 
     ``time`` is in milliseconds, in any order: a batch closes at the first row whose time is
     ``max_millis`` after that of its first. ``max_millis=0`` means count only. A NULL key is a key like any
-    other; a block has at least ``max_count`` rows.
+    other, a NULL order comes first; a block has at least ``max_count`` rows. The rows with their positions are
+    written once and read back for each step.
+
+    ``carried`` (keys, batch, n, first) is the open batch that earlier rows of a key left: its number,
+    its rows and the time of its first. The first rows go on filling it, and numbers go on from there.
     """
-    if max_millis <= 0:
+    if max_millis <= 0 and carried is None:
         return count_batches(df, keys, order, max_count, name, width, levels)
     block_rows = max(block_rows, max_count)
     columns = [F.col(f"`{c}`") for c in df.columns]
     # all keys as one text, which is never NULL, so that joins keep rows with NULL keys
     key_names = ["_key"] if keys else []
-    named = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    df = df.withColumn("_key", F.to_json(F.to_variant_object(named))) if keys else df
-    placed = with_position(df, keys, order, "_position", width, levels)
-    slim = placed.select(
-        *key_names,
-        F.col(order).alias("_order"), "_position", F.col(time).cast("bigint").alias("_time"),
-    )
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        named = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+        return rows.withColumn("_key", F.to_json(F.to_variant_object(named))) if keys else rows
+
+    placed = written(with_position(keyed(df), keys, order, "_position", width, levels), "positions")
+    slim = placed.select(*key_names, "_position", F.col(time).cast("bigint").alias("_time"))
+    if carried is not None:
+        carried = keyed(carried).select(*key_names, "batch", "n", "first")
+    if max_millis <= 0:
+        return _counted_on(placed, carried, key_names, max_count, name).select(*columns, name)
     types = {f.name: f.dataType.simpleString() for f in slim.schema}
     types |= dict.fromkeys(["_block", "_run", "_entry", "_number", "_batch"], "bigint")
     types |= dict.fromkeys(["_leave", "_batches"], "array<bigint>") | {"_halo": "boolean"}
@@ -188,16 +211,50 @@ def count_or_time_batches(df: DataFrame, keys: list[str], order: str, time: str,
     blocks = blocks.withColumn("_run", whole(F.col("_block"), run_blocks))
 
     block_key, run_key = [*key_names, "_run", "_block"], [*key_names, "_run"]
-    tables = blocks.groupBy(*block_key).applyInPandas(
+    # one row a block: cheap to keep, and the blocks themselves are not gone through again
+    tables = written(blocks.groupBy(*block_key).applyInPandas(
         _transfer(max_count, max_millis), ddl("_block", "_run", "_leave", "_batches")
-    )
+    ), "transfers")
     runs = tables.groupBy(*run_key).applyInPandas(_compose, ddl("_run", "_leave", "_batches"))
+    if (entry := _carry(slim, carried, key_names, max_count, max_millis)) is not None:
+        runs = runs.join(entry, key_names, "left") if key_names else runs.join(entry, how="left")
+        runs = runs.fillna(0, ["_entry", "_number"])
     run_entries = runs.groupBy(*key_names).applyInPandas(_follow("_run"), ddl("_run", "_entry", "_number"))
     entries = tables.join(run_entries, run_key).groupBy(*run_key).applyInPandas(
         _follow("_block"), ddl("_run", "_block", "_entry", "_number")
     )
     numbered = blocks.join(entries, block_key).groupBy(*block_key).applyInPandas(
-        _assign(max_count, max_millis), ddl("_order", "_batch")
+        _assign(max_count, max_millis), ddl("_position", "_batch")
     )
-    back = numbered.select(*key_names, F.col("_order").alias(order), F.col("_batch").alias(name))
-    return df.join(back, [*key_names, order]).select(*columns, name)
+    return placed.join(numbered, [*key_names, "_position"]).select(*columns, F.col("_batch").alias(name))
+
+
+def _counted_on(placed: DataFrame, carried: DataFrame, key: list[str], max_count: int, name: str) -> DataFrame:
+    """Batches by count alone that go on from open ones."""
+    joined = placed.join(carried.select(*key, F.col("batch").alias("_from"), F.col("n").alias("_taken")), key, "left") if key else placed.join(
+        carried.select(F.col("batch").alias("_from"), F.col("n").alias("_taken")), how="left")
+    place = F.col("_position") + F.coalesce("_taken", F.lit(0))
+    return joined.withColumn(name, F.coalesce("_from", F.lit(0)) + whole(place, max_count))
+
+
+def open_batches(numbered: DataFrame, keys: list[str], order: str, time: str, carried: DataFrame | None = None, name: str = "batch") -> DataFrame:
+    """The last batch of each key (keys, batch, n, first), to be carried to later rows of the key.
+
+    ``carried`` is what was carried to these rows; keys without rows keep theirs.
+    """
+    each = numbered.groupBy(*keys, F.col(name).alias("batch")).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.col(time).cast("bigint"), order).alias("first"))
+    last = each.groupBy(*keys).agg(F.max_by(F.struct("batch", "n", "first"), "batch").alias("_new"))
+    if carried is None:
+        return last.select(*keys, "_new.*")
+    old = carried.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.struct("batch", "n", "first").alias("_old"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    both = last.join(old, same, "full")
+    kept = F.when(F.col("_new").isNull(), F.col("_old")).when(
+        F.col("_new.batch") == F.col("_old.batch"),
+        F.struct(F.col("_new.batch").alias("batch"), (F.col("_new.n") + F.col("_old.n")).alias("n"), F.col("_old.first").alias("first")),
+    ).otherwise(F.col("_new"))
+    names = [F.when(F.col("_new").isNull(), F.col(f"_{i}")).otherwise(F.col(k)).alias(k) for i, k in enumerate(keys)]
+    return both.select(*names, kept.alias("_kept")).select(*keys, "_kept.*")

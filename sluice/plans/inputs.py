@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.functions import codec
 from sluice.operators.ranking import with_position
+from sluice.session import shared_dir
 from sluice.sources import topics
 
 PARTITIONS = 4
@@ -68,10 +69,23 @@ def envelopes(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFr
     return as_envelopes(messages(spark, sf_dir, offsets), "msg_offset" if offsets else "event_id")
 
 
+# A stream's micro-batches, each an equal range of event ids.
+EPOCHS = 5
+EPOCH = f"least({EPOCHS - 1}, (event_id - low) * {EPOCHS} {{div}} (high - low + 1))"
+EPOCH_SQL = f"""epochs AS (
+  SELECT event_id, {EPOCH.format(div='//')} AS epoch FROM events, (SELECT min(event_id) AS low, max(event_id) AS high FROM events))"""
+FILES = 2
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files, a few per micro-batch."""
-    schema = table(spark, sf_dir, "events").schema
-    return topics.file_stream(spark, sf_dir, 8, "events.parquet", schema)
+    """The events as a stream in the order of their ids, in ``EPOCHS`` micro-batches of ``FILES`` files each."""
+    events, path = table(spark, sf_dir, "events"), shared_dir(spark, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    for epoch in range(EPOCHS):
+        numbered = events.withColumn("low", F.lit(low)).withColumn("high", F.lit(high))
+        part = numbered.where(F.expr(EPOCH.format(div="div")) == epoch).drop("low", "high")
+        part.repartition(FILES, "event_id").write.mode("append").parquet(path)
+    return topics.file_stream(spark, path, FILES, schema=events.schema)
 
 
 # Parts as documents: a scalar of changing type, an object, and arrays of numbers, texts and objects.

@@ -10,7 +10,7 @@ from sluice.operators.routing import routes
 from sluice.operators.scripts import Context
 from sluice.operators.stats import all_ok
 from sluice.plans.catalog import ORACLES, query
-from sluice.plans.inputs import MESSAGES_SQL, as_envelopes, as_messages, envelopes, event_stream
+from sluice.plans.inputs import EPOCH_SQL, MESSAGES_SQL, as_envelopes, as_messages, envelopes, event_stream
 from sluice.plans.messages import WINDOW_COUNT, WINDOW_MILLIS
 from sluice.session import shared_dir
 from sluice.sinks import http as http_sink
@@ -86,15 +86,16 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.select("topic", "partition", "offset", "handler", "error_kind", F.substring_index("error", ":", 1).alias("error"))
 
 
-@query("A-2", "A-3", "T-2", "K-6", sql=WITH + """
-SELECT topic, count(*) AS total_records, 1 AS total_batches, CASE WHEN topic IN ('events-click', 'events-view') THEN 0 ELSE 1 END AS failed_batches,
+@query("A-2", "A-3", "T-2", "K-6", sql=WITH[:-1] + f", {EPOCH_SQL}" + """
+SELECT topic, count(*) AS total_records, CAST(count(DISTINCT epoch) AS INTEGER) AS total_batches,
+       CAST(CASE WHEN topic IN ('events-click', 'events-view') THEN 0 ELSE count(DISTINCT epoch) END AS INTEGER) AS failed_batches,
        CASE topic WHEN 'events-click' THEN 'mapping clicks' WHEN 'events-error' THEN 'broken: AnalysisException' WHEN 'events-purchase' THEN 'posted: RestError' END AS console
-FROM messages GROUP BY topic""")
+FROM messages JOIN epochs USING (event_id) GROUP BY topic""")
 def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipeline = _run(spark, sf_dir)
     line = F.col("line")
     about = F.when(line.startswith("mapping"), "events-click").when(line.startswith("broken"), "events-error").otherwise("events-purchase")
-    console = pipeline.console(spark).select(about.alias("topic"), line.alias("console"))
+    console = pipeline.console(spark).select(about.alias("topic"), line.alias("console")).distinct()
     totals = pipeline.statistics(spark).join(console, "topic", "left")
     return totals.select("topic", "total_records", F.col("total_batches").cast("int").alias("total_batches"),
                          F.col("failed_batches").cast("int").alias("failed_batches"), "console")
@@ -121,16 +122,22 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max("n").alias("n"), F.max_by("latest", "n").alias("latest"))
 
 
-@query("T-1", "T-7", sql=ORACLES["count_or_time_batches"])
-def stream_count_or_time_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = as_messages(event_stream(spark, sf_dir))
-    keyed = m.select(
+    return m.select(
         F.concat_ws("/", "topic", F.col("partition_id").cast("string")).alias("key"),
-        F.col("event_id").alias("order"), F.col("timestamp_ms").alias("time"),
+        F.col("event_id").alias("order"), F.col("timestamp_ms").alias("time"), F.col("content_json").alias("value"),
     )
-    closed = state.count_or_time_batches(keyed, WINDOW_COUNT, WINDOW_MILLIS)
-    rows = _read_back(spark, closed, "batches", "key string, order bigint, batch bigint", "append")
-    return rows.groupBy("key", "batch").agg(
+
+
+@query("T-1", sql=ORACLES["count_or_time_batches"])
+def stream_count_or_time_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = shared_dir(spark, "numbered")
+    numbered = state.NumberedBatches(base, ["key"], "order", "time", WINDOW_COUNT, WINDOW_MILLIS)
+    keyed = _keyed_events(spark, sf_dir).drop("value")
+    writer = keyed.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(numbered)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return numbered.rows(spark, "key string, order bigint, time bigint, batch bigint").groupBy("key", "batch").agg(
         F.count(F.lit(1)).alias("n"), F.min("order").alias("first_id"), F.max("order").alias("last_id")
     ).select(
         F.substring_index("key", "/", 1).alias("topic"), F.substring_index("key", "/", -1).cast("int").alias("partition"),
@@ -138,6 +145,38 @@ def stream_count_or_time_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LIVE_COUNT = 30
+
+
+@query("T-1", sql=WITH + f"""
+SELECT topic || '/' || partition_id AS "key", count(*) // {LIVE_COUNT} AS closed_batches, count(*) // {LIVE_COUNT} * {LIVE_COUNT} AS records, 'count' AS closed
+FROM messages GROUP BY ALL HAVING count(*) >= {LIVE_COUNT}""")
+def stream_live_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full batches of each key; which records a batch has depends on their arrival, how many does not."""
+    rows = _read_back(spark, state.live_batches(_keyed_events(spark, sf_dir), LIVE_COUNT, 0, live=False), "live", state.CLOSED, "append")
+    batches = rows.groupBy("key", "batch", "closed").agg(F.count_distinct("order").alias("n"))
+    return batches.groupBy("key", "closed").agg(F.count(F.lit(1)).alias("closed_batches"), F.sum("n").alias("records"))
+
+
+def _seen(key, rows, cache):
+    """A user's state: the least and greatest order and the sum of all orders so far, and the epochs that it was in."""
+    low, high, total = int(cache.get("low", str(1 << 62))), int(cache.get("high", "-1")), int(cache.get("total", "0"))
+    for row in rows:
+        low, high, total = min(low, row["order"]), max(high, row["order"]), total + row["order"]
+    turns = int(cache.get("turns", "0")) + 1
+    cache.update(low=str(low), high=str(high), total=str(total), turns=str(turns))
+    yield key, low, high, total, turns
+
+
+@query("T-7", sql=WITH[:-1] + f", {EPOCH_SQL}" + """
+SELECT topic || '/' || partition_id AS "key", min(event_id) AS low, max(event_id) AS high, CAST(sum(event_id) AS BIGINT) AS total,
+       count(DISTINCT epoch) AS turns FROM messages JOIN epochs USING (event_id) GROUP BY ALL""")
+def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "key string, low bigint, high bigint, total bigint, turns bigint"
+    rows = _read_back(spark, state.with_state(_keyed_events(spark, sf_dir), _seen, schema), "user", schema, "append")
+    return rows.groupBy("key").agg(*[F.max_by(c, "turns").alias(c) for c in ("low", "high", "total")], F.max("turns").alias("turns"))
+
+
 def _lines(batch: DataFrame, context: Context) -> DataFrame:
     return scripts.log_lines(batch, F.concat(F.lit("publishing "), F.to_json("content"), F.lit(" to "), "topic"))
 
