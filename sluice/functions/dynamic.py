@@ -6,8 +6,11 @@ casts do coerce, so every accessor looks at the stored type first.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluice.functions.staging import once
@@ -150,22 +153,94 @@ def text_depth(json_text: Column) -> Column:
     return F.aggregate(marks, start, step, lambda state: state["top"])
 
 
-def deep_merge(left: Column, right: Column, depth: int = 8) -> Column:
-    """Merge objects recursively; the right side wins, JSON null included.
-
-    ``depth`` is how many object levels the expression descends. Should both sides still be objects
-    below that, the row fails instead of losing fields: pass a larger depth.
+def _members(text: str) -> dict[str, str]:
+    """The fields of a compact JSON object, names and values in their exact spelling."""
+    found, depth, start, name = {}, 0, 1, ""
+    for token in _TOKEN.finditer(text):
+        mark, at = token.group(), token.start()
+        if mark in "{[":
+            depth += 1
+            continue
+        if depth == 1 and mark == ":":
+            name, start = text[start:at], at + 1
+        elif depth == 1 and (mark == "," or at == len(text) - 1):
+            if at > 1:
+                found[name] = text[start:at]
+            start = at + 1
+        if mark in "}]":
+            depth -= 1
+    return found
+
+
+# strings are passed over whole; of what is between them, the marks
+_TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]:,]', re.S)
+
+
+def merged_text(left: str, right: str) -> str:
+    """Two compact JSON objects merged at any depth, by an explicit stack; the right side wins, null included."""
+
+    def both(l: str, r: str):
+        own, other = _members(l), _members(r)
+        return iter([(n, own.get(n), other.get(n)) for n in sorted({*own, *other})])
+
+    out, stack, first = ["{"], [both(left, right)], True
+    while stack:
+        name, l, r = next(stack[-1], (None, None, None))
+        if name is None:
+            stack.pop()
+            out.append("}")
+            first = False
+            continue
+        out.append(f"{name}:" if first else f",{name}:")
+        if l is not None and r is not None and l[0] == r[0] == "{":
+            stack.append(both(l, r))
+            out.append("{")
+            first = True
+        else:
+            out.append(l if r is None else r)
+            first = False
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def _merge_deep(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Merges the pairs that are there; most rows have none."""
+    out = pd.Series([None] * len(left), dtype=object)
+    for i in np.flatnonzero(left.notna().to_numpy()):
+        out[i] = merged_text(left[i], right[i])
+    return out
+
+
+def merge_levels(left: Column, right: Column, depth: int) -> Column:
+    """``deep_merge`` for values whose objects are known to meet in so many levels at most, also inside lambdas.
+
+    Below them the right side wins as a whole.
     """
-    both = is_object(left) & is_object(right)
     if depth == 0:
-        too_deep = F.raise_error(F.lit("deep_merge: objects nest deeper than the given depth"))
-        return F.when(both, too_deep.cast(T.VariantType())).otherwise(right)
+        return right
 
     def combine(_key: Column, a: Column, b: Column) -> Column:
-        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(deep_merge(a, b, depth - 1))
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merge_levels(a, b, depth - 1))
 
     merged = F.to_variant_object(F.map_zip_with(as_map(left), as_map(right), combine))
-    return F.when(both, merged).otherwise(right)
+    return F.when(is_object(left) & is_object(right), merged).otherwise(right)
+
+
+# Levels that are merged by one expression; deeper pairs of values are merged as texts.
+LEVELS = 4
+
+
+def deep_merge(left: Column, right: Column) -> Column:
+    """Merge objects recursively, however deep they nest; the right side wins, JSON null included.
+
+    Pairs of which one nests at most ``LEVELS`` deep stay in the JVM. The others are merged as JSON texts, by a
+    stack in Arrow batches, with the same result. Inside lambdas use ``merge_levels``.
+    """
+    deep = F.lit(True)
+    for side in (left, right):
+        deep = deep & is_object(side) & F.coalesce(text_depth(F.to_json(side)) > LEVELS, F.lit(False))
+    texts = _merge_deep(F.when(deep, F.to_json(left)), F.when(deep, F.to_json(right)))
+    return F.when(texts.isNotNull(), F.parse_json(texts)).otherwise(merge_levels(left, right, LEVELS))
 
 
 def _field_conforms(value: Column, f: T.StructField) -> Column:

@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 # Placeholder of the repeat index, and the moustache form.
 INDEX_PLACEHOLDER = "{{i}}"
@@ -24,31 +23,36 @@ def replace_index(json_text: Column, index: Column) -> Column:
     return F.replace(json_text, F.lit(INDEX_PLACEHOLDER), index.cast("string"))
 
 
-_LITERAL = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
-
-
-def _replace_in_json(text: str | None, old: str, new: str) -> str | None:
-    """Replace inside the string literals of a JSON text; everything else keeps its exact spelling."""
-    if text is None or old == "":
-        return text
-
-    def swap(match: re.Match) -> str:
-        return json.dumps(json.loads(match.group(), strict=False).replace(old, new), ensure_ascii=False)
-
-    return _LITERAL.sub(swap, text)
+# what stands for an escaped backslash and an escaped quote meanwhile; JSON has no bare control characters
+_BACKSLASH, _QUOTE = "\x01", "\x02"
 
 
 def replace_in_json(json_text: Column, old: str, new: str) -> Column:
-    """Replace text in all string values and object keys of a JSON text.
+    """Replace text in all string values and object keys of a JSON text; everything else keeps its spelling.
 
-    If two keys become equal both are written, in order; parsing the result keeps the last.
+    If two keys become equal both are written, in order; parsing the result keeps the last. The text is split at
+    its quotes: every second part is inside a string. Only parts with escapes are decoded and encoded again.
     """
-
-    @F.pandas_udf(T.StringType())
-    def swap(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _replace_in_json(t, old, new))
-
-    return swap(json_text)
+    if old == "":
+        return json_text
+
+    def shown(part: Column) -> Column:
+        return F.replace(F.replace(part, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+    def swapped(part: Column) -> Column:
+        decoded = F.try_parse_json(F.concat(F.lit('"'), shown(part), F.lit('"'))).cast("string")
+        encoded = F.to_json(F.replace(decoded, F.lit(old), F.lit(new)).cast("variant"))
+        plain = F.replace(part, F.lit(old), F.lit(json.dumps(new, ensure_ascii=False)[1:-1]))
+        escapes = part.contains("\\") | part.contains(_BACKSLASH) | part.contains(_QUOTE)
+        return F.when(escapes, F.coalesce(F.substring(encoded, F.lit(2), F.length(encoded) - 2), shown(part))).otherwise(plain)
+
+    def joined(parts: Column) -> Column:
+        inside = lambda i: (i % 2 == 1) & (i < F.size(parts) - 1)
+        return F.array_join(F.transform(parts, lambda p, i: F.when(inside(i), swapped(p)).otherwise(shown(p))), '"')
+
+    hidden = F.replace(F.replace(json_text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    # as the only element of an array the parts are made once, however often the lambda mentions them
+    return F.get(F.transform(F.array(F.split(hidden, '"')), joined), 0)
 
 
 def template_parts(template: str) -> list[tuple[bool, str]]:

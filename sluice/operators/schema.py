@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sluice.functions import codec, dynamic as D
+from sluice.functions import codec
 
 # An array's items have no name; in a path they are the NULL step.
 ITEM = None
@@ -17,65 +19,89 @@ PATH = "array<string>"
 JSON_TYPES = ("NULL", "BOOLEAN", "INT", "LONG", "DOUBLE", "STRING", "ARRAY", "RECORD")
 
 
-def json_type(v: Column, kind: Column | None = None) -> Column:
-    """Type of a JSON value; integral numbers are INT if they fit 32 bits, LONG if 64, else DOUBLE."""
-    k = D.kind(v) if kind is None else kind
-    small = F.try_variant_get(v, "$", "int").isNotNull()
-    return (
-        F.when(k.startswith("OBJECT"), "RECORD")
-        .when(k.startswith("ARRAY"), "ARRAY")
-        .when(k == "STRING", "STRING")
-        .when(k == "BIGINT", F.when(small, "INT").otherwise("LONG"))
-        .when(k == "BOOLEAN", "BOOLEAN")
-        .when(k == "VOID", "NULL")
-        .when(D.as_int_opt(v).isNotNull(), "INT")
-        .when(D.as_long_opt(v).isNotNull(), "LONG")
-        .otherwise("DOUBLE")
-    )
+class Number(str):
+    """The type of a number in a JSON text."""
 
 
-def max_depth(df: DataFrame, json_text: str) -> int:
-    """Deepest nesting in a column of JSON texts: one narrow pass that returns one number."""
-    return df.agg(F.max(D.text_depth(F.col(json_text)))).first()[0] or 0
+def _whole(value: int) -> Number:
+    return Number("INT" if -(2**31) <= value < 2**31 else "LONG" if -(2**63) <= value < 2**63 else "DOUBLE")
 
 
-def paths(df: DataFrame, v: Column, depth: int) -> DataFrame:
-    """One row per JSON value: ``path`` (field names, NULL for array items) and ``type``.
+def number_type(text: str) -> Number:
+    """INT if a number is integral and fits 32 bits, LONG if 64, else DOUBLE; ``1.0`` and ``1e3`` are integral."""
+    if "e" in text or "E" in text or len(text) > 40:
+        value = float(text)
+        return _whole(int(value)) if value.is_integer() else Number("DOUBLE")
+    whole, _, fraction = text.partition(".")
+    return Number("DOUBLE") if fraction.strip("0") else _whole(int(whole))
 
-    Every level is one Generate in the same stage: a finished value passes through, an open one emits
-    itself and its children. ``depth`` is the deepest nesting in the data, from ``max_depth``.
+
+def _refused(text: str) -> None:
+    raise ValueError(f"{text} is no JSON")
+
+
+_DECODER = json.JSONDecoder(parse_float=number_type, parse_int=number_type, parse_constant=_refused)
+
+
+def parsed(text: str | None) -> object:
+    """A JSON text with numbers replaced by their types; a text that is no JSON is a string, NULL is null."""
+    if text is None:
+        return None
+    try:
+        return _DECODER.decode(text)
+    except (ValueError, RecursionError):
+        return ""
+
+
+def type_of(value: object) -> str:
+    """Type of a JSON value whose numbers are types already."""
+    if isinstance(value, dict):
+        return "RECORD"
+    if isinstance(value, list):
+        return "ARRAY"
+    if isinstance(value, Number):
+        return str(value)
+    if value is None:
+        return "NULL"
+    return "BOOLEAN" if isinstance(value, bool) else "STRING"
+
+
+def _root(value: object) -> object:
+    """The record form of a value: an array as ``{array: ..}``, a scalar as ``{value: ..}``."""
+    return value if isinstance(value, dict) else {"array": value} if isinstance(value, list) else {"value": value}
+
+
+def _partial(as_record: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per batch of texts one row for each (path, type), by an explicit stack."""
+        for batch in batches:
+            counts: dict[tuple, int] = defaultdict(int)
+            for text in batch.column(0).to_pylist():
+                value = parsed(text)
+                stack = [((), _root(value) if as_record else value)]
+                while stack:
+                    path, value = stack.pop()
+                    counts[path, type_of(value)] += 1
+                    if isinstance(value, dict):
+                        stack += [((*path, name), v) for name, v in value.items()]
+                    elif isinstance(value, list):
+                        stack += [((*path, ITEM), v) for v in value]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([list(p) for p, _ in counts], pa.list_(pa.string())), pa.array([t for _, t in counts], pa.string()),
+                pa.array(list(counts.values()), pa.int64())], ["path", "type", "n"])
+
+    return partial
+
+
+def path_types(df: DataFrame, json_text: str, as_record: bool = False) -> DataFrame:
+    """Distinct (path, type) of all values in JSON texts, with how often each occurs.
+
+    ``path`` has field names, and NULL for array items. Each Arrow batch is folded to its own distinct
+    pairs before the shuffle. ``as_record`` takes each text in its record form.
     """
-    start = F.struct(
-        F.array().cast(PATH).alias("path"), F.coalesce(v, D.json_null()).alias("v"), F.lit(False).alias("done")
-    )
-    level = df.select(start.alias("node"))
-
-    def child(node: Column, name: Column, value: Column) -> Column:
-        return F.struct(
-            F.concat(node["path"], F.array(name)).alias("path"), value.alias("v"), F.lit(False).alias("done")
-        )
-
-    for _ in range(depth):
-        node = F.col("node")
-        entries = F.map_entries(D.as_map(node["v"]))
-        from_object = F.transform(entries, lambda e: child(node, e["key"], e["value"]))
-        from_array = F.transform(D.as_array(node["v"]), lambda x: child(node, F.lit(ITEM).cast("string"), x))
-        # a generator computes what it mentions twice twice, so the children are projected first
-        open_ = level.withColumn("children", F.when(~node["done"], F.coalesce(from_object, from_array)))
-        itself = F.array(F.struct(node["path"].alias("path"), node["v"].alias("v"), F.lit(True).alias("done")))
-        rest = F.coalesce("children", F.array().cast(level.select(F.array("node")).schema[0].dataType))
-        level = open_.select(F.explode(F.concat(itself, rest)).alias("node"))
-    v_out = F.col("node")["v"]
-    flat = level.select(F.col("node")["path"].alias("path"), v_out.alias("v"), D.kind(v_out).alias("kind"))
-    return flat.select("path", json_type(F.col("v"), F.col("kind")).alias("type"))
-
-
-def path_types(df: DataFrame, json_text: str, depth: int | None = None) -> DataFrame:
-    """Distinct (path, type) of all JSON texts, with how often each occurs."""
-    if depth is None:
-        depth = max_depth(df, json_text)
-    found = paths(df, codec.text_to_json(F.col(json_text)), depth)
-    return found.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
+    texts = df.select(F.col(json_text).cast("string").alias("text"))
+    found = texts.mapInArrow(_partial(as_record), f"path {PATH}, type string, n bigint")
+    return found.groupBy("path", "type").agg(F.sum("n").alias("n"))
 
 
 def path_text(path: Column) -> Column:
@@ -94,24 +120,62 @@ class Node:
     def child(self, name: str | None) -> Node:
         return self.fields.setdefault(name, Node())
 
+    def add(self, path: Sequence[str | None], kind: str, n: int) -> None:
+        node = self
+        for step in path:
+            node = node.child(step)
+        node.types[kind] += n
+
     @property
     def count(self) -> int:
         return sum(self.types.values())
 
+    def text(self) -> str:
+        """The whole schema as JSON text: per node its types and its fields."""
+        return json.dumps(self._plain())
+
+    def _plain(self) -> list:
+        return [self.types, [[name, child._plain()] for name, child in self.fields.items()]]
+
+    @classmethod
+    def of(cls, text: str) -> Node:
+        def build(plain: list) -> Node:
+            node = cls()
+            node.types.update(plain[0])
+            node.fields = {name: build(child) for name, child in plain[1]}
+            return node
+
+        return build(json.loads(text))
+
+
+def _folded(render: Callable[[Node], str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = Node()
+        for batch in batches:
+            for path, kind, n in zip(*(c.to_pylist() for c in batch.columns)):
+                root.add(path, kind, n)
+        yield pa.RecordBatch.from_arrays([pa.array([render(root)], pa.string())], ["schema"])
+
+    return folded
+
 
-def fold(collected: DataFrame) -> Node:
-    """Merged schema from a ``path_types`` table: its rows are the schema's own nodes, so they fit where it does.
+def merged(types: DataFrame, render: Callable[[Node], str] = Node.text) -> DataFrame:
+    """One row with the merged schema of a ``path_types`` table as text; ``avro_json`` renders it for Avro.
 
-    They are read a partition at a time. Objects used as maps, with data for keys, make a schema as large as
-    their data; look at the ``path_types`` table instead.
+    Nothing runs yet. A task reads the distinct pairs one Arrow batch after the other and holds the schema, which is what the row
+    has anyway; objects with data for keys make it as large as their data, but it does not pass the driver.
     """
-    root = Node()
-    for row in collected.select("path", "type", "n").toLocalIterator():
-        node = root
-        for step in row["path"]:
-            node = node.child(step)
-        node.types[row["type"]] += row["n"]
-    return root
+    return types.select("path", "type", "n").repartition(1).mapInArrow(_folded(render), "schema string")
+
+
+def schema_text(df: DataFrame, json_text: str, render: Callable[[Node], str] | None = None) -> DataFrame:
+    """One row with the schema of the record form of all JSON texts, as Avro text unless ``render`` says otherwise."""
+    return merged(path_types(df, json_text, as_record=True), render or avro_json)
+
+
+def fold(types: DataFrame) -> Node:
+    """Merged schema of a ``path_types`` table; only its finished text comes to the driver."""
+    return Node.of(merged(types).first()["schema"])
 
 
 def _clean(name: str) -> str:
@@ -195,9 +259,11 @@ def spark_schema(root: Node, sanitise: bool = False) -> T.DataType:
 
 
 def infer(df: DataFrame, json_text: str) -> Node:
-    """Schema of the record form of all JSON texts: scalar and array roots are wrapped first."""
-    rooted = df.select(F.to_json(codec.record_root(codec.text_to_json(F.col(json_text)))).alias("_root"))
-    return fold(path_types(rooted, "_root"))
+    """Schema of the record form of all JSON texts: scalar and array roots are wrapped first.
+
+    This runs a job, because reading with the schema needs it to build a plan. ``schema_text`` is the same as a table.
+    """
+    return fold(path_types(df, json_text, as_record=True))
 
 
 def read_typed(df: DataFrame, json_text: str, schema: T.StructType, name: str = "record") -> DataFrame:

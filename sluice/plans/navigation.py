@@ -167,22 +167,33 @@ def nested_flat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.select("p_partkey", "part_no", D.as_int(F.col("n")).alias("n"))
 
 
-@query("P-12", sql=WITH + """
+NESTED = 20
+
+
+def _nested(inner: str) -> str:
+    return "'" + '{"o":' * NESTED + "' || " + inner + " || '" + "}" * NESTED + "'"
+
+
+@query("P-12", sql=WITH + f"""
 SELECT p_partkey,
-       '{"cents":null,"extra":{"key":' || p_partkey || '},"type":"' || (doc->>'$.info.type') || '"}' AS info,
-       CASE json_type(doc, '$.mix') WHEN 'OBJECT' THEN '{"a":1,"b":{"c":2}}' ELSE '{"b":{"c":2}}' END AS mix,
-       doc->>'$.name' AS name
+       '{{"cents":null,"extra":{{"key":' || p_partkey || '}},"type":"' || (doc->>'$.info.type') || '"}}' AS info,
+       CASE json_type(doc, '$.mix') WHEN 'OBJECT' THEN '{{"a":1,"b":{{"c":2}}}}' ELSE '{{"b":{{"c":2}}}}' END AS mix,
+       doc->>'$.name' AS name,
+       {_nested("""'{"a":1.50,"b":"' || p_partkey || '","c":' || p_partkey || ',"d":{"e":2}}'""").replace("1.50", "1.5")} AS nested
 FROM docs""")
 def deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("doc")
     right = F.parse_json(
         F.concat(F.lit('{"info":{"cents":null,"extra":{"key":'), F.col("p_partkey").cast("string"), F.lit('}},"mix":{"b":{"c":2}}}'))
     )
-    # the enrichment nests three objects deep, so that many levels are always enough
-    merged = _docs(spark, sf_dir).select("p_partkey", D.deep_merge(v, right, 3).alias("doc"))
+    # objects that nest deeply on both sides and differ in the innermost only
+    left_deep = F.parse_json(F.expr(_nested("""'{"a":1.50,"b":"' || p_partkey || '","d":1}'""")))
+    right_deep = F.parse_json(F.expr(_nested("""'{"c":' || p_partkey || ',"d":{"e":2}}'""")))
+    merged = _docs(spark, sf_dir).select("p_partkey", D.deep_merge(v, right).alias("doc"), F.to_json(D.deep_merge(left_deep, right_deep)).alias("nested"))
     return merged.select(
         "p_partkey",
         F.to_json(D.field(v, "info")).alias("info"),
         F.to_json(D.field(v, "mix")).alias("mix"),
         D.as_string(D.field(v, "name")).alias("name"),
+        "nested",
     )

@@ -80,7 +80,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build(v, i):
         url = F.concat(F.lit(URL), F.lit("/"), "topic", F.lit("/"), F.col("offset").cast("string"), F.lit("/"), i.cast("string"))
-        body = D.deep_merge(v, F.to_variant_object(F.struct(i.alias("n"))), 1)
+        body = D.merge_levels(v, F.to_variant_object(F.struct(i.alias("n"))), 1)
         return H.with_header(H.with_body(H.post(url), body), "X-Topic", F.col("topic"))
 
     counted = once(e, content=F.col("content")).withColumn("n_requests", k % 3)
@@ -118,7 +118,7 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = H.request("PUT", F.concat(F.lit(URL + "/"), key), F.create_map(F.lit("A"), F.lit("b")), F.encode(body, "UTF-8"))
     made = table(spark, sf_dir, "pages").select("page_id", H.to_json(req).alias("v"))
     back = made.select("page_id", "v", H.from_json(F.col("v")).alias("r"))
-    odd = D.deep_merge(F.col("v"), F.parse_json(F.lit('{"method":"PATCH"}')), 1)
+    odd = D.merge_levels(F.col("v"), F.parse_json(F.lit('{"method":"PATCH"}')), 1)
     return back.select(
         "page_id", F.to_json("v").alias("json"), codec.utf8(F.col("r.body")).alias("body"),
         H.from_json(odd).isNull().alias("unknown_method"),

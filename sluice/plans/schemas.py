@@ -38,6 +38,22 @@ def json_path_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(schema.path_text(F.col("path")).alias("path"), "type", "n")
 
 
+@query("A-5", "X-11", sql="""
+SELECT '{"type": "record", "name": "object", "namespace": "gen", "fields": [{"name": "depth", "type": {"type": "record", "name": "depthType", "namespace": "gen", "fields": ['
+  || string_agg('{"name": "k' || k || '", "type": ["null", ' || CASE WHEN big THEN '"int", "long"' ELSE '"int"' END || ']}', ', ' ORDER BY 'k' || k)
+  || ']}}]}' AS schema
+FROM (SELECT o_custkey AS k, max(o_orderkey % 3) = 2 AND min(o_orderkey % 3) = 2 AS only_big, bool_or(o_orderkey % 3 = 2) AS big, bool_or(o_orderkey % 3 <> 2) AS small
+      FROM orders GROUP BY o_custkey) WHERE small""")
+def schema_of_data_as_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that have customers for keys: the schema has a field for each and stays in Spark."""
+    orders = table(spark, sf_dir, "orders")
+    small = orders.where("o_orderkey % 3 <> 2").select("o_custkey").distinct().withColumn("_seen", F.lit(True))
+    kept = orders.join(small, "o_custkey", "left_semi")
+    value = F.when(F.col("o_orderkey") % 3 == 2, F.lit(4000000000)).otherwise(F.lit(1).cast("bigint")).cast("string")
+    text = F.concat(F.lit('{"depth":{"k'), F.col("o_custkey").cast("string"), F.lit('":'), value, F.lit("}}"))
+    return schema.schema_text(kept.select(text.alias("doc")), "doc")
+
+
 @query("A-5", "U-1", "X-20", sql=f"""WITH {PART_DOCS_SQL}
 SELECT p_partkey, doc->>'$.brand' AS brand, CAST(doc->>'$.info.cents' AS BIGINT) AS cents, coalesce(doc->>'$.mix', 'null') AS mix,
        CAST(len(json_extract(doc, '$.parts[*]')) AS INTEGER) AS parts, CAST(doc->>'$.parts[0].nested[0]' AS INTEGER) AS nested

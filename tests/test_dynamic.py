@@ -95,10 +95,23 @@ def test_deep_merge(spark, left, right, merged):
     assert json.loads(frame.select(F.to_json(D.deep_merge(F.parse_json("l"), F.parse_json("r")))).first()[0]) == merged
 
 
-def test_deep_merge_fails_rather_than_losing_fields(spark):
-    deep = spark.createDataFrame([('{"a":{"b":{"c":1}}}', '{"a":{"b":{"d":1}}}')], "l string, r string")
-    with pytest.raises(PySparkException, match="deeper"):
-        deep.select(F.to_json(D.deep_merge(F.parse_json("l"), F.parse_json("r"), 1))).collect()
+@pytest.mark.parametrize("levels", [1, 5, 20, 300])
+def test_deep_merge_at_any_depth(spark, levels):
+    def nest(inner):
+        for i in range(levels):
+            inner = {"o": inner, f"k{i}": [i, {"x": "}"}]}
+        return inner
+
+    left, right = nest({"a": 1, "b": {"c": 1}, 'q"\\{': "{"}), nest({"b": {"d": None}, "a": {"z": 1.25}, "é": ["\\", '"']})
+    frame = spark.createDataFrame([(json.dumps(left), json.dumps(right)), ("1", "{}"), ("{}", "{}")], "l string, r string")
+    got = [json.loads(r[0]) for r in frame.select(F.to_json(D.deep_merge(F.parse_json("l"), F.parse_json("r")))).collect()]
+    assert got == [nest({"a": {"z": 1.25}, "b": {"c": 1, "d": None}, 'q"\\{': "{", "é": ["\\", '"']}), {}, {}]
+
+
+def test_merged_text_keeps_the_spelling_of_numbers():
+    assert D.merged_text('{"a":{"b":1.10,"c":{}}}', '{"a":{"c":{"d":12345678901234567890123}},"e":[]}') == (
+        '{"a":{"b":1.10,"c":{"d":12345678901234567890123}},"e":[]}')
+    assert D.merged_text("{}", "{}") == "{}" and D.merged_text('{"a":1}', "{}") == '{"a":1}' == D.merged_text("{}", '{"a":1}')
 
 
 SCHEMA = T.StructType(

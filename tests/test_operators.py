@@ -1,4 +1,6 @@
 import json
+import re
+import time
 import time
 
 import numpy as np
@@ -40,6 +42,31 @@ def test_a_topic_has_one_exact_route():
         routing.handler_for(F.lit("t"), routing.routes(("a", "x"), ("a", "y")))
 
 
+def test_many_routes_agree_with_a_plain_search_and_cost_little_more(spark):
+    entries = [(f"exact-{i}", f"e{i}") for i in range(1000)] + [(f"pre{i}.*x*", f"w{i}") for i in range(500)]
+    entries += [(f"pre{i}*", f"v{i}") for i in range(499)] + [("*-end", "suffix"), ("a?b*", "optional"), ("x|exact-2*", "either")]
+    table = routing.routes(*entries)
+    names = [f"exact-{i}" for i in range(0, 1100, 7)] + [f"pre{i}{t}" for i in range(0, 600, 11) for t in ("", "-x-", "q", "-end")] + [
+        "b", "abc", "x", "exact-2000", "none", "", "exact-", "pre", "pre7\nx"]
+    wild = [(re.compile(r.regex.replace(r"\z", r"\Z")), r.handler) for r in sorted(table, key=lambda r: r.priority) if r.is_wildcard]
+    exact = {r.pattern: r.handler for r in table if not r.is_wildcard}
+    frame = spark.createDataFrame([(n,) for n in names], "topic string")
+    got = {r["topic"]: r["h"] for r in frame.select("topic", routing.handler_for(F.col("topic"), table).alias("h")).collect()}
+    assert got == {n: exact.get(n) or next((h for p, h in wild if p.match(n)), None) for n in names}
+
+    def seconds(some):
+        rows = spark.range(0, 400_000, 1, 4).select(F.concat(F.lit("pre"), (F.col("id") % 700).cast("string"), F.lit("-x")).alias("topic"))
+        best = 1e9
+        for _ in range(3):
+            started = time.perf_counter()
+            rows.select(routing.handler_for(F.col("topic"), some).alias("h")).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - started)
+        return best
+
+    wildcards = [(f"pre{i}-*", "h") for i in range(1000)]
+    assert seconds(routing.routes(*entries[:1000], *wildcards)) < 3 * seconds(routing.routes(*entries[:2], *wildcards[:3])) + 0.5
+
+
 def test_no_routes(spark):
     assert routing.route(spark.createDataFrame([("t",)], "topic string"), []).first()["handler"] is None
 

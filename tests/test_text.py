@@ -37,6 +37,24 @@ def test_replace_in_json_leaves_numbers_and_escapes_alone(spark):
     assert cell(spark, X.replace_in_json(F.col("t"), "1", '"2"'), t='{"a":1,"b":"1"}') == '{"a":1,"b":"\\"2\\""}'
 
 
+@pytest.mark.parametrize("value", [
+    {"a\\": 'x"a', "\\": ["a\\", "\\\\a", '"', '\\"a'], "n": 1.5, "u": "é\u2028a\n", "": ""}, "a", ["aaa", "aa" * 50], {}, 'a"' * 3000, "b\\" * 3000])
+def test_replace_in_json_equals_a_walk_over_the_value(spark, value):
+    def walk(v):
+        if isinstance(v, str):
+            return v.replace("a", '"\\')
+        if isinstance(v, list):
+            return [walk(x) for x in v]
+        return {walk(k): walk(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    column = X.replace_in_json(F.col("t"), "a", '"\\')
+    for text in (json.dumps(value), json.dumps(value, ensure_ascii=False)):
+        assert json.loads(cell(spark, column, t=text)) == walk(value)
+    assert cell(spark, column, t='{"a": "open') == '{"\\"\\\\": "open'
+    plan = spark.createDataFrame([("{}",)], "t string").select(column)._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan
+
+
 def test_index_placeholder(spark):
     assert cell(spark, X.replace_index(F.col("t"), F.lit(12)), t='{"{{i}}":"v-{{i}}","n":1}') == '{"12":"v-12","n":1}'
 
