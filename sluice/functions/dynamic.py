@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -153,37 +152,41 @@ def text_depth(json_text: Column) -> Column:
     return F.aggregate(marks, start, step, lambda state: state["top"])
 
 
-def _members(text: str) -> dict[str, str]:
-    """The fields of a compact JSON object, names and values in their exact spelling."""
-    found, depth, start, name = {}, 0, 1, ""
+# strings are passed over whole; of what is between them, the marks
+_TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]:,]', re.S)
+
+
+def _objects(text: str) -> dict[int, dict[str, tuple[int, int]]]:
+    """All objects of a compact JSON text by where they start: where the value of each name lies, in one scan."""
+    found, open_ = {}, []
+    fields, name, start = None, "", 0
     for token in _TOKEN.finditer(text):
         mark, at = token.group(), token.start()
-        if mark in "{[":
-            depth += 1
-            continue
-        if depth == 1 and mark == ":":
+        if mark == "{" or mark == "[":
+            open_.append((fields, name, start))
+            fields, start = {} if mark == "{" else None, at + 1
+            if fields is not None:
+                found[at] = fields
+        elif mark == "}" or mark == "]":
+            if fields is not None and at > start:
+                fields[name] = (start, at)
+            fields, name, start = open_.pop()
+        elif fields is not None and mark == ":":
             name, start = text[start:at], at + 1
-        elif depth == 1 and (mark == "," or at == len(text) - 1):
-            if at > 1:
-                found[name] = text[start:at]
-            start = at + 1
-        if mark in "}]":
-            depth -= 1
+        elif fields is not None and mark == ",":
+            fields[name], start = (start, at), at + 1
     return found
 
 
-# strings are passed over whole; of what is between them, the marks
-_TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]:,]', re.S)
-
-
 def merged_text(left: str, right: str) -> str:
     """Two compact JSON objects merged at any depth, by an explicit stack; the right side wins, null included."""
+    own, other = _objects(left), _objects(right)
 
-    def both(l: str, r: str):
-        own, other = _members(l), _members(r)
-        return iter([(n, own.get(n), other.get(n)) for n in sorted({*own, *other})])
+    def both(l: int, r: int):
+        a, b = own[l], other[r]
+        return iter([(n, a.get(n), b.get(n)) for n in sorted({*a, *b})])
 
-    out, stack, first = ["{"], [both(left, right)], True
+    out, stack, first = ["{"], [both(0, 0)], True
     while stack:
         name, l, r = next(stack[-1], (None, None, None))
         if name is None:
@@ -192,23 +195,19 @@ def merged_text(left: str, right: str) -> str:
             first = False
             continue
         out.append(f"{name}:" if first else f",{name}:")
-        if l is not None and r is not None and l[0] == r[0] == "{":
-            stack.append(both(l, r))
+        first = l is not None and r is not None and left[l[0]] == right[r[0]] == "{"
+        if first:
+            stack.append(both(l[0], r[0]))
             out.append("{")
-            first = True
         else:
-            out.append(l if r is None else r)
-            first = False
+            out.append(left[l[0]:l[1]] if r is None else right[r[0]:r[1]])
     return "".join(out)
 
 
 @F.pandas_udf(T.StringType())
 def _merge_deep(left: pd.Series, right: pd.Series) -> pd.Series:
     """Merges the pairs that are there; most rows have none."""
-    out = pd.Series([None] * len(left), dtype=object)
-    for i in np.flatnonzero(left.notna().to_numpy()):
-        out[i] = merged_text(left[i], right[i])
-    return out
+    return pd.Series([None if l is None else merged_text(l, r) for l, r in zip(left.tolist(), right.tolist())], dtype=object)
 
 
 def merge_levels(left: Column, right: Column, depth: int) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import partial, reduce
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sluice.operators import stats
@@ -17,6 +18,7 @@ from sluice.operators.ranking import newest
 from sluice.operators.routing import Route, route
 from sluice.operators.scripts import Console, Context, Handler
 from sluice.session import shared_dir
+from sluice.sinks.journal import Journal
 from sluice.sinks.tables import read_epochs, write_epoch
 
 
@@ -39,13 +41,15 @@ def error_kind(error: BaseException) -> str:
     return "expression"
 
 
-DEAD_LETTERS = (
-    "topic string, partition int, offset bigint, handler string, error_kind string, error string, "
-    "key string, content string, headers map<string,string>, timestamp bigint"
+# One row of the journal; each kind fills its own columns.
+JOURNAL = (
+    "topic string, partition int, offset bigint, handler string, error_kind string, error string, key string, message string, "
+    "content string, headers map<string,string>, timestamp bigint, records bigint, batches bigint, failed boolean, "
+    "stream string, seq int, line string"
 )
-STATS = "topic string, handler string, records bigint, batches bigint, failed boolean"
+DEAD = ("topic", "partition", "offset", "handler", "error_kind", "error", "key", "content", "headers", "timestamp", "pipeline", "epoch")
+RECENT = ("topic", "`partition`", "`offset`", "key", "message", "content AS value", "timestamp", "pipeline", "epoch")
 LOGS = "stream string, seq int, line string"
-RECENT = "kind string, topic string, partition int, offset bigint, key string, message string, value string, timestamp bigint"
 
 
 @dataclass
@@ -59,20 +63,8 @@ class Tables:
         return f"{self.base}/output/handler={quote(handler, safe='')}"
 
     @property
-    def dead_letters(self) -> str:
-        return f"{self.base}/dead_letters"
-
-    @property
-    def stats(self) -> str:
-        return f"{self.base}/stats"
-
-    @property
-    def recent(self) -> str:
-        return f"{self.base}/recent"
-
-    @property
-    def logs(self) -> str:
-        return f"{self.base}/logs"
+    def journal(self) -> str:
+        return f"{self.base}/journal"
 
     @property
     def checkpoint(self) -> str:
@@ -83,11 +75,28 @@ def _failed(failures: Mapping[str, object]) -> Column:
     return F.col("handler").isNull() | F.col("handler").isin(*failures)
 
 
-def _newest_kinds(summary: DataFrame) -> DataFrame:
-    """Of each kind the newest: more records than errors are kept."""
+def _newest(kind: str, rows: DataFrame) -> DataFrame:
+    """Of records or errors the newest; more records than errors are kept."""
     order = [F.desc("timestamp"), F.desc("offset"), F.asc("topic"), F.asc("partition")]
-    kept = newest(summary, ["kind"], order, stats.RECENT_RECORDS, "offset", "recency")
-    return kept.where((F.col("kind") == "record") | (F.col("recency") <= stats.ERRORS)).drop("recency")
+    n = stats.RECENT_RECORDS if kind == "record" else stats.ERRORS
+    return newest(rows.withColumn("_kind", F.lit(kind)), ["_kind"], order, n, "offset", "_recency").drop("_kind", "_recency")
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """Counts of several epochs as the journal has those of one."""
+    summed = rows.groupBy("topic", "failed").agg(F.sum("records").alias("records"), F.sum("batches").alias("batches"), F.max("epoch").alias("epoch"))
+    return _journaled(summed, keep=("epoch",))
+
+
+def _journaled(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with all columns of the journal, NULL where they have none."""
+    columns = T._parse_datatype_string(JOURNAL).fields
+    named = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns]
+    return rows.select(*named, *keep)
+
+
+# Counts add up and newest lists are lists of their newest; console lines stay as they are. Dead letters are not merged.
+MERGES = {"stat": _totals, "record": partial(_newest, "record"), "error": partial(_newest, "error"), "log": lambda rows: rows}
 
 
 @dataclass
@@ -99,13 +108,15 @@ class Pipeline:
     handlers: Mapping[str, Handler]
     tables: Tables
     context: Context = field(default_factory=Context)
+    _unrouted: bool = False
 
     def dispatch(self, batch: DataFrame, epoch: int) -> int:
         """Run each handler on its topics' messages; returns the number of messages.
 
         A failing handler does not stop the stream: its messages go to the dead-letter table with the
         error, as do messages without a route. All tables are written per epoch, so a replay after a
-        failure overwrites instead of adding.
+        failure overwrites instead of adding. Beside the handlers' own jobs there are one that counts
+        and one that writes the journal.
         """
         spark = batch.sparkSession
         routed = route(batch, self.routes).persist()
@@ -115,6 +126,7 @@ class Pipeline:
             if not counts:
                 return 0
             self.context.console = Console(self.name)
+            self._unrouted = None in counts
             failures: dict[str, tuple[str, str]] = {}
             for handler in sorted(h for h in counts if h is not None):
                 try:
@@ -122,12 +134,7 @@ class Pipeline:
                 except Exception as error:
                     failures[handler] = (error_kind(error), f"{type(error).__name__}: {error}")
                     self.context.console.err(f"{handler}: {type(error).__name__}")
-            self._write_dead_letters(routed, failures, epoch)
-            self._write_stats(routed, failures, epoch)
-            self._write_recent(routed, failures, epoch)
-            lines = [(s, n, t) for n, (s, t) in enumerate(self.context.console.lines)]
-            if lines:
-                write_epoch(spark.createDataFrame(lines, LOGS), self.tables.logs, self.name, epoch)
+            self.journal.write(self._rows(routed, failures), epoch)
             return sum(counts.values())
         finally:
             routed.unpersist()
@@ -139,33 +146,43 @@ class Pipeline:
         if produced is not None:
             write_epoch(produced, self.tables.output(name), self.name, epoch)
 
-    def _write_dead_letters(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
+    @property
+    def journal(self) -> Journal:
+        return Journal(f"{self.tables.journal}/pipeline={quote(self.name, safe='')}", JOURNAL, MERGES)
+
+    def _rows(self, routed: DataFrame, failures: dict[str, tuple[str, str]]) -> DataFrame:
+        """All that an epoch adds to the journal, as one table for one write.
+
+        Dead letters have all that it takes to send the message again. Of the newest records and failed records more than
+        an epoch's own newest cannot be among the newest overall.
+        """
         kind, text = F.when(F.col("handler").isNull(), "compile"), F.when(F.col("handler").isNull(), F.col("route_error"))
         for handler, (failed_kind, failed_text) in failures.items():
             kind = kind.when(F.col("handler") == handler, failed_kind)
             text = text.when(F.col("handler") == handler, failed_text)
-        # with all that it takes to send the message again
-        marked = routed.select(
+        failed = _failed(failures)
+        letters = routed.where(failed).select(
             "topic", "partition", "offset", "handler", kind.alias("error_kind"), text.alias("error"),
             F.to_json("key").alias("key"), F.to_json("content").alias("content"), "headers", "timestamp",
         )
-        write_epoch(marked.where(F.col("error_kind").isNotNull()), self.tables.dead_letters, self.name, epoch)
-
-    def _write_recent(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
-        """The epoch's newest records and newest failed records; older ones cannot be among the newest overall."""
-        kinds = F.array_compact(F.array(F.lit("record"), F.when(_failed(failures), "error")))
-        summary = routed.withColumn("kind", F.explode(kinds)).select(
-            "kind", "topic", "partition", "offset", stats.coords(F.col("topic"), F.col("offset"), F.col("partition"), F.col("key"))["key"].alias("key"),
-            stats.batch_message(F.col("topic"), F.col("partition"), F.col("offset")).alias("message"),
-            F.to_json("content").alias("value"), "timestamp",
-        )
-        write_epoch(_newest_kinds(summary), self.tables.recent, self.name, epoch)
-
-    def _write_stats(self, routed: DataFrame, failures: dict[str, tuple[str, str]], epoch: int) -> None:
-        failed = _failed(failures)
-        rows = routed.groupBy("topic", "handler").agg(F.count(F.lit(1)).alias("records"))
-        rows = rows.select("topic", "handler", "records", F.lit(1).cast("bigint").alias("batches"), failed.alias("failed"))
-        write_epoch(rows, self.tables.stats, self.name, epoch)
+        places = routed.select("topic", "partition", "offset", "key", "content", "timestamp", failed.alias("_failed"))
+
+        def recent(name: str) -> DataFrame:
+            # texts are made for the few rows that stay
+            kept = _newest(name, places if name == "record" else places.where("_failed"))
+            return kept.select(
+                "topic", "partition", "offset", stats.coords(F.col("topic"), F.col("offset"), F.col("partition"), F.col("key"))["key"].alias("key"),
+                stats.batch_message(F.col("topic"), F.col("partition"), F.col("offset")).alias("message"), F.to_json("content").alias("content"), "timestamp")
+
+        counted = routed.groupBy("topic", "handler").agg(F.count(F.lit(1)).alias("records")).select(
+            "topic", "handler", "records", F.lit(1).cast("bigint").alias("batches"), failed.alias("failed"))
+        lines = [(s, n, t) for n, (s, t) in enumerate(self.context.console.lines)]
+        parts = {"stat": counted, "record": recent("record")}
+        if failures or self._unrouted:
+            parts |= {"dead": letters, "error": recent("error")}
+        if lines:
+            parts["log"] = routed.sparkSession.createDataFrame(lines, LOGS)
+        return reduce(DataFrame.unionByName, [_journaled(rows).withColumn("kind", F.lit(name)) for name, rows in parts.items()])
 
     def start(self, messages: DataFrame, trigger: Mapping[str, object]) -> StreamingQuery:
         """Start the stream. Offsets are committed after ``dispatch`` returns: at least once."""
@@ -180,12 +197,15 @@ class Pipeline:
     def output(self, spark: SparkSession, handler: str, schema: str) -> DataFrame:
         return read_epochs(spark, self.tables.output(handler), schema)
 
+    def _journal(self, spark: SparkSession, kind: str) -> DataFrame:
+        return self.journal.read(spark, kind).withColumn("pipeline", F.lit(self.name))
+
     def dead_letters(self, spark: SparkSession) -> DataFrame:
-        return read_epochs(spark, self.tables.dead_letters, DEAD_LETTERS)
+        return self._journal(spark, "dead").select(*DEAD)
 
     def statistics(self, spark: SparkSession) -> DataFrame:
         """Records, batches and failed batches per topic, over all epochs."""
-        return read_epochs(spark, self.tables.stats, STATS).groupBy("pipeline", "topic").agg(
+        return self._journal(spark, "stat").groupBy("pipeline", "topic").agg(
             F.sum("records").alias("total_records"),
             F.sum("batches").alias("total_batches"),
             F.sum(F.when(F.col("failed"), F.col("batches")).otherwise(0)).alias("failed_batches"),
@@ -193,15 +213,15 @@ class Pipeline:
 
     def recent_records(self, spark: SparkSession) -> DataFrame:
         """The newest records of all topics."""
-        return _newest_kinds(read_epochs(spark, self.tables.recent, RECENT)).where(F.col("kind") == "record").drop("kind")
+        return _newest("record", self._journal(spark, "record")).selectExpr(*RECENT)
 
     def recent_errors(self, spark: SparkSession) -> DataFrame:
         """The newest failed records of all topics."""
-        return _newest_kinds(read_epochs(spark, self.tables.recent, RECENT)).where(F.col("kind") == "error").drop("kind")
+        return _newest("error", self._journal(spark, "error")).selectExpr(*RECENT)
 
     def console(self, spark: SparkSession) -> DataFrame:
         """Handler output, newest first."""
-        return read_epochs(spark, self.tables.logs, LOGS).orderBy(F.desc("epoch"), F.desc("seq"))
+        return self._journal(spark, "log").select("stream", "seq", "line", "pipeline", "epoch").orderBy(F.desc("epoch"), F.desc("seq"))
 
 
 @dataclass
