@@ -6,7 +6,7 @@ into buckets, work per (key, bucket), and carry only one aggregated row per buck
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,6 +15,9 @@ BUCKET_WIDTH = 1 << 14
 FANOUT = 1 << 16
 LEVELS = 1
 SALTS = 64
+# Ranges of a sketched order column, and the sketch's accuracy as a multiple of them.
+PARTS = 1 << 10
+ACCURACY = 20
 KEY = ["_keys"]
 
 
@@ -23,9 +26,35 @@ def whole(value: Column, width: int) -> Column:
     return F.call_function("div", value, F.lit(width))
 
 
-def _bucket(order: str, width: int) -> Column:
+def order_splits(df: DataFrame, order: str, parts: int = PARTS) -> list[int]:
+    """Values that cut an integral order column into ranges of about equally many rows, from one quantile sketch.
+
+    With these, bucket sizes do not depend on how densely the numbers lie.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(F.col(order).cast("bigint"), shares, ACCURACY * parts)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(splits: Column, count: int, before: Callable[[Column], Column]) -> Column:
+    """How many of ``count`` ascending splits are not after a row, by binary search: ``before`` says so of one split."""
+    steps = F.from_json(F.lit(str([1 << k for k in reversed(range(count.bit_length()))])), "array<int>")
+
+    def step(found: Column, more: Column) -> Column:
+        split = F.get(splits, found + more - 1)
+        return F.when(split.isNotNull() & before(split), found + more).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step) if count else F.lit(0)
+
+
+def _bucket(order: str, width: int, splits: Sequence[int] | None = None) -> Column:
     # never NULL, so that no join adds a null filter and all levels can share one exchange of totals
-    return F.coalesce(whole(F.col(order), width), F.lit(0).cast("bigint"))
+    if splits is None:
+        return F.coalesce(whole(F.col(order), width), F.lit(0).cast("bigint"))
+    array = F.from_json(F.lit(str(list(splits))), "array<bigint>")
+    found = range_of(array, len(splits), lambda s: s <= F.col(order))
+    # the first range is NULL's too, which stands before all numbers
+    return F.coalesce(found, F.lit(0)).cast("bigint")
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,25 +63,28 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_sum_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str,
-                    width: int = BUCKET_WIDTH, levels: int = LEVELS, totals_from: DataFrame | None = None) -> DataFrame:
+                    width: int = BUCKET_WIDTH, levels: int = LEVELS, totals_from: DataFrame | None = None,
+                    splits: Sequence[int] | None = None) -> DataFrame:
     """Add the sum of ``value`` over the preceding rows of the same key; 0 for the first.
 
     Rows are shuffled once, on (keys, bucket). Bucket totals come from a separate narrow scan with
     partial aggregation; their own running sums are taken the same way, one level up. ``order`` is
-    integral and unique within a key, so a bucket holds at most ``width`` rows of a key. One level
-    suits dense numbers such as offsets; raise ``levels`` to 2 for sparse 64-bit ones. NULL is a key
-    like any other. When ``df`` is expensive, ``totals_from`` names a cheaper table of the same rows.
+    integral and unique within a key, so a bucket holds at most ``width`` rows of a key. This suits
+    dense numbers such as offsets. For sparse ones, such as hashes, pass ``splits`` from ``order_splits``:
+    a bucket then holds its share of all rows. NULL is a key like any other. When ``df`` is expensive,
+    ``totals_from`` names a cheaper table of the same rows.
     """
     totals = None if totals_from is None else _keyed(totals_from, keys)
-    return _sum_before(_keyed(df, keys), KEY[:len(keys)], order, value, name, width, levels, totals).drop(*KEY)
+    levels = levels if splits is None else 0
+    return _sum_before(_keyed(df, keys), KEY[:len(keys)], order, value, name, width, levels, totals, splits).drop(*KEY)
 
 
 def _sum_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, width: int, levels: int,
-                totals_from: DataFrame | None = None) -> DataFrame:
+                totals_from: DataFrame | None = None, splits: Sequence[int] | None = None) -> DataFrame:
     bucket, start = f"_bucket{levels}", f"_start{levels}"
     group = [*keys, bucket]
-    rows = df.withColumn(bucket, _bucket(order, width))
-    source = rows if totals_from is None else totals_from.withColumn(bucket, _bucket(order, width))
+    rows = df.withColumn(bucket, _bucket(order, width, splits))
+    source = rows if totals_from is None else totals_from.withColumn(bucket, _bucket(order, width, splits))
     totals = source.groupBy(*group).agg(F.sum(value).alias("_total"))
     if levels > 0:
         starts = _sum_before(totals, keys, bucket, F.col("_total"), start, FANOUT, levels - 1)
@@ -66,25 +98,28 @@ def _sum_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, n
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, name: str = "position",
-                  width: int = BUCKET_WIDTH, levels: int = LEVELS, totals_from: DataFrame | None = None) -> DataFrame:
+                  width: int = BUCKET_WIDTH, levels: int = LEVELS, totals_from: DataFrame | None = None,
+                  splits: Sequence[int] | None = None) -> DataFrame:
     """Add the 0-based position of each row within its key, by a unique integral order column."""
-    return with_sum_before(df, keys, order, F.lit(1).cast("bigint"), name, width, levels, totals_from)
+    return with_sum_before(df, keys, order, F.lit(1).cast("bigint"), name, width, levels, totals_from, splits)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "previous",
-                  width: int = BUCKET_WIDTH, levels: int = LEVELS) -> DataFrame:
+                  width: int = BUCKET_WIDTH, levels: int = LEVELS, splits: Sequence[int] | None = None) -> DataFrame:
     """Add the value of the preceding row of the same key, NULL for the first.
 
     Within a bucket this is a plain lag; the first row of a bucket takes the last value of the key's
     preceding bucket, found the same way among one row per bucket. NULL is a key like any other.
     """
-    return _previous(_keyed(df, keys), KEY[:len(keys)], order, value, name, width, levels).drop(*KEY)
+    levels = levels if splits is None else 0
+    return _previous(_keyed(df, keys), KEY[:len(keys)], order, value, name, width, levels, splits).drop(*KEY)
 
 
-def _previous(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, width: int, levels: int) -> DataFrame:
+def _previous(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, width: int, levels: int,
+              splits: Sequence[int] | None = None) -> DataFrame:
     bucket, carry = f"_bucket{levels}", f"_carry{levels}"
     group = [*keys, bucket]
-    rows = df.withColumn(bucket, _bucket(order, width)).withColumn("_boxed", F.struct(F.col(value).alias("v")))
+    rows = df.withColumn(bucket, _bucket(order, width, splits)).withColumn("_boxed", F.struct(F.col(value).alias("v")))
     last = rows.groupBy(*group).agg(F.max_by("_boxed", order).alias("_last"))
     if levels > 0:
         carried = _previous(last, keys, bucket, "_last", carry, FANOUT, levels - 1)

@@ -64,15 +64,21 @@ def recent_errors(df: DataFrame, order: list[Column], spread: str, outcome: str
     return newest(df.where(F.col(outcome)), [pipeline], order, n, spread, "recency")
 
 
-def result_text(request: Column, response: Column) -> Column:
-    """``url yields code``, or an error line when there was no response."""
-    answered = F.concat(request["url"], F.lit(" yields "), response["statusCode"].cast("string"))
-    return F.coalesce(answered, F.concat(F.lit("Error: no response from "), F.coalesce(request["url"], F.lit("an unknown address"))))
+def result_text(result: Column) -> Column:
+    """``url yields code``, or ``Error: `` and why there was no response."""
+    url = result["request"]["url"]
+    answered = F.concat(url, F.lit(" yields "), result["response"]["statusCode"].cast("string"))
+    return F.coalesce(answered, F.concat(F.lit("Error: "), _error(result)))
+
+
+def _error(result: Column) -> Column:
+    """The sink's error; without one, that no response came."""
+    return F.coalesce(result["error"], F.concat(F.lit("no response from "), F.coalesce(result["request"]["url"], F.lit("an unknown address"))))
 
 
 def results_text(results: Column) -> Column:
-    """Text of one record's HTTP results, an array of STRUCT(request, response)."""
-    lines = F.transform(results, lambda r: result_text(r["request"], r["response"]))
+    """Text of one record's HTTP results, an array of STRUCT(request, response, error, ..) as the sink gives it."""
+    lines = F.transform(results, result_text)
     many = F.concat(F.size(results).cast("string"), F.lit(" requests: [\n"), F.array_join(lines, "\n"), F.lit("\n]"))
     return F.when(F.size(results) == 1, F.element_at(lines, 1)).otherwise(many)
 
@@ -80,12 +86,12 @@ def results_text(results: Column) -> Column:
 def results_json(results: Column) -> Column:
     """JSON of one record's HTTP results: one object, or an array unless there is exactly one.
 
-    A request without a response gives an object with the field ``error``.
+    A request without a response gives an object with the field ``error``, which says why.
     """
 
     def object_(r: Column) -> Column:
         answered = F.struct(H.to_json(r["request"]).alias("request"), H.response_json(r["response"]).alias("response"))
-        failed = F.struct(result_text(r["request"], r["response"]).alias("error"))
+        failed = F.struct(_error(r).alias("error"))
         return F.when(r["response"].isNull(), F.to_variant_object(failed)).otherwise(F.to_variant_object(answered))
 
     objects = F.transform(results, object_)

@@ -163,25 +163,24 @@ def http_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _status(e):
-    return F.when(e % 5 == 0, 500).otherwise(200)
-
-
 def _with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages with the results their requests would get, as one array per message."""
-    response = F.struct(_status(F.col("event_id")).alias("statusCode"), F.col("topic").alias("body"))
-    results = F.transform("requests", lambda r: F.struct(r.alias("request"), response.alias("response")))
-    return once(_requests(spark, sf_dir).select("event_id", "topic", "requests"), results=results).drop("requests")
+    """Messages with the results of their requests, as the sink gives them: answers, refusals and calls that raise."""
+    return http_sink.post_all(_requests(spark, sf_dir).select("event_id", "requests"), "requests", _answer)
 
 
-@query("A-4", sql=f"""WITH {REQUESTS_SQL}, answered AS (
-  SELECT event_id, i, url, CASE WHEN event_id % 5 = 0 THEN 500 ELSE 200 END AS code,
+ANSWERED_SQL = f"""WITH {REQUESTS_SQL}, answered AS (
+  SELECT event_id, i, event_id % 11 = 0 OR event_id % 5 = 0 AS failed,
+         CASE WHEN event_id % 11 = 0 THEN 'Error: ConnectionError: refused' ELSE url || ' yields ' || CASE WHEN event_id % 5 = 0 THEN 500 ELSE 200 END END AS line,
+         CASE WHEN event_id % 11 = 0 THEN '{{"error":"ConnectionError: refused"}}' ELSE
          '{{"request":{{"body":' || body || ',"headers":{{"Content-Type":"application/json","X-Topic":"' || topic || '"}},"method":"POST","url":"' || url
-         || '"}},"response":{{"body":"' || topic || '","code":' || CASE WHEN event_id % 5 = 0 THEN 500 ELSE 200 END || '}}}}' AS json FROM requests)
-SELECT c.event_id, CASE c.n_requests WHEN 1 THEN a.lines ELSE c.n_requests || E' requests: [\\n' || coalesce(a.lines, '') || E'\\n]' END AS message,
+         || '"}},"response":{{"body":"POST ' || length(body) || '","code":' || CASE WHEN event_id % 5 = 0 THEN 500 ELSE 200 END || '}}}}' END AS json FROM requests)"""
+
+
+@query("A-4", "K-4", sql=f"""{ANSWERED_SQL}
+SELECT c.event_id, CASE c.n_requests WHEN 1 THEN a.lines ELSE c.n_requests || E' requests: [\n' || coalesce(a.lines, '') || E'\n]' END AS message,
        CASE c.n_requests WHEN 1 THEN a.jsons ELSE '[' || coalesce(a.jsons, '') || ']' END AS json
 FROM counted c LEFT JOIN (
-  SELECT event_id, string_agg(url || ' yields ' || code, E'\\n' ORDER BY i) AS lines, string_agg(json, ',' ORDER BY i) AS jsons
+  SELECT event_id, string_agg(line, E'\n' ORDER BY i) AS lines, string_agg(json, ',' ORDER BY i) AS jsons
   FROM answered GROUP BY event_id) a ON c.event_id = a.event_id""")
 def http_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _with_results(spark, sf_dir)
@@ -190,10 +189,10 @@ def http_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("F-3", sql=f"""WITH {REQUESTS_SQL}
+@query("F-3", "K-4", sql=f"""{ANSWERED_SQL}
 SELECT event_id, count(*) AS failed, 'Not all rest results returned successfully: ' ||
-       CASE count(*) WHEN 1 THEN any_value(url) || ' yields 500' ELSE count(*) || E' requests: [\\n' || string_agg(url || ' yields 500', E'\\n' ORDER BY i) || E'\\n]' END AS error
-FROM requests WHERE event_id % 5 = 0 GROUP BY event_id""")
+       CASE count(*) WHEN 1 THEN any_value(line) ELSE count(*) || E' requests: [\n' || string_agg(line, E'\n' ORDER BY i) || E'\n]' END AS error
+FROM answered WHERE failed GROUP BY event_id""")
 def http_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = stats.rest_failures(_with_results(spark, sf_dir))
     return failed.select("event_id", F.size("results").cast("bigint").alias("failed"), "error")

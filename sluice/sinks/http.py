@@ -40,20 +40,47 @@ TIMEOUT = 30.0
 PARALLEL = 8
 
 
+# Calls that their attempt gave up on and that have not come back: so many a worker process may have.
+ABANDONED = 64
+_abandoned = 0
+_lock = threading.Lock()
+
+
+class TooManyAbandoned(RuntimeError):
+    """So many calls hang that no further one is begun."""
+
+
 def _within(seconds: float, call: Callable[[], tuple[int, str]]) -> tuple[int, str]:
-    """A call's result, or TimeoutError when the time is over; nobody waits for the call any longer then."""
+    """A call's result, or TimeoutError when the time is over; nobody waits for the call any longer then.
+
+    A thread cannot be ended, so those left behind are counted until they come back, and there is a limit to them.
+    """
+    global _abandoned
+    with _lock:
+        if _abandoned >= ABANDONED:
+            raise TooManyAbandoned(f"{_abandoned} calls have not come back")
     ended: queue.SimpleQueue = queue.SimpleQueue()
+    left = threading.Event()
 
     def work() -> None:
+        global _abandoned
         try:
-            ended.put((call(), None))
+            found = (call(), None)
         except Exception as failure:
-            ended.put((None, failure))
+            found = (None, failure)
+        with _lock:
+            ended.put(found)
+            if left.is_set():
+                _abandoned -= 1
 
     threading.Thread(target=work, daemon=True).start()
     try:
         found, failure = ended.get(timeout=seconds)
     except queue.Empty:
+        with _lock:
+            if ended.empty():
+                left.set()
+                _abandoned += 1
         raise TimeoutError(f"no response within {seconds:g} s") from None
     if failure is not None:
         raise failure

@@ -1,5 +1,6 @@
 import json
 import re
+import threading
 import time
 import time
 
@@ -395,7 +396,8 @@ def test_failing_handler_on_test_messages(spark):
 
 def test_http_result_texts(spark):
     def results(n):
-        one = F.struct(F.struct(F.lit("u").alias("url")).alias("request"), F.struct(F.lit(200).alias("statusCode"), F.lit("b").alias("body")).alias("response"))
+        one = F.struct(F.struct(F.lit("u").alias("url")).alias("request"), F.struct(F.lit(200).alias("statusCode"), F.lit("b").alias("body")).alias("response"),
+                       F.lit(None).cast("string").alias("error"))
         return F.slice(F.array(one, one), 1, n)
 
     row = spark.range(1).select(*[stats.results_text(results(n)) for n in (0, 1, 2)]).first()
@@ -408,6 +410,45 @@ def test_record_coordinates(spark):
     assert row["a"]["key"] == "NULL" and row["b"]["key"] == '{"id":1}'
 
 
+def test_calls_that_hang_are_counted_and_end_the_sending(monkeypatch):
+    monkeypatch.setattr(http_sink, "ABANDONED", 3)
+    hang = threading.Event()
+    request = {"method": "GET", "url": "u", "headers": [], "body": b""}
+    before = threading.active_count()
+    try:
+        errors = [http_sink._send_one(request, lambda *a: hang.wait(), 1, 0.0, 0.05)["error"] for _ in range(6)]
+        assert errors == ["TimeoutError: no response within 0.05 s"] * 3 + ["TooManyAbandoned: 3 calls have not come back"] * 3
+        assert threading.active_count() == before + 3
+    finally:
+        hang.set()
+    time.sleep(0.3)
+    assert threading.active_count() <= before and http_sink._send_one(request, lambda *a: (200, ""), 1, 0.0, 1.0)["error"] is None
+
+
+@pytest.mark.parametrize("order", ["id DESC", "name", "x DESC, id", "x, name DESC, id"])
+def test_sorted_row_numbers_agree_with_a_window(spark, order):
+    frame = spark.range(3000).selectExpr(
+        "id", "md5(cast(id AS string)) AS name", "IF(id % 7 = 0, NULL, cast(pow(id % 50, 4) AS double)) AS x").repartition(5)
+    columns = [F.desc(o.split()[0]) if o.endswith("DESC") else o for o in order.split(", ")]
+    numbered = sql_tables.with_sorted_row_numbers(frame, *columns, parts=16)
+    want = frame.selectExpr("id", f"row_number() OVER (ORDER BY {order}) AS n")
+    assert {(r["id"], r["$row"]) for r in numbered.select("id", "`$row`").collect()} == {tuple(r) for r in want.collect()}
+    assert sql_tables.with_sorted_row_numbers(frame.where("false"), *columns).count() == 0
+
+
+def test_ranges_of_sorted_rows_are_even(spark):
+    seen = {}
+    real = sql_tables.range_of
+    sql_tables.range_of = lambda *a: seen.setdefault("range", real(*a))
+    try:
+        frame = spark.range(50_000).selectExpr("id", "pow(id, 3) AS x")
+        sql_tables.with_sorted_row_numbers(frame, F.desc("x"), parts=20)
+    finally:
+        sql_tables.range_of = real
+    sizes = [r["count"] for r in frame.groupBy(seen["range"].alias("r")).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * 50_000 / 20
+
+
 def test_row_numbers_in_any_order(spark):
     rows = [(i, n, a) for i in (10, 100) for a in (2, 3) for n in ("foo", "bar", "BAR")]
     frame = spark.createDataFrame(rows, "ID int, Name string, Amount int").repartition(4)
@@ -440,11 +481,12 @@ def test_objects_with_many_keys_have_a_schema(spark):
 
 def test_a_request_without_response_is_a_failure(spark):
     rows = spark.sql("""SELECT array(
-        struct(struct('http://a' AS url) AS request, struct(200 AS statusCode) AS response),
-        struct(struct('http://b' AS url) AS request, CAST(NULL AS STRUCT<statusCode: INT>) AS response)) AS results""")
+        struct(struct('http://a' AS url) AS request, struct(200 AS statusCode) AS response, CAST(NULL AS STRING) AS error),
+        struct(struct('http://b' AS url) AS request, CAST(NULL AS STRUCT<statusCode: INT>) AS response, 'TimeoutError: late' AS error),
+        struct(struct('http://c' AS url) AS request, CAST(NULL AS STRUCT<statusCode: INT>) AS response, NULL AS error)) AS results""")
     assert rows.select(stats.all_ok(F.col("results"))).first()[0] is False
     failed = stats.rest_failures(rows).first()["error"]
-    assert "http://a yields 200" in failed and "Error: no response from http://b" in failed
+    assert "http://a yields 200\nError: TimeoutError: late\nError: no response from http://c" in failed
 
 
 def test_blank_text_of_any_kind_is_a_tombstone(spark):
@@ -472,7 +514,7 @@ def test_requests_that_hang_raise_or_are_refused_are_failures(spark):
     assert {u: r["ok"] for u, r in seen.items()} == {"http://ok": True, "http://hang": False, "http://raise": False, "http://bad": False}
     assert seen["http://hang"]["results"][0]["error"] == "TimeoutError: no response within 1 s"
     assert seen["http://raise"]["results"][0]["error"] == "ConnectionError: refused"
-    assert set(json.loads(seen["http://raise"]["json"])) == {"error"} and set(json.loads(seen["http://bad"]["json"])) == {"request", "response"}
+    assert json.loads(seen["http://raise"]["json"]) == {"error": "ConnectionError: refused"} and set(json.loads(seen["http://bad"]["json"])) == {"request", "response"}
 
 
 def test_random_topic_has_a_name_of_its_own():

@@ -3,9 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from sluice.operators import batching
+from sluice.operators import batching, ranking
 from sluice.operators.ranking import newest, with_position, with_previous
 
 
@@ -142,3 +142,26 @@ def test_rows_with_null_keys_stay(spark, levels):
     follow = with_previous(table, ["k", "l"], "o", "o", width=2, levels=levels).collect()
     assert sorted((r["o"], r["previous"] or 0) for r in follow) == [(1, 0), (2, 0), (3, 0), (9, 1), (70000, 3)]
     assert set(follow[0].asDict()) == {"k", "l", "o", "previous"}
+
+
+def test_buckets_of_hashed_numbers_are_even(spark):
+    rows = spark.range(40_000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("o"), F.lit("own").alias("_keys0"))
+    # half of all numbers lie in a millionth of the range
+    rows = rows.withColumn("o", F.when(F.col("o") % 2 == 0, F.col("o").bitwiseAND((1 << 43) - 2)).otherwise(F.col("o"))).dropDuplicates(["k", "o"])
+    splits = ranking.order_splits(rows, "o", 64)
+    sizes = [r["count"] for r in rows.groupBy(ranking._bucket("o", 1, splits)).count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes) and len(sizes) >= 60
+    window = Window.partitionBy("k").orderBy("o")
+    want = rows.select("k", "o", (F.row_number().over(window) - 1).alias("p"), F.lag("o").over(window).alias("l"))
+    placed = with_position(rows, ["k"], "o", "p", splits=splits)
+    follow = with_previous(rows, ["k"], "o", "o", "l", splits=splits)
+    assert placed.columns == [*rows.columns, "p"]
+    assert placed.join(want.select("k", "o", F.col("p").alias("w")), ["k", "o"]).where("p != w").count() == 0 and placed.count() == rows.count()
+    assert follow.join(want.select("k", "o", F.col("l").alias("w")), ["k", "o"]).where("NOT l <=> w").count() == 0
+
+
+def test_an_order_of_one_value_or_none_has_one_bucket(spark):
+    frame = spark.createDataFrame([("a", 5), ("b", 5), ("a", None)], "k string, o bigint")
+    for rows in (frame, frame.where("o IS NULL"), frame.where("false")):
+        splits = ranking.order_splits(rows, "o")
+        assert sorted(r["position"] for r in with_position(rows, ["k"], "o", splits=splits).collect()) == [0, 0, 1][:rows.count()]
