@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sluice.functions import dynamic as D
+from sluice.functions import dynamic as D, records
 from sluice.functions.staging import once
 
 # Configuration names of the wire types.
@@ -22,10 +21,6 @@ ALIASES = {
 }
 
 
-class AvroUnavailable(RuntimeError):
-    """Raised when the spark-avro module is not on the session's classpath."""
-
-
 def wire_type(name: str, namespace: str = "gen") -> str:
     """Normalise a configured type name: ``string``, ``long``, ``bytes``, ``json`` or ``avro:<namespace>``."""
     low = name.lower()
@@ -122,19 +117,6 @@ def long_to_bytes(value: Column) -> Column:
     return F.unhex(F.lpad(F.hex(value), 16, "0"))
 
 
-def _avro():
-    """Spark's Avro functions, if their module is loaded: they fail only when a plan is analysed."""
-    from pyspark.sql.avro import functions as avro
-
-    try:
-        SparkSession.active().range(0).select(avro.from_avro(F.lit(b""), '"string"'))
-    except AnalysisException as error:
-        raise AvroUnavailable(
-            "Avro needs the spark-avro module: start Spark with --packages org.apache.spark:spark-avro"
-        ) from error
-    return avro
-
-
 def deserialise(data: Column, wire: str, avro_schema: str | None = None) -> Column:
     """Bytes of a configured wire type as a JSON value; NULL where the bytes do not decode."""
     wire = wire_type(wire)
@@ -148,11 +130,11 @@ def deserialise(data: Column, wire: str, avro_schema: str | None = None) -> Colu
         return to_json_value(data, T.BinaryType())
     if avro_schema is None:
         raise ValueError("the avro wire type needs the writer schema")
-    return F.to_variant_object(_avro().from_avro(data, avro_schema, {"mode": "PERMISSIVE"}))
+    return F.parse_json(records.from_bytes(data, avro_schema))
 
 
-def serialise(v: Column, wire: str, avro_schema: str | None = None, row: Column | None = None) -> Column:
-    """JSON value as the column written for a wire type; a non-integral ``long`` fails the row."""
+def serialise(v: Column, wire: str, avro_schema: str | None = None) -> Column:
+    """JSON value as the column written for a wire type; a non-integral ``long``, or what is no such record, fails the row."""
     wire = wire_type(wire)
     if wire == "json":
         return F.to_json(v)
@@ -164,9 +146,9 @@ def serialise(v: Column, wire: str, avro_schema: str | None = None, row: Column
         value = D.as_long_opt(v)
         message = F.concat(F.lit("couldn't convert >"), D.as_string(v), F.lit("< to a long"))
         return F.when(value.isNotNull(), value).otherwise(F.raise_error(message).cast("bigint"))
-    if row is None:
-        raise ValueError("the avro wire type serialises a typed struct column: pass row=")
-    return _avro().to_avro(row, avro_schema or "")
+    if avro_schema is None:
+        raise ValueError("the avro wire type needs the schema")
+    return records.to_bytes(F.to_json(v), avro_schema)
 
 
 def record_to_json(data: Column, wire: str, *, topic: Column, partition: Column, offset: Column, key: Column,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluice import envelope
-from sluice.functions import codec, dynamic as D, text as X
+from sluice.functions import codec, dynamic as D, records, text as X
 from sluice.operators import scripts
 from sluice.operators.schema import read_typed
 from sluice.plans.catalog import query
@@ -114,6 +116,33 @@ def typed_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A record's schema, and a newer one: another order, a wider number, a field more and one less.
+OLDER = json.dumps({"type": "record", "name": "Event", "namespace": "own", "fields": [
+    {"name": "user", "type": "int"}, {"name": "kind", "type": "string"}, {"name": "tags", "type": {"type": "array", "items": "string"}}]})
+NEWER = json.dumps({"type": "record", "name": "Event", "namespace": "own", "fields": [
+    {"name": "kind", "type": "string"}, {"name": "user", "type": "double"}, {"name": "note", "type": ["null", "string"], "default": None}]})
+
+
+@query("S-5", "K-3", sql="""
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN upper(printf('000000000a%02x%02x', 2 * (user_id % 60), 2 * length(event_type)) || hex(event_type)
+         || printf('02%02x', 2 * length(event_type)) || hex(event_type) || '00') END AS older_hex,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE '{"kind":"' || event_type || '","note":' || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '"n' || event_id || '"' END
+         || ',"user":' || (user_id % 60) || '}' END AS read
+FROM events""")
+def schema_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two schemas with their ids in front, all read as the newer; every fifth is cut short."""
+    e = table(spark, sf_dir, "events").withColumn("user", F.col("user_id") % 60)
+    older = F.to_json(F.struct("user", F.col("event_type").alias("kind"), F.array("event_type").alias("tags")))
+    newer = F.to_json(F.struct(F.col("event_type").alias("kind"), "user", F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("note")))
+    even = F.col("event_id") % 2 == 0
+    made = e.select("event_id", even.alias("even"), records.to_bytes(F.when(even, older), OLDER, 10).alias("o"), records.to_bytes(F.when(~even, newer), NEWER, 11).alias("n"))
+    wire = F.coalesce("o", "n")
+    cut = F.when(F.col("event_id") % 5 == 0, F.substring(wire, F.lit(1), F.octet_length(wire) - 1)).otherwise(wire)
+    read = records.from_registry(F.col("wire"), {10: OLDER, 11: NEWER}, NEWER)
+    staged = made.select("event_id", F.hex(F.when(F.col("even"), F.col("o"))).alias("older_hex"), cut.alias("wire"))
+    return staged.select("event_id", "older_hex", F.to_json(F.parse_json(read)).alias("read"))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in the record layout, a third of them with a payload that is cut short."""
     m = messages(spark, sf_dir)

@@ -71,9 +71,15 @@ def test_long_of_text_fails_the_row(spark):
         text_rows(spark, '"x"').select(codec.serialise(codec.text_to_json(F.col("t")), "long")).collect()
 
 
-def test_avro_without_the_module_says_so(spark):
-    with pytest.raises(codec.AvroUnavailable):
-        spark.range(1).select(codec.deserialise(F.lit(b"x"), "avro:n", '"string"')).collect()
+def test_records_of_a_schema_as_a_wire_type(spark):
+    frame = spark.createDataFrame([('"é"',), ('""',)], "t string").select(F.parse_json("t").alias("v"))
+    made = frame.select(codec.serialise(F.col("v"), "avro:n", '"string"').alias("b"))
+    assert [bytes(r["b"]) for r in made.collect()] == [b"\x04\xc3\xa9", b"\x00"]
+    assert [r[0] for r in made.select(codec.deserialise(F.col("b"), "avro:n", '"string"').cast("string")).collect()] == ["é", ""]
+    assert spark.range(1).select(codec.deserialise(F.lit(b"x"), "avro:n", '"string"')).first()[0] is None
+    for use in (lambda: codec.deserialise(F.lit(b"x"), "avro"), lambda: codec.serialise(F.lit(None), "avro")):
+        with pytest.raises(ValueError, match="schema"):
+            use()
 
 
 def test_last_duplicate_header_wins(spark):
