@@ -137,21 +137,6 @@ def as_vector(v: Column) -> Column:
     return F.coalesce(as_array(v), F.array(F.coalesce(v, json_null())))
 
 
-def text_depth(json_text: Column) -> Column:
-    """Nesting depth of a JSON text: 0 for a scalar, 1 for a flat object or array."""
-    no_escapes = F.regexp_replace(json_text, r"\\.", "")
-    no_strings = F.regexp_replace(no_escapes, r'"[^"]*"', "")
-    marks = F.split(F.regexp_replace(no_strings, r"[^\[\]{}]+", ""), "")
-
-    def step(state: Column, mark: Column) -> Column:
-        change = F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
-        now = state["now"] + change
-        return F.struct(now.alias("now"), F.greatest(state["top"], now).alias("top"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.aggregate(marks, start, step, lambda state: state["top"])
-
-
 # strings are passed over whole; of what is between them, the marks
 _TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]:,]', re.S)
 
@@ -232,12 +217,14 @@ LEVELS = 4
 def deep_merge(left: Column, right: Column) -> Column:
     """Merge objects recursively, however deep they nest; the right side wins, JSON null included.
 
-    Pairs of which one nests at most ``LEVELS`` deep stay in the JVM. The others are merged as JSON texts, by a
-    stack in Arrow batches, with the same result. Inside lambdas use ``merge_levels``.
+    Pairs of which one has at most ``LEVELS`` objects, so that no deeper ones can meet, stay in the JVM. The others are
+    merged as JSON texts, by a stack in Arrow batches, with the same result. Inside lambdas use ``merge_levels``.
     """
-    deep = F.lit(True)
-    for side in (left, right):
-        deep = deep & is_object(side) & F.coalesce(text_depth(F.to_json(side)) > LEVELS, F.lit(False))
+    def objects(side: Column) -> Column:
+        text = F.to_json(side)
+        return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+
+    deep = is_object(left) & is_object(right) & F.coalesce((objects(left) > LEVELS) & (objects(right) > LEVELS), F.lit(False))
     texts = _merge_deep(F.when(deep, F.to_json(left)), F.when(deep, F.to_json(right)))
     return F.when(texts.isNotNull(), F.parse_json(texts)).otherwise(merge_levels(left, right, LEVELS))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluice.functions import codec, dynamic as D
+from sluice.functions.staging import once
 from sluice.plans.catalog import query
 from sluice.plans.inputs import PART_DOCS_SQL, part_documents
 
@@ -187,9 +188,13 @@ def deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('{"info":{"cents":null,"extra":{"key":'), F.col("p_partkey").cast("string"), F.lit('}},"mix":{"b":{"c":2}}}'))
     )
     # objects that nest deeply on both sides and differ in the innermost only
-    left_deep = F.parse_json(F.expr(_nested("""'{"a":1.50,"b":"' || p_partkey || '","d":1}'""")))
-    right_deep = F.parse_json(F.expr(_nested("""'{"c":' || p_partkey || ',"d":{"e":2}}'""")))
-    merged = _docs(spark, sf_dir).select("p_partkey", D.deep_merge(v, right).alias("doc"), F.to_json(D.deep_merge(left_deep, right_deep)).alias("nested"))
+    held = once(
+        _docs(spark, sf_dir), right=right,
+        left_deep=F.parse_json(F.expr(_nested("""'{"a":1.50,"b":"' || p_partkey || '","d":1}'"""))),
+        right_deep=F.parse_json(F.expr(_nested("""'{"c":' || p_partkey || ',"d":{"e":2}}'"""))),
+    )
+    nested = F.to_json(D.deep_merge(F.col("left_deep"), F.col("right_deep"))).alias("nested")
+    merged = once(held, doc=D.deep_merge(v, F.col("right")), nested=nested)
     return merged.select(
         "p_partkey",
         F.to_json(D.field(v, "info")).alias("info"),

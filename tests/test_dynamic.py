@@ -142,8 +142,3 @@ def test_typed_decode_is_strict(spark, text, good):
     assert (result["value"] is not None, result["error"] is None) == (good, good)
     staged = D.decode_as(docs(spark, text), F.col("v"), SCHEMA, "d").first()["d"]
     assert staged == result
-
-
-@pytest.mark.parametrize("text, depth", [("1", 0), ("[]", 1), ('{"a":[1,{"b":2}]}', 3), ('["[[[","{\\"{"]', 1), ('[1,[2,[3]],[4]]', 3)])
-def test_text_depth(spark, text, depth):
-    assert spark.createDataFrame([(text,)], "t string").select(D.text_depth(F.col("t"))).first()[0] == depth
