@@ -96,4 +96,63 @@ ORACLES: dict[str, str] = {
             FROM plain
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM ranked""",
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                              ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+        ), tokens AS (
+          SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+        ), links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+          SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        )
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS component_id FROM sets""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE plain AS (
+          SELECT doc_id, coalesce('s' || source, 'n') AS tree, text,
+                 concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                        coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+                 -- crc32 bit by bit: each byte is taken in, then eight steps follow; the result is inverted, so 2 divides it where this ends in 1
+                 list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                   lambda c: [ascii(c)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+                   lambda a, x: CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::UBIGINT * (a & 1)) END) & 1 = 1 AS touched
+          FROM documents
+        ), hashed AS (
+          SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                 sha256(head || CASE WHEN text IS NULL THEN '-' WHEN touched THEN strlen(replace(text, E'\n', '')) || ':' || replace(text, E'\n', '')
+                                     ELSE strlen(text) || ':' || text END) AS found FROM plain
+        ), leaves AS (
+          SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM hashed
+        ), lower AS (
+          SELECT tree, 0 AS level, idx, leaf AS digest, n FROM leaves
+          UNION ALL
+          SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM lower WHERE n > 1 GROUP BY tree, level, idx // 3, n
+        ), roots AS (
+          SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM lower WHERE n = 1
+        ), upper AS (
+          SELECT 0 AS level, idx, digest, n FROM roots
+          UNION ALL
+          SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, idx // 3, n
+        ), nodes AS (
+          SELECT tree, level, idx, digest, n FROM lower UNION ALL SELECT '', level, idx, digest, n FROM upper
+        ), siblings AS (
+          SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+                 coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+          FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY a.tree, a.level, a.idx
+        ), fold AS (
+          SELECT tree AS own, idx AS leaf_idx, tree, 0 AS level, idx, found AS now, '' AS proof FROM leaves
+          UNION ALL
+          SELECT * FROM (
+            SELECT own, leaf_idx, f.tree, f.level + 1, f.idx // 3, sha256(before || now || after), proof || before || after
+            FROM fold f JOIN siblings s ON f.tree = s.tree AND f.level = s.level AND f.idx = s.idx
+            UNION ALL
+            -- at the root of a source the way goes on in the tree over all
+            SELECT own, leaf_idx, '', 0, r.idx, now, proof FROM fold f JOIN lower l ON f.tree = l.tree AND f.level = l.level AND l.n = 1 JOIN roots r ON r.tree = f.tree)
+        )
+        SELECT doc_id, leaf, r.digest AS subroot, u.digest AS root, sha256(f.proof) AS proof_sha256, f.now AS folded_root, f.now = u.digest AS verified
+        FROM leaves l JOIN roots r USING (tree) JOIN upper u ON u.n = 1 JOIN fold f ON f.own = l.tree AND f.leaf_idx = l.idx AND f.tree = '' AND f.level = u.level""",
 }
