@@ -70,7 +70,8 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # what stands for a token of its own wherever a text has it
+        self.marks = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
@@ -86,8 +87,14 @@ def words_of(path: str) -> Words:
 
 
 def token_ids(words: Words, text: str) -> np.ndarray:
-    """The tokenizer lower-cases and drops white space before it merges, so a text's ids are those of its words in turn."""
-    found = b"".join(map(words.__getitem__, text.encode().lower().split()))
+    """The tokenizer lower-cases and drops white space before it merges, so a text's ids are those of its words in turn.
+
+    A text that has the spelling of a special token, in any case, is left to the tokenizer as a whole.
+    """
+    low = text.encode().lower()
+    if any(mark in low for mark in words.marks):
+        return np.array([*words.tokenizer.encode(text, add_special_tokens=False).ids, END], "<u4")
+    found = b"".join(map(words.__getitem__, low.split()))
     return np.append(np.frombuffer(found, "<u4"), np.uint32(END))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sluice.llm import bpe, exact, language, licenses, packing, pages, private, quality, sharding, similar
@@ -123,6 +124,14 @@ def test_language_is_learned_and_text_without_letters_is_unknown(spark, nothing)
     assert language.identified(nothing).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|> Big", "<|EndOfText|><|endoftext|>", "<|endoftext| >", "Ünï  İ<|endoftext|>é\n\t", "it's WE'LL 12345 ...", "",
+    "ſ K Å ǅ ẞ " * 3])
+def test_ids_are_those_of_the_plain_tokenizer(text):
+    plain = Tokenizer.from_file(WORD_TOKENIZER)
+    assert packing.token_ids(packing.Words(WORD_TOKENIZER), text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_packing_places_every_token_once(docs, nothing):
     words = packing.Words(WORD_TOKENIZER)
     found = packing.packed(docs, WORD_TOKENIZER, length=64).collect()
