@@ -97,6 +97,14 @@ class Context:
     env: dict[str, str] = field(default_factory=dict)
     resources: dict[str, Any] = field(default_factory=dict)
     console: Console = field(default_factory=Console)
+    keep: Callable[[DataFrame], DataFrame] | None = None
+
+    def kept(self, sent: DataFrame) -> DataFrame:
+        """Messages with the results of their requests, after a pipeline has written these for the epoch.
+
+        Requests are sent while results are computed, so look at what this returns: it is read back, and nothing is sent twice.
+        """
+        return sent if self.keep is None else self.keep(sent)
 
 
 Handler = Callable[[DataFrame, Context], DataFrame | None]

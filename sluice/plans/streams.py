@@ -42,7 +42,7 @@ def _always_refuses(method: str, url: str, headers: dict, body: bytes) -> tuple[
 def _posted(batch: DataFrame, context: Context) -> DataFrame:
     """Posts one request per message and fails unless all return 200."""
     requests = batch.withColumn("requests", F.array(H.with_body(H.post(F.lit("http://sink")), F.col("content"))))
-    sent = http_sink.post_all(requests.select("requests"), "requests", _always_refuses)
+    sent = context.kept(http_sink.post_all(requests.select("topic", "partition", "offset", "requests"), "requests", _always_refuses))
     bad = sent.where(~all_ok(F.col("results"))).count()
     if bad:
         raise RestError(f"{bad} messages were not accepted")
@@ -101,6 +101,14 @@ def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("failed_batches").cast("int").alias("failed_batches"), "console")
 
 
+@query("A-4", "K-4", "T-3", sql=WITH + """
+SELECT topic, partition_id AS "partition", event_id AS "offset", 'posted' AS handler, 'http://sink yields 503' AS message, false AS ok,
+       '{"request":{"body":' || content_json || ',"headers":{"Content-Type":"application/json"},"method":"POST","url":"http://sink"},"response":{"body":"busy","code":503}}' AS json
+FROM messages WHERE topic = 'events-purchase'""")
+def stream_http_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).http_results(spark).drop("pipeline", "epoch")
+
+
 def _read_back(spark: SparkSession, stream: DataFrame, label: str, schema: str, mode: str) -> DataFrame:
     """Run a stateful stream over all its input and read the rows it wrote, by epoch."""
     base = shared_dir(spark, label)

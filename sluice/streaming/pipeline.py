@@ -18,6 +18,7 @@ from sluice.operators.ranking import newest
 from sluice.operators.routing import Route, route
 from sluice.operators.scripts import Console, Context, Handler
 from sluice.session import shared_dir
+from sluice.sinks.http import RESULTS
 from sluice.sinks.journal import Journal
 from sluice.sinks.tables import read_epochs, write_epoch
 
@@ -66,6 +67,10 @@ class Tables:
     def journal(self) -> str:
         return f"{self.base}/journal"
 
+    @property
+    def http(self) -> str:
+        return f"{self.base}/http"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.base}/checkpoint"
@@ -142,10 +147,18 @@ class Pipeline:
     def _run(self, name: str, messages: DataFrame, epoch: int) -> None:
         if name not in self.handlers:
             raise ConversionError(f"no handler named {name}")
+        self.context.keep = lambda sent: self._kept(name, sent, epoch)
         produced = self.handlers[name](messages, self.context)
         if produced is not None:
             write_epoch(produced, self.tables.output(name), self.name, epoch)
 
+    def _kept(self, handler: str, sent: DataFrame, epoch: int) -> DataFrame:
+        """Write a handler's HTTP results, which sends its requests, and read them back."""
+        rows = sent.select("topic", "partition", "offset", "results")
+        write_epoch(rows, f"{self.tables.http}/handler={quote(handler, safe='')}", self.name, epoch)
+        written = f"{self.tables.http}/handler={quote(handler, safe='')}/pipeline={self.name}/epoch={epoch}"
+        return sent.sparkSession.read.schema(rows.schema).parquet(written)
+
     @property
     def journal(self) -> Journal:
         return Journal(f"{self.tables.journal}/pipeline={quote(self.name, safe='')}", JOURNAL, MERGES)
@@ -219,6 +232,14 @@ class Pipeline:
         """The newest failed records of all topics."""
         return _newest("error", self._journal(spark, "error")).selectExpr(*RECENT)
 
+    def http_results(self, spark: SparkSession) -> DataFrame:
+        """The results that handlers kept, one row a message: as text, as JSON, and whether all were answered with 200."""
+        rows = read_epochs(spark, self.tables.http, f"topic string, partition int, offset bigint, results {RESULTS}, handler string")
+        results = F.col("results")
+        return rows.select(
+            "topic", "partition", "offset", "handler", stats.results_text(results).alias("message"),
+            F.to_json(stats.results_json(results)).alias("json"), stats.all_ok(results).alias("ok"), "pipeline", "epoch")
+
     def console(self, spark: SparkSession) -> DataFrame:
         """Handler output, newest first."""
         return self._journal(spark, "log").select("stream", "seq", "line", "pipeline", "epoch").orderBy(F.desc("epoch"), F.desc("seq"))

@@ -95,6 +95,31 @@ def test_restart_resumes_from_the_checkpoint(spark, record_dir):
     assert p.output(spark, "good", OUTPUT).count() == 30
 
 
+def counted_answer(method, url, headers, body):
+    with open(headers["log"], "a") as out:
+        out.write("x")
+    return (200 if body == b'{"n":0}' else 500), "b"
+
+
+def test_http_results_are_kept_and_sent_once(spark, record_dir, tmp_path):
+    from sluice.functions import http as H
+
+    log = str(tmp_path / "sent")
+
+    def posting(batch, context):
+        requests = batch.withColumn("requests", F.array(H.with_body(H.post(F.lit("u"), F.create_map(F.lit("log"), F.lit(log))), F.col("content"))))
+        sent = context.kept(http_sink.post_all(requests.drop("content", "key"), "requests", counted_answer))
+        assert sent.count() == sent.where("results IS NOT NULL").count()
+        raise RestError(str(sent.where(F.col("results")[0]["response"]["statusCode"] != 200).count()))
+
+    p = Pipeline("p", routes(("good*", "post")), {"post": posting}, Tables(session.shared_dir(spark, "pipeline")))
+    run_once(stream(spark, record_dir), p)
+    rows = p.http_results(spark).collect()
+    assert len(rows) == 30 == len(open(log).read()) and len({r["epoch"] for r in rows}) == 3
+    assert [r["offset"] for r in rows if r["ok"]] == [0] and {r["message"] for r in rows if not r["ok"]} == {"u yields 500"}
+    assert {r["handler"] for r in rows} == {"post"}
+
+
 def test_missing_handler_goes_to_dead_letters(spark, record_dir):
     p = Pipeline("p", routes(("*", "nobody")), {}, Tables(session.shared_dir(spark, "pipeline")))
     p.dispatch(topics.envelopes(spark.read.schema(envelope.RECORD).parquet(record_dir), CONFIG), 0)
