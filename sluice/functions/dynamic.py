@@ -220,12 +220,13 @@ def deep_merge(left: Column, right: Column) -> Column:
     Pairs of which one has at most ``LEVELS`` objects, so that no deeper ones can meet, stay in the JVM. The others are
     merged as JSON texts, by a stack in Arrow batches, with the same result. Inside lambdas use ``merge_levels``.
     """
-    def objects(side: Column) -> Column:
-        text = F.to_json(side)
+    def objects(text: Column) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
 
-    deep = is_object(left) & is_object(right) & F.coalesce((objects(left) > LEVELS) & (objects(right) > LEVELS), F.lit(False))
-    texts = _merge_deep(F.when(deep, F.to_json(left)), F.when(deep, F.to_json(right)))
+    sides = [F.to_json(left), F.to_json(right)]
+    # an object's text begins with a brace, and no other value's
+    deep = [F.coalesce(t.startswith("{") & (objects(t) > LEVELS), F.lit(False)) for t in sides]
+    texts = _merge_deep(*[F.when(deep[0] & deep[1], t) for t in sides])
     return F.when(texts.isNotNull(), F.parse_json(texts)).otherwise(merge_levels(left, right, LEVELS))
 
 
