@@ -1,20 +1,24 @@
 """N-gram Jaccard join: documents linked by the overlap of their word shingles, exactly, and their groups.
 
 Sets are ordered by a global order of shingles, rarest first as far as a fixed-size table of counts over
-all documents tells; only the first part of a set is indexed (prefix), with positions and sizes. Of the
-pairs in an index list, those go unread whose sizes (length) or whose positions (position: what may still
-follow the common shingle) rule out a link.
-
-Set relations do the rest. In each list a pivot's answers are computed first. A set that is linked with
-the pivot takes over the pivot's group as its answer, so pairs inside a group are never formed, however
-many near copies it has; and the distances of two sets from the pivot bound their distance from each other,
-which rules out most of the pairs that are left. Counts of shingles by part of the hash range bound overlaps
-once more; pairs that stay are compared shingle by shingle.
+all documents tells; only the first part of a set is indexed (prefix), with positions and sizes. Of index
+lists with the same members one is kept, that of the shingle that comes first. Lists are cut into blocks by
+size; the size and position of an entry say which sizes it can still be linked with, so a join skips all
+other blocks.
+
+Set relations do the rest. In each list a pivot's answers are computed first, then it leaves the list; the
+next pivot is the set with the most links so far. A set that is linked with the pivot takes over the pivot's
+group, so pairs inside a group are never formed, however many near copies it has. The answers of others are
+derived from the pivot's: their overlaps with the pivot bound their overlap with each other from both sides,
+which settles most pairs without a look at them. Turns go on for as long as each leaves at most half of the
+pairs; then the rest is formed pair by pair. Counts of shingles by part of the hash range bound overlaps once
+more; pairs that stay are compared shingle by shingle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,7 +32,8 @@ from sluice.llm.shared import discarded, fresh, numbered, staged
 
 WORDS = 4
 PERCENT = 85
-ROUNDS = 2
+# Pivots' turns come to an end when one leaves more than this part of the pairs that the last one left.
+PAYING = 0.5
 # Shingle counts are kept for this many hashed buckets; only their magnitude counts, and only for the order.
 COUNT_BITS = 17
 # Shingles of a set are also counted by this many parts of the hash range, to bound overlaps.
@@ -141,6 +146,39 @@ def possible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * follow + follow * percent >= percent * (n + m))
 
 
+def size_block(size: Column, percent: int) -> Column:
+    """Sizes by powers of the largest ratio that linked sets can have."""
+    return F.floor(F.log(size.cast("double")) / math.log(100 / percent)).cast("int")
+
+
+def blocks_in_reach(entries: DataFrame, percent: int) -> DataFrame:
+    """Each entry once for each block (``block``) that holds sizes it can be linked with, given its size and position."""
+    n, at = F.col("n"), F.col("at")
+    low = F.ceil(percent * n / 100)
+    high = F.least(F.floor(100 * n / percent), F.floor((100 + percent) * (n - at) / percent) - n)
+    return entries.where(high >= low).withColumn("block", F.explode(F.sequence(size_block(low, percent), size_block(high, percent))))
+
+
+def met(x: DataFrame, y: DataFrame, percent: int, more: Column | None = None) -> DataFrame:
+    """Pairs (x, y) of entries of one list and of different groups that may be linked; ``sure`` ones are.
+
+    ``o`` is an entry's overlap with the list's last pivot, where it was computed, ``pn`` that pivot's size. Two sets
+    share at most what both share with the pivot and what both have beside it, and at least what the pivot has no room
+    to hold apart.
+    """
+    a, b = x.withColumn("block", size_block(F.col("n"), percent)).alias("x"), blocks_in_reach(y, percent).alias("y")
+    xo, yo, xn, yn = F.col("x.o"), F.col("y.o"), F.col("x.n"), F.col("y.n")
+    most = F.least(xo, yo) + F.least(xn - xo, yn - yo)
+    reaches = F.coalesce((100 + percent) * most >= percent * (xn + yn), F.lit(True))
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block"))
+    on = on & (F.col("x.g") != F.col("y.g")) & possible("x", "y", percent) & reaches
+    if more is not None:
+        on = on & more
+    sure = F.coalesce((100 + percent) * (xo + yo - F.col("x.pn")) >= percent * (xn + yn), F.lit(False))
+    pairs = a.join(b, on).select(F.col("x.nid").alias("x"), F.col("y.nid").alias("y"), sure.alias("sure"))
+    return pairs.groupBy("x", "y").agg(F.max("sure").alias("sure"))
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose counts by part leave room for the overlap a link needs: it is at most the sum of the smaller counts."""
 
@@ -156,27 +194,22 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return side(side(pairs, "x"), "y").mapInPandas(bounded, "x long, y long")
 
 
-def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width: int) -> DataFrame:
-    """The overlap of each pair (x, y) of nodes, from their whole texts."""
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+def compared(pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
+    """The overlap of each pair (x, y) of nodes, from their whole texts; many pairs may share a ``y``."""
 
     def side(of: DataFrame, name: str) -> DataFrame:
-        known = nodes.select(F.col("nid").alias(name), F.col("doc_id").alias(f"{name}_id"), F.col("key").alias(f"{name}_key"),
-                             F.col("n").alias(f"{name}_n"))
-        joined = of.join(known, name)
-        found = joined.join(texts, joined[f"{name}_id"].eqNullSafe(texts["_id"])).drop("_id")
-        return found.withColumnRenamed("_text", f"{name}_text").drop(f"{name}_id")
+        return of.join(held.select(F.col("nid").alias(name), F.col("key").alias(f"{name}_key"), F.col("text").alias(f"{name}_text")), name)
 
     def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, held = word_numbers(), {}
+        numbers, kept = word_numbers(), {}
 
         def of(node: int, value: str) -> np.ndarray:
             # neighbouring rows often share a pivot
-            if node not in held:
-                if len(held) >= 64:
-                    held.clear()
-                held[node] = shingles(value, numbers, width)
-            return held[node]
+            if node not in kept:
+                if len(kept) >= 64:
+                    kept.clear()
+                kept[node] = shingles(value, numbers, width)
+            return kept[node]
 
         for batch in batches:
             out = []
@@ -188,10 +221,10 @@ def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_
                     both[both == len(y)] = 0
                     out.append((row.x, row.y, len(x), len(y), int((y[both] == x).sum())))
                 else:
-                    held.pop(row.y, None)
+                    kept.pop(row.y, None)
             yield pd.DataFrame(out, columns=["x", "y", "nx", "ny", "overlap"])
 
-    both = side(side(pairs, "x"), "y").drop("x_n", "y_n")
+    both = side(side(pairs, "x"), "y")
     return both.mapInPandas(overlap, "x long, y long, nx long, ny long, overlap long").distinct()
 
 
@@ -222,32 +255,84 @@ def split_off(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, nodes
 
 
+def index_lists(nodes: DataFrame) -> DataFrame:
+    """Entries (token, nid, n, at) of the lists with more than one member; of lists with the same members the first in the order of shingles.
+
+    The order is the same in all sets, so a pair's first common shingle stays or has a list with the same members that comes before it.
+    Members are told by their number and 128 bits of hash.
+    """
+    entries = nodes.select("nid", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "token"))
+    lists = entries.groupBy("token").agg(
+        F.count("*").alias("c"), F.sum("at").alias("place"), F.bit_xor(F.xxhash64("nid")).alias("h1"),
+        F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("h2")).where("c > 1")
+    chosen = lists.groupBy("c", "h1", "h2").agg(F.min_by("token", "place").alias("token")).select("token")
+    return entries.join(chosen, "token", "left_semi")
+
+
+def texts_of(lists: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_column: str) -> DataFrame:
+    """(nid, key, text) of the nodes that have entries; an id with several texts brings all of them."""
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    known = nodes.select("nid", "key", "doc_id").join(lists.select("nid").distinct(), "nid", "left_semi")
+    return known.join(texts, known["doc_id"].eqNullSafe(texts["_id"])).select("nid", "key", "text")
+
+
 def groups(nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width: int, percent: int) -> DataFrame:
     """(_key, component_id) for every nonempty set."""
-    entries = nodes.select("nid", "n", F.posexplode("first").alias("at", "token"))
-    common = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    index = staged(entries.join(common, "token", "left_semi"), "index")
+    index = staged(index_lists(nodes), "index")
     slim = staged(nodes.drop("first"), "slim-nodes")
     discarded(nodes)
     nodes = slim
+    held = staged(texts_of(index, nodes, docs, text, id_column), "held-texts")
 
-    links, known = None, None
+    none = F.lit(None).cast("int")
+    lists, stale = index.select("*", none.alias("o"), none.alias("pn")), [index]
+    known: DataFrame | None = None
+    links: DataFrame | None = None
     reached: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        lists = _with_group(index, reached)
-        open_ = lists.groupBy("token").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo <> _hi").select("token")
-        lists = staged(lists.join(open_, "token", "left_semi"), "open-lists")
-        if lists.isEmpty():
+    turn, before = 0, math.inf
+    while True:
+        grouped = _with_group(lists, links, reached, turn)
+        sizes = grouped.groupBy("token", "g").agg(F.count("*").alias("c"), F.max("rank").alias("rank"), F.max_by("nid", "rank").alias("nid"))
+        tops = staged(sizes.groupBy("token").agg(
+            F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("nid", "rank").alias("top"),
+            F.max_by("g", "c").alias("main")).where("all * all > squares"), "open-lists")
+        left = tops.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("squares")) / 2)).first()[0]
+        if left is None:
             break
-        formed = _pivot_pairs(lists, turn, percent) if turn < ROUNDS else _other_pairs(lists, known, percent)
+        marked = staged(grouped.join(tops, "token").select(
+            "token", "nid", "n", "at", "g", "o", "pn", (F.col("nid") == F.col("top")).alias("served"),
+            (F.col("g") == F.col("main")).alias("inside")), "lists")
+        for table in (*stale, tops):
+            discarded(table)
+        # the second turn's pivots are the first that links were known for
+        by_pivots = turn < 2 or left <= PAYING * before
+        pivots = marked.where("served")
+        if by_pivots:
+            formed = met(marked.where("NOT served"), pivots, percent)
+        else:
+            once = F.col("x.inside") | (F.col("x.nid") < F.col("y.nid"))
+            formed = met(marked, marked.where("NOT inside"), percent, once)
         if known is not None:
             formed = formed.join(known, ["x", "y"], "left_anti")
             formed = formed.join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-        answers = staged(compared(staged(plausible(formed, nodes, percent), "pairs"), nodes, docs, text, id_column, width), "answers")
-        known = answers if known is None else known.unionByName(answers)
-        links = known.where(100 * F.col("overlap") >= percent * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(
+        formed = staged(formed, "formed")
+        pairs = staged(plausible(formed.where("NOT sure").select("x", "y"), nodes, percent), "pairs")
+        answers = staged(compared(pairs, held, width), "answers")
+        found = answers.where(100 * F.col("overlap") >= percent * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(
             F.col("x").alias("a"), F.col("y").alias("b"))
+        found = found.unionByName(formed.where("sure").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        known = answers.select("x", "y") if known is None else known.unionByName(answers.select("x", "y"))
+        links = found if links is None else links.unionByName(found)
         reached = components(links)
+        if not by_pivots:
+            break
+        # a pivot has met all of its list; overlaps with it go on with the others
+        of = pivots.select("token", F.col("nid").alias("pivot"))
+        overlaps = answers.select(F.col("x").alias("nid"), F.col("y").alias("pivot"), F.col("overlap").cast("int").alias("o"),
+                                  F.col("ny").cast("int").alias("pn"))
+        lists = marked.where("NOT served").drop("o", "pn", "served", "inside", "g").join(of, "token").join(
+            overlaps, ["nid", "pivot"], "left").drop("pivot")
+        turn, before, stale = turn + 1, left, [marked]
     named = nodes.select("nid", "key", "doc_id")
     if reached is None:
         return named.select(F.col("key").alias("_key"), F.col("doc_id").alias("component_id"))
@@ -256,45 +341,16 @@ def groups(nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width:
     return grouped.join(smallest, "_g").select(F.col("key").alias("_key"), "component_id")
 
 
-def _with_group(index: DataFrame, reached: DataFrame | None) -> DataFrame:
-    if reached is None:
-        return index.withColumn("g", F.col("nid"))
-    known = reached.select(F.col("node").alias("nid"), "component")
-    return index.join(known, "nid", "left").withColumn("g", F.coalesce("component", "nid")).drop("component")
-
-
-def _pivots(lists: DataFrame, turn: int) -> DataFrame:
-    """One entry of each list, drawn by a hash, so that lists of the same near copies draw the same one."""
-    entry = F.struct(F.xxhash64("nid", F.lit(turn)).alias("h"), "nid", "n", "at", "g")
-    return lists.groupBy("token").agg(F.min(entry).alias("p")).select(
-        "token", F.col("p.nid").alias("nid"), F.col("p.n").alias("n"), F.col("p.at").alias("at"), F.col("p.g").alias("g"))
-
-
-def _pivot_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    x, y = lists.alias("x"), _pivots(lists, turn).alias("y")
-    met = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.g") != F.col("y.g")) & possible("x", "y", percent))
-    return met.select(F.col("x.nid").alias("x"), F.col("y.nid").alias("y")).distinct()
-
-
-def _other_pairs(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups that pivots have not settled: entries outside a list's largest group with all others.
-
-    Both entries' distances from the list's first pivot are known where they could be linked with it; if these
-    differ by more than a linked pair's distance, the pair cannot be linked.
-    """
-    sizes = lists.groupBy("token", "g").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "g")).alias("m")).select("token", F.col("m.g").alias("main"))
-    first = _pivots(lists, 0).select("token", F.col("nid").alias("pivot"))
-    far = known.select(F.col("x").alias("nid"), F.col("y").alias("pivot"),
-                       (1 - F.col("overlap") / (F.col("nx") + F.col("ny") - F.col("overlap"))).alias("d"))
-    marked = lists.join(main, "token").join(first, "token").join(far, ["nid", "pivot"], "left")
-    marked = staged(marked.select("token", "nid", "n", "at", "g", "d", (F.col("g") == F.col("main")).alias("inside")), "marked")
-    x, y = marked.where("NOT inside").alias("x"), marked.alias("y")
-    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    once = F.col("y.inside") | (F.col("x.nid") < F.col("y.nid"))
-    met = x.join(y, F.col("x.token") == F.col("y.token")).where(
-        (F.col("x.g") != F.col("y.g")) & once & near & possible("x", "y", percent))
-    return met.select(F.col("x.nid").alias("x"), F.col("y.nid").alias("y")).distinct()
+def _with_group(lists: DataFrame, links: DataFrame | None, reached: DataFrame | None, turn: int) -> DataFrame:
+    """Entries with their sets' groups and their rank as pivots: most links first, then by a hash, alike in all lists."""
+    drawn = F.xxhash64("nid", F.lit(turn)).bitwiseAND(F.lit((1 << 48) - 1))
+    if links is None:
+        return lists.withColumn("g", F.col("nid")).withColumn("rank", drawn)
+    ends = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("degree"))
+    known = ends.join(reached.withColumnRenamed("node", "nid"), "nid")
+    degree = F.coalesce(F.least("degree", F.lit(32767)), F.lit(0)).cast("long")
+    return lists.join(known, "nid", "left").withColumn("g", F.coalesce("component", "nid")).withColumn(
+        "rank", F.shiftleft(degree, 48).bitwiseOR(drawn)).drop("component", "degree")
 
 
 def without_near_copies(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", width: int = 5,
