@@ -41,6 +41,9 @@ OFTEN = 2
 PLACED = 0.5
 # The part of the host's pages with an article that must have the block.
 MOST = 0.5
+# Pages that a block may stand on in any case: copies of a few articles look like boilerplate on a small host.
+FEW = 4
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 # fixed values: element names of the HTML standard
 BLOCKS = frozenset((
@@ -54,18 +57,21 @@ ARTICLE = frozenset(("article", "main"))
 
 # class, id and role names that mark what is not the article
 MARKS = frozenset((
-    "ad ads advert advertisement alert banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies "
+    "ad ads advert advertisement alert banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
     "disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo related "
     "replies reply search share sharing sidebar signup social sponsor sponsored subscribe widget"
 ).split())
 # words that may stand beside them in a name: cookie-banner, share-buttons, site-footer, but not has-sidebar or comments-open
 BESIDE = frozenset((
     "area articles bar block bottom box button buttons container content form global icons inner item items left links list main outer page "
-    "panel posts primary right secondary section site slot top unit wrap wrapper"
+    "panel posts primary reader readers right secondary section site slot top unit user users visitor wrap wrapper"
 ).split())
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|iframe|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_PART = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[A-Za-z/!?][^<>]*\Z|([^<]+|<)""")
+# Quoted values may hold anything; where the quotes of a tag do not close before the next "<", it ends at its first ">".
+# Nothing is tried twice, and only quoted values and what is dropped to the page's end cross a "<", so malformed pages take linear time.
+_PART = re.compile(
+    r"""<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^<>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[A-Za-z][^<>]*+\Z|([^<]++|<)""")
 # whole attributes, so that nothing in another attribute's value counts as a name
 _ATTRIBUTE = re.compile(r"""(?:(?<=\s)|(?<=["'])|^)([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
@@ -81,13 +87,13 @@ class Block(NamedTuple):
 
 
 def _marked(attributes: str, inside: bool = False) -> bool:
-    """Whether a whole name marks the element; inside an article a header is the article's own."""
+    """Whether a whole name marks the element; inside an article a header, or a section on related matters, is the article's own."""
     for found in _ATTRIBUTE.finditer(attributes):
         if found[1].lower() not in ("class", "id", "role"):
             continue
         for name in (found[2] or found[3] or found[4] or "").lower().split():
             words = set(re.split(r"[_-]+", name)) - {""}
-            marks = words & MARKS - ({"header", "masthead"} if inside else set())
+            marks = words & MARKS - ({"header", "masthead", "related"} if inside else set())
             if marks and words <= MARKS | BESIDE:
                 return True
     return False
@@ -245,7 +251,7 @@ def host_key(host: str) -> np.uint64:
 def main_text(blocks: list[Block], counts: list[int], stands: np.ndarray, placed: np.ndarray, pages: int) -> str:
     """The main text of a page, from the number of the host's pages that each token's run and each block's places stand on.
 
-    ``pages`` is the number of the host's pages with an article.
+    ``pages`` is the number of the host's pages with an article. An article's headings and its first block always stay.
     """
     cuts = np.cumsum(counts)[:-1]
     each = np.split(stands, cuts)
@@ -254,7 +260,9 @@ def main_text(blocks: list[Block], counts: list[int], stands: np.ndarray, placed
         # pages that the article itself stands on: most of a copied article's tokens stand on as many as there are copies
         own = np.quantile(np.concatenate([each[i] for i in articles]), OWN, method="lower")
         often = {i: np.median(each[i]) for i in articles}
-        kept = [i for i in articles if often[i] <= max(OFTEN * own, MOST * pages) or placed[i].max() < PLACED * often[i]]
+        own_blocks = {articles[0], *(i for i in articles if blocks[i].tag in HEADINGS)}
+        kept = [i for i in articles if i in own_blocks or often[i] <= max(OFTEN * own, MOST * pages, FEW)
+                or placed[i].max() < PLACED * often[i]]
         return "\n\n".join(blocks[i].text for i in kept or articles)
     plain = [i for i, b in enumerate(blocks) if not b.dropped]
     kept = [i for i in plain if (each[i] > 1).mean() < COVERED]
