@@ -189,10 +189,11 @@ def surrogates(mentions: DataFrame, key: str) -> DataFrame:
         waiting, attempt = left, attempt + 1
 
 
-def replaced(docs: DataFrame, key: str = "surrogate key", text_column: str = "text", count_column: str | None = None) -> DataFrame:
+def replaced(docs: DataFrame, key: str, text_column: str = "text", count_column: str | None = None) -> DataFrame:
     """The table with every entity in its text replaced; other columns and rows stay as they are.
 
-    Null and empty texts stay so; repeated rows are treated alike. ``count_column`` adds the number of
+    Whoever has the key can tell which surrogate an entity got, so it has to be a secret. Null and empty texts stay so;
+    repeated rows are treated alike. ``count_column`` adds the number of
     replaced mentions.
     """
     rid, parts, held, new, replacements = (fresh(docs, n) for n in ("_rid", "_parts", "_mentions", "_new", "_replaced"))

@@ -13,6 +13,8 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # Documents per Arrow batch: texts are read whole, so a batch must stay small.
 BATCH_ROWS = "512"
+# The session setting that holds the secret key of surrogates, and the key for test data where it is unset.
+KEY_SETTING, TEST_KEY = "spark.sluice.surrogateKey", "surrogate key"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -21,6 +23,10 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(ready(spark), sf_dir), BYTE_RANKS)
 
@@ -48,7 +54,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(ready(spark), sf_dir).select("doc_id", "text")
-    return private.replaced(rows, count_column="n_replaced")
+    return private.replaced(rows, surrogate_key(spark), count_column="n_replaced")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,14 +160,14 @@ def test_first_fit_decreasing_agrees_with_a_plain_search():
 
 
 def test_surrogates_are_consistent_distinct_and_of_the_same_kind(docs, nothing):
-    changed = private.replaced(docs, count_column="n")
+    changed = private.replaced(docs, "k", count_column="n")
     found = by_id(changed)
     first, second = found[12]["text"], found[13]["text"]
     assert found[12]["n"] == 3 and found[13]["n"] == 1
     assert "anna" not in first and "555-3824" not in first and "10.20.30.40" not in first
     assert second.split()[0] in first and second.split()[0].count("@") == 1
     assert all(found[i]["text"] == TEXTS[i] for i in (1, 8, 15, 16)) and "own" in {r["_rid"] for r in changed.collect()}
-    assert private.replaced(nothing).count() == 0
+    assert private.replaced(nothing, "k").count() == 0
 
 
 def test_cards_have_check_digits_and_secrets_both_cases(spark):
@@ -177,7 +177,7 @@ def test_cards_have_check_digits_and_secrets_both_cases(spark):
     cards = ["4111 1111 1111 1111", "378282246310005", "3782-822463-10005", "30569309025904", "4222222222222", "6304000000000000000", "2223003122003222"]
     plain = ["4111111111111112", "6625883203433323", "378282246310006"]
     rows = [(i, c) for i, c in enumerate([*cards, *plain, "TOKEN = " + "9233A8EC" * 5, "4111 1111 1111 1111 123"])]
-    found = {r["doc_id"]: r for r in private.replaced(spark.createDataFrame(rows, "doc_id long, text string"), count_column="n").collect()}
+    found = {r["doc_id"]: r for r in private.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k", count_column="n").collect()}
     for i, card in enumerate(cards):
         new = found[i]["text"]
         assert luhn(card) and new != card and luhn(new) and len(new) == len(card) and found[i]["n"] == 1
