@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.llm import exact, language, packing, private, similar
-from sluice.llm.queries import WORD_TOKENIZER, ready
+from sluice.llm.queries import WORD_TOKENIZER, ready, surrogate_key
 from sluice.llm.shared import leftovers_discarded, recorded, staged
 
 ORACLE_SQL = None
@@ -60,7 +60,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @tidy
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; ``n_chars`` follows the text."""
-    changed = private.replaced(docs)
+    changed = private.replaced(docs, surrogate_key(spark))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = changed.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(kind))
