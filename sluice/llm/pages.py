@@ -1,6 +1,8 @@
 """Main text of web pages, with boilerplate found by a suffix array over the pages of a host.
 
-Pages are range-partitioned by host and read in order, up to ``CHUNK`` pages of a host at a time, so a host
+Pages are parsed once into blocks. Hosts on which no run could change a text (all pages have an article, no
+block of one stands at its place on enough of them) need no runs. Pages of all others are range-partitioned by
+host and read in order, up to ``CHUNK`` pages of a host at a time, so a host
 of any size is spread over tasks and memory stays bounded. The token streams of a chunk are concatenated
 and their suffixes sorted by prefix doubling, to the depth that a repeated run must have. The runs of all
 chunks, as 64-bit hashes with their numbers of pages, meet by host and hash; every run that stands on two
@@ -17,7 +19,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -216,31 +219,55 @@ def tokens_of(blocks: list[Block]) -> tuple[np.ndarray, list[int]]:
     return pd.util.hash_array(np.array([w for block in words for w in block], object), categorize=False), [len(w) for w in words]
 
 
+def _mixed(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    keys = (keys ^ values) * np.uint64(0x9E3779B97F4A7C15)
+    return keys ^ keys >> np.uint64(29)
+
+
+@lru_cache(4096)
+def _host_hash(host: str) -> np.uint64:
+    return pd.util.hash_array(np.array([host], object), categorize=False)[0]
+
+
 def run_keys(tokens: np.ndarray, host: str, depth: int = DEPTH) -> np.ndarray:
     """64-bit hashes of the runs that start at each token, with the host."""
     n = max(len(tokens) - depth + 1, 0)
-    keys = np.full(n, pd.util.hash_array(np.array([host], object), categorize=False)[0], np.uint64)
+    keys = np.full(n, _host_hash(host), np.uint64)
     for j in range(depth if n else 0):
-        keys = (keys ^ tokens[j:j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
+        keys = _mixed(keys, tokens[j:j + n])
     return keys
 
 
 def place_keys(blocks: list[Block], counts: list[int], tokens: np.ndarray, host: str) -> np.ndarray:
     """For each block of an article two 64-bit hashes: of a run in it with its place from the start, and from the end."""
-    inside = [i for i, b in enumerate(blocks) if b.article and not b.dropped]
+    inside = article_blocks(blocks)
     starts = np.cumsum(counts) - counts
     keys = np.zeros((len(blocks), 2), np.uint64)
-    for at, i in enumerate(inside):
-        block = tokens[starts[i]:starts[i] + counts[i]]
+    if inside:
+        every = run_keys(tokens, host)
         # blocks that differ in a few words mostly have the same smallest run
-        least = run_keys(block, host, min(DEPTH, len(block))).min()
-        keys[i] = [run_keys(np.array([least, place], np.uint64), host, 2)[0] for place in (2 * at, 2 * (len(inside) - at) + 1)]
+        least = np.array([
+            (every[starts[i]:starts[i] + counts[i] - DEPTH + 1] if counts[i] >= DEPTH
+             else run_keys(tokens[starts[i]:starts[i] + counts[i]], host, counts[i])).min() for i in inside], np.uint64)
+        at = np.arange(len(inside))
+        run = _mixed(np.full(len(inside), _host_hash(host), np.uint64), least)
+        for side, place in enumerate((2 * at, 2 * (len(inside) - at) + 1)):
+            keys[inside, side] = _mixed(run, place.astype(np.uint64))
     return keys
 
 
+def article_blocks(blocks: list[Block]) -> list[int]:
+    return [i for i, b in enumerate(blocks) if b.article and not b.dropped]
+
+
+def own_blocks(blocks: list[Block]) -> set[int]:
+    """An article's first block and its headings, which always stay."""
+    inside = article_blocks(blocks)
+    return {*inside[:1], *(i for i in inside if blocks[i].tag in HEADINGS)}
+
+
 def has_article(blocks: list[Block]) -> bool:
-    return any(b.article and not b.dropped for b in blocks)
+    return bool(article_blocks(blocks))
 
 
 def host_key(host: str) -> np.uint64:
@@ -255,13 +282,13 @@ def main_text(blocks: list[Block], counts: list[int], stands: np.ndarray, placed
     """
     cuts = np.cumsum(counts)[:-1]
     each = np.split(stands, cuts)
-    articles = [i for i, b in enumerate(blocks) if b.article and not b.dropped]
+    articles = article_blocks(blocks)
     if articles:
         # pages that the article itself stands on: most of a copied article's tokens stand on as many as there are copies
         own = np.quantile(np.concatenate([each[i] for i in articles]), OWN, method="lower")
         often = {i: np.median(each[i]) for i in articles}
-        own_blocks = {articles[0], *(i for i in articles if blocks[i].tag in HEADINGS)}
-        kept = [i for i in articles if i in own_blocks or often[i] <= max(OFTEN * own, MOST * pages, FEW)
+        always = own_blocks(blocks)
+        kept = [i for i in articles if i in always or often[i] <= max(OFTEN * own, MOST * pages, FEW)
                 or placed[i].max() < PLACED * often[i]]
         return "\n\n".join(blocks[i].text for i in kept or articles)
     plain = [i for i, b in enumerate(blocks) if not b.dropped]
@@ -281,85 +308,80 @@ def main_texts(pages: list[str]) -> list[str]:
             for blocks, (tokens, sizes), k, p in zip(parsed, streams, numbers, places, strict=True)]
 
 
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each page's blocks, and the place keys of its article's blocks: those that may go, and those that stay."""
+    page = 0
+    for batch in batches:
+        for start in range(0, len(batch), CHUNK):
+            part = batch.iloc[start:start + CHUNK]
+            parsed = [blocks_of(p) for p in part["html"]]
+            loose, fixed = [], []
+            for host, blocks in zip(part["host"], parsed, strict=True):
+                tokens, sizes = tokens_of(blocks)
+                keys, stay = place_keys(blocks, sizes, tokens, host).view(np.int64), own_blocks(blocks)
+                loose.append(keys[[i for i in article_blocks(blocks) if i not in stay]].ravel())
+                fixed.append(keys[sorted(stay)].ravel())
+            # a stage writes each of its partitions once
+            first = (TaskContext.get().partitionId() << 32) + page
+            page += len(part)
+            yield part[["page_id", "url", "host"]].assign(
+                page=np.arange(first, first + len(part)), loose=loose, fixed=fixed,
+                texts=[[b.text for b in p] for p in parsed], tags=[[b.tag for b in p] for p in parsed],
+                flags=[[sum(1 << i for i, flag in enumerate(b[2:]) if flag) for b in p] for p in parsed])
+
+
+def _block_lists(rows: pd.DataFrame) -> list[list[Block]]:
+    return [[Block(text, tag, *[bool(flags >> i & 1) for i in range(len(Block._fields) - 2)])
+             for text, tag, flags in zip(*columns, strict=True)]
+            for columns in zip(rows["texts"], rows["tags"], rows["flags"], strict=True)]
+
+
 def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one host that follow each other, ``CHUNK`` at most."""
     held: list[pd.DataFrame] = []
     for batch in batches:
-        new = (batch["_host"] != batch["_host"].shift()).cumsum()
+        new = (batch["host"] != batch["host"].shift()).cumsum()
         for _, part in batch.groupby(new, sort=False):
-            if held and held[0]["_host"].iloc[0] != part["_host"].iloc[0]:
+            if held and held[0]["host"].iloc[0] != part["host"].iloc[0]:
                 yield pd.concat(held)
                 held = []
             while len(part):
                 room = CHUNK - sum(map(len, held))
                 held.append(part.iloc[:room])
                 part = part.iloc[room:]
-                if sum(map(len, held)) >= CHUNK or sum(h["html"].str.len().sum() for h in held) >= CHUNK_CHARS:
+                if sum(map(len, held)) >= CHUNK or sum(len(t) for h in held for texts in h["texts"] for t in texts) >= CHUNK_CHARS:
                     yield pd.concat(held)
                     held = []
     if held:
         yield pd.concat(held)
 
 
-def _parsed(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Chunks as rows of pages with their blocks, and as rows of run keys with their pages, dealt to ``parts`` buckets."""
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, chunk in enumerate(_chunks(batches)):
-            # a stage writes each of its partitions once
-            name = (TaskContext.get().partitionId() << 32) + number
-            host = chunk["_host"].iloc[0]
-            parsed = [blocks_of(p) for p in chunk["html"]]
-            streams = [tokens_of(b) for b in parsed]
-            _, places, pages = runs([tokens for tokens, _ in streams])
-            keys = run_keys(np.concatenate([tokens for tokens, _ in streams]), host)[places]
-            placed, alike = np.unique(np.concatenate(
-                [place_keys(b, sizes, tokens, host)[[x.article and not x.dropped for x in b]].ravel()
-                 for b, (tokens, sizes) in zip(parsed, streams, strict=True) if b] or [np.zeros(0, np.uint64)]), return_counts=True)
-            keys = np.concatenate([keys, placed, [host_key(host)]])
-            pages = np.concatenate([pages, alike, [sum(map(has_article, parsed))]])
-            bucket = (keys >> np.uint64(32)) % np.uint64(parts)
-            yield chunk[["page_id", "url"]].assign(
-                chunk=name, host=host, texts=[[b.text for b in p] for p in parsed], tags=[[b.tag for b in p] for p in parsed],
-                flags=[[sum(1 << i for i, flag in enumerate(b[2:]) if flag) for b in p] for p in parsed], bucket=None, keys=None, pages=None)
-            order = np.lexsort((keys, bucket))
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            dealt = [i for i in np.split(order, cuts) if len(i)]
-            yield pd.DataFrame({
-                "page_id": None, "url": None, "chunk": name, "host": None, "texts": None, "tags": None, "flags": None,
-                "bucket": [int(bucket[i[0]]) for i in dealt], "keys": [keys[i].tobytes() for i in dealt],
-                "pages": [pages[i].astype(np.int32).tobytes() for i in dealt]})
-    return parse
-
-
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk, which of its runs stand on two or more pages of the host, and on how many."""
-    keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
-    pages = np.frombuffer(b"".join(rows["pages"]), np.int32).astype(np.int64)
-    chunk = np.repeat(rows["chunk"].to_numpy(), [len(k) // 8 for k in rows["keys"]])
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
-    totals = np.repeat(np.add.reduceat(pages[order], first), np.diff(np.append(first, len(order))))
-    order, totals = order[totals > 1], totals[totals > 1]
-    by_chunk = np.argsort(chunk[order], kind="stable")
-    order, totals = order[by_chunk], totals[by_chunk]
-    cuts = np.flatnonzero(np.diff(chunk[order])) + 1
-    parts = [(o, t) for o, t in zip(np.split(order, cuts), np.split(totals, cuts), strict=True) if len(o)]
-    return pd.DataFrame({"chunk": [int(chunk[o[0]]) for o, _ in parts], "keys": [keys[o].tobytes() for o, _ in parts],
-                         "pages": [t.tobytes() for _, t in parts]}, columns=["chunk", "keys", "pages"])
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each chunk its pages, and the keys of its runs and places with the number of its pages that have them."""
+    for number, chunk in enumerate(_chunks(batches)):
+        host, parsed = chunk["host"].iloc[0], _block_lists(chunk)
+        streams = [tokens_of(b) for b in parsed]
+        _, places, pages = runs([tokens for tokens, _ in streams])
+        keys = run_keys(np.concatenate([tokens for tokens, _ in streams]), host)[places]
+        placed, alike = np.unique(np.concatenate(
+            [place_keys(b, sizes, tokens, host)[article_blocks(b)].ravel() for b, (tokens, sizes) in zip(parsed, streams, strict=True)]),
+            return_counts=True)
+        keys = np.concatenate([keys, placed, [host_key(host)]])
+        pages = np.concatenate([pages, alike, [sum(map(has_article, parsed))]])
+        yield pd.DataFrame({"chunk": [(TaskContext.get().partitionId() << 32) + number], "pages": [chunk["page"].to_numpy()],
+                            "keys": [keys.view(np.int64)], "counts": [pages.astype(np.int64)]})
 
 
 def _extract(rows: pd.DataFrame) -> pd.DataFrame:
     """The main texts of a chunk, from its pages and the runs that repeat on the host."""
     repeats = rows["texts"].isna()
-    keys = np.frombuffer(b"".join(rows["keys"][repeats]), np.uint64)
-    totals = np.frombuffer(b"".join(rows["pages"][repeats]), np.int64)
+    keys = rows["key"][repeats].to_numpy(np.int64).view(np.uint64)
+    totals = rows["total"][repeats].to_numpy(np.int64)
     order = np.argsort(keys)
     # one more key, larger than any, so that every search ends at a place
     keys, totals = np.append(keys[order], np.uint64(2**64 - 1)), np.append(totals[order], 1)
     chunk, texts = rows[~repeats], []
-    for host, *columns in zip(chunk["host"], chunk["texts"], chunk["tags"], chunk["flags"], strict=True):
-        blocks = [Block(text, tag, *[bool(flags >> i & 1) for i in range(len(Block._fields) - 2)])
-                  for text, tag, flags in zip(*columns, strict=True)]
+    for host, blocks in zip(chunk["host"], _block_lists(chunk), strict=True):
         tokens, sizes = tokens_of(blocks)
         stands, placed, pages = (
             np.where(keys[at] == mine, totals[at], 1)
@@ -382,16 +404,53 @@ def extracted(pages: DataFrame, html_column: str = "html", url_column: str = "ur
     rows = pages.select(
         F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html_column}`").cast("string"), F.lit("")).alias("html"),
-        host_of(F.col(f"`{url_column}`").cast("string")).alias("_host"))
+        host_of(F.col(f"`{url_column}`").cast("string")).alias("host"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["_host", F.xxhash64("page_id", "url")]
-    near = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    held = staged(near.mapInPandas(
-        _parsed(parts), f"page_id {kind}, url string, chunk long, host string, texts array<string>, tags array<string>, "
-        "flags array<int>, bucket int, keys binary, pages binary"), "pages")
-    keyed = held.where(F.col("bucket").isNotNull()).select("bucket", "chunk", "keys", "pages")
-    repeats = keyed.groupBy("bucket").applyInPandas(_summed, "chunk long, keys binary, pages binary")
-    whole = held.where(F.col("bucket").isNull()).drop("bucket").unionByName(repeats, allowMissingColumns=True)
-    texts = whole.groupBy("chunk").applyInPandas(_extract, f"page_id {kind}, url string, text string")
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    held = staged(rows.mapInPandas(
+        _parsed, f"page_id {kind}, url string, host string, page long, loose array<long>, fixed array<long>, "
+        "texts array<string>, tags array<string>, flags array<int>"), "pages")
+    unsure = staged(_unsure_hosts(held), "page-hosts")
+    sure = held.join(unsure, "host", "left_anti").select("page_id", "url", F.array_join(_article_texts(), "\n\n").alias("text"))
+    decided = _decided(held.join(unsure, "host", "left_semi"), kind)
+    return sure.unionByName(decided).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _article_texts() -> Column:
+    """The texts of the blocks of a page's article."""
+    return F.filter("texts", lambda _, i: F.get("flags", i).bitwiseAND(F.lit(3)) == 2)
+
+
+def _unsure_hosts(held: DataFrame) -> DataFrame:
+    """Hosts on which a block's runs have to be counted.
+
+    These have a page with visible text but no article, or a block in an article that ``main_text`` could drop, as
+    it stands at one place on enough of the host's pages. On all others articles stay whole.
+    """
+    articles = F.size("loose") + F.size("fixed") > 0
+    visible = F.exists("flags", lambda f: f.bitwiseAND(F.lit(1)) == 0)
+    plain = held.where(~articles & visible).select("host")
+    places = held.select("host", F.explode(F.concat(
+        F.transform("loose", lambda k: F.struct(k.alias("key"), F.lit(1).alias("loose"))),
+        F.transform("fixed", lambda k: F.struct(k.alias("key"), F.lit(0).alias("loose"))))).alias("p"))
+    placed = places.groupBy("host", "p.key").agg(F.count("*").alias("n"), F.max("p.loose").alias("loose"))
+    often = placed.where((F.col("n") > PLACED * FEW) & (F.col("loose") == 1)).groupBy("host").agg(F.max("n").alias("n"))
+    totals = held.where(articles).groupBy("host").agg((F.count("*") * MOST).alias("most"))
+    movable = often.join(totals, "host").where(F.col("n") > PLACED * F.greatest(F.col("most"), F.lit(float(FEW))))
+    return plain.union(movable.select("host")).distinct()
+
+
+def _decided(held: DataFrame, kind: str) -> DataFrame:
+    """The main texts of hosts whose runs are counted: every chunk's runs meet by key, those on two pages go back to the chunks."""
+    spark = held.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["host", F.xxhash64("page")]
+    near = held.select("page", "host", "texts", "tags", "flags").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    keyed = staged(near.mapInPandas(_keyed, "chunk long, pages array<long>, keys array<long>, counts array<long>"), "page-runs")
+    each = keyed.select("chunk", F.explode(F.arrays_zip("keys", "counts")).alias("k")).select("chunk", F.col("k.keys").alias("key"), "k.counts")
+    totals = each.groupBy("key").agg(F.sum("counts").alias("total")).where(F.col("total") > 1)
+    repeats = each.select("chunk", "key").join(totals, "key")
+    whole = held.join(keyed.select("chunk", F.explode("pages").alias("page")), "page").select(
+        # without nulls in them, keys and totals stay whole numbers in pandas
+        "chunk", "page_id", "url", "host", "texts", "tags", "flags", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("total"))
+    together = whole.unionByName(repeats, allowMissingColumns=True)
+    return together.groupBy("chunk").applyInPandas(_extract, f"page_id {kind}, url string, text string")

@@ -36,3 +36,23 @@ def test_copies_on_a_small_host_keep_heading_and_first_paragraph():
     whole = pages.main_texts([page.format(first, f"Then comes {i} something else {i} that only {i} one page {i} has got.") for i in "abc"])
     assert all(t.startswith("A heading of the article that three pages have alike\n\n" + first) for t in whole)
     assert len(set(whole)) == 3
+
+
+def test_hosts_without_counted_runs_get_the_texts_that_counting_gives(spark):
+    rows, by_host = [], {}
+    notice = "<p>please read the terms of this site before you use any of it today</p>"
+    for n, host in enumerate(("plain", "notices", "copies", "bare", "mixed", "few")):
+        for i in range(3 if host == "few" else 9):
+            body = "".join(f"<p>{host} {i} paragraph {j} has words {i * 31 + j} that no other page has {i}-{j}</p>" for j in range(4))
+            if host == "copies" and i % 3 == 0:
+                body = "<p>one first paragraph of a text</p><p>that several pages of this host have copied word for word</p>"
+            page = f"<nav>home about</nav><article><h1>title {i}</h1>{body}{notice if host == 'notices' or host == 'mixed' and i == 3 else ''}</article>"
+            if host == "bare" or host == "mixed" and i % 2:
+                page = f"<body><div>only {host} {i}</div>{notice}</body>"
+            rows.append((100 * n + i, f"http://{host}.example/{i}", page))
+            by_host.setdefault(host, []).append(rows[-1])
+    wanted = {r[0]: text for pages_of in by_host.values() for r, text in zip(pages_of, pages.main_texts([r[2] for r in pages_of]), strict=True)}
+    rows += [(None, None, None), (901, "http://empty.example/", "")]
+    found = {r["page_id"]: r["text"] for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {**wanted, None: "", 901: ""}
+    assert all("terms" not in found[i] for i in range(100, 109)) and "terms" not in found[401]
