@@ -1,7 +1,8 @@
 """Personal data: detected entities get keyed surrogates of the same type, format, script and gender.
 
-An entity is a (type, normal form) pair, the same wherever and however it is written. Its surrogate comes
-from a keyed digest, so every mention in every document gets the same one. Candidates that collide with
+An entity is a (type, normal form) pair, the same wherever and however it is written; a person's given name and
+surname are entities of their own, so that "Mr John Smith", "Mr Smith" and, in the same text, a bare "John Smith" or
+"Smith" get names that belong together. An entity's surrogate comes from a keyed digest, so every mention in every document gets the same one. Candidates that collide with
 another entity's surrogate or with any entity that occurs are drawn again until none does. Everything is
 DataFrame work; only mentions are shuffled, and only documents that have any are rebuilt.
 """
@@ -27,21 +28,26 @@ class Kind(NamedTuple):
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # fixed values: forms of address with the gender they tell
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Mister", "Г-н", "Господин")
+NEUTRAL = ("Dr", "Prof", "Professor", "Доктор", "Профессор")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Госпожа")
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
+# a whole word that may be a person's name, and what a name's genitive adds to it
+BARE = r"(?<![\p{L}'’-])\p{Lu}[\p{L}'’-]{1,30}+(?!\p{L})"
+_ENDING = r"(?:['’]s|['’-])?$"
 
 # Tried in this order at each place. Every repetition is bounded, or guarded by what may stand before it, so that
 # a text of any length is scanned in time proportional to its length.
 KINDS = (
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z])", "address"),
     Kind("ip", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])", "octets"),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64}+|[0-9A-F]{32,64}+)(?![A-Za-z0-9])", "letters"),
+    Kind("ip6", r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}:(?:[0-9A-Fa-f]{1,4}:){0,4}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])", "letters"),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs](?:-[A-Za-z0-9]{6,40}){2,6}+|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64}+|[0-9A-F]{32,64}+)(?![A-Za-z0-9])", "letters"),
     Kind("card", r"(?<![0-9])(?:[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?:[ -]?[0-9]{3})?|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5}|[2-6][0-9]{12,18})(?![0-9])", "digits"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digits"),
     Kind("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", "digits"),
     Kind("phone", r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])", "digits"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "letters"),
-    Kind("person", rf"(?<!\p{{L}})(?:{'|'.join((*FEMALE, *MALE))})\.? {_NAME}(?: {_NAME})?", "person"),
+    Kind("person", rf"(?<!\p{{L}})(?:{'|'.join((*FEMALE, *MALE, *NEUTRAL))})\.? {_NAME}(?: {_NAME})?", "person"),
 )
 EVERY = "|".join(f"(?:{k.pattern})" for k in KINDS)
 
@@ -51,11 +57,15 @@ NAMES = {
     ("f", "Latin"): "Ada Berta Clara Dora Emma Flora Greta Hanna Ida Julia Klara Lena Maria Nora Olga Paula".split(),
     ("m", "Cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Семён Тимур".split(),
     ("f", "Cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Кира Лидия Мария Нина Ольга Полина Раиса София".split(),
+    ("n", "Latin"): "Alex Charlie Chris Eli Jamie Jessie Kim Luca Mika Nico Noa Robin Sam Sascha Toni Vanja".split(),
+    ("n", "Cyrillic"): "Валя Женя Паша Саша Сима Слава Шура".split(),
 }
 SYLLABLES = {
     "Latin": "bal cor den fal gar hol jen kir lan mer nor pel ros san tor vel".split(),
     "Cyrillic": "бал кор ден фал гар хол жен кир лан мер нор пел рос сан тор вел".split(),
 }
+# Draws after which the surrogates of a format count as exhausted; each one settles most of what is left while there is room.
+MOST_DRAWS = 64
 
 
 def _shape(kind: Column) -> Column:
@@ -92,16 +102,37 @@ def card_number(mention: Column) -> Column:
 
 def normal_form(kind: Column, mention: Column) -> Column:
     """What all mentions of one entity have in common; null for what is no entity."""
-    female = mention.rlike(rf"^(?:{'|'.join(FEMALE)})\b")
     return (
         F.when(kind == "card", card_number(mention))
         .when(kind.isin("ssn", "phone"), F.regexp_replace(mention, "[^0-9]", ""))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "email", F.lower(mention))
-        .when(kind == "person", F.concat(F.when(female, "f").otherwise("m"), F.lit(" "), _bare_name(mention)))
+        .when(kind == "ip6", F.lower(mention))
         .otherwise(mention))
 
 
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, _ENDING, "")
+
+
+def _ending(name: Column) -> Column:
+    return F.regexp_extract(name, _ENDING, 0)
+
+
+def entities_of(kind: Column, mention: Column) -> Column:
+    """The entities of a mention, as an array of (kind, normal): two for a person with two names, none for what is no entity."""
+    def is_a(titles: tuple[str, ...]) -> Column:
+        return mention.rlike(rf"^(?:{'|'.join(titles)})\.? ")
+    gender = F.when(is_a(FEMALE), "f").when(is_a(MALE), "m").otherwise("n")
+    names, normal = F.split(_bare_name(mention), " "), normal_form(kind, mention)
+    given = F.struct(F.lit("given").alias("kind"), F.concat(gender, F.lit(" "), _stem(F.get(names, F.lit(0)))).alias("normal"))
+    surname = F.struct(F.lit("surname").alias("kind"), _stem(F.element_at(names, -1)).alias("normal"))
+    return (
+        F.when((kind == "person") & (F.size(names) > 1), F.array(given, surname)).when(kind == "person", F.array(surname))
+        .when(normal.isNotNull(), F.array(F.struct(kind.alias("kind"), normal.alias("normal"))))
+        .otherwise(F.array().cast("array<struct<kind:string,normal:string>>")))
+
+
 def _number(digest: Column, at: Column | int, most: int) -> Column:
     """A number below ``most`` from four hexadecimal digits of a digest."""
     part = F.substring(digest, F.pmod(F.lit(at) * 4 if isinstance(at, int) else at * 4, F.lit(256)).cast("int") + 1, F.lit(4))
@@ -132,16 +163,17 @@ def candidate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
                        F.regexp_replace(domain, r"^.*(\.[^.]+)$", "example$1"))
     octets = F.concat_ws(".", (F.lit(240) + _number(digest, 0, 16)).cast("string"),
                          *[_number(digest, i, 256).cast("string") for i in (1, 2, 3)])
-    cyrillic, female = normal.rlike(r"\p{IsCyrillic}"), normal.startswith("f ")
+    cyrillic = normal.rlike(r"\p{IsCyrillic}")
     names = []
     for (gender, script), given in NAMES.items():
         syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-        surname = F.initcap(F.concat(*[F.get(syllables, _number(digest, 8 + i, 16)) for i in range(3 + attempt)]))
-        first = F.get(F.array(*[F.lit(n) for n in given]), _number(digest, 7, len(given)))
-        # as many names as the original has
-        whole = F.when(F.size(F.split(normal, " ")) > 2, F.concat_ws(" ", first, surname)).otherwise(surname)
-        fits = (female if gender == "f" else ~female) & (cyrillic if script == "Cyrillic" else ~cyrillic)
-        names.append(F.when(fits, F.concat(F.lit(f"{gender} "), whole)))
+        def spelled(n: int) -> Column:
+            return F.concat(F.lit(""), *[F.get(syllables, _number(digest, 8 + i, 16)) for i in range(n)])
+        fits = cyrillic if script == "Cyrillic" else ~cyrillic
+        if gender == "n":
+            names.append(F.when(fits & (kind == "surname"), F.initcap(spelled(3 + attempt))))
+        first = F.concat(F.get(F.array(*[F.lit(n) for n in given]), _number(digest, 7, len(given))), spelled(attempt))
+        names.append(F.when(fits & (kind == "given") & normal.startswith(f"{gender} "), F.concat(F.lit(f"{gender} "), first)))
     # the first digit of a number and the country and check digits' places of an account number stay in range
     digits = F.concat(F.substring(normal, 1, 1), _same_shape(F.substring(normal, F.lit(2), F.length(normal)), digest))
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
@@ -149,7 +181,7 @@ def candidate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
     return (
         F.when(kind == "card", F.concat(body, F.pmod(10 - _luhn(body, 0), F.lit(10)).cast("string")))
         .when(shape == "address", address).when(shape == "octets", octets).when(shape == "digits", digits)
-        .when(shape == "person", F.coalesce(*names)).otherwise(_same_shape(normal, digest)))
+        .when(kind.isin("given", "surname"), F.coalesce(*names)).otherwise(_same_shape(normal, digest)))
 
 
 def rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
@@ -166,10 +198,27 @@ def rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
     title = F.regexp_extract(mention, r"^\S+ ", 0)
     return (
         F.when(kind.isin("card", "ssn", "phone", "iban"), spaced)
-        .when(kind == "person", F.concat(title, F.substring(surrogate, F.lit(3), F.length(surrogate))))
+        .when(kind == "given", F.concat(title, shown(kind, surrogate)))
+        # after a given name only a space is left to write
+        .when(kind == "surname", F.concat(
+            F.when(F.size(F.split(mention, " ")) > 2, F.lit(" ")).otherwise(title), surrogate, _ending(mention)))
+        .when((kind == "ip6") & mention.rlike("[A-F]"), F.upper(surrogate))
         .otherwise(surrogate))
 
 
+def shown(kind: Column, name: Column) -> Column:
+    """A name entity's or its surrogate's name, without the gender of a given name."""
+    return F.when(kind == "given", F.substring(name, F.lit(3), F.length(name))).otherwise(name)
+
+
+def bare_replaced(piece: Column, names: Column) -> Column:
+    """A piece of text with the names that a map has replaced, and the number of these."""
+    words = F.regexp_extract_all(piece, F.lit(BARE), F.lit(0))
+    new = F.transform(words, lambda w: F.coalesce(F.concat(F.element_at(names, _stem(w)), _ending(w)), w))
+    text = F.array_join(F.flatten(F.zip_with(F.split(piece, BARE, -1), new, lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
+    return F.struct(text.alias("text"), F.size(F.filter(words, lambda w: F.map_contains_key(names, _stem(w)))).alias("n"))
+
+
 def surrogates(mentions: DataFrame, key: str) -> DataFrame:
     """A distinct surrogate for every distinct entity, none of them an entity that occurs."""
     entities = staged(mentions.select("kind", "normal").distinct(), "entities")
@@ -186,6 +235,8 @@ def surrogates(mentions: DataFrame, key: str) -> DataFrame:
         left = staged(waiting.join(won, ["kind", "normal"], "left_anti"), "entities-left")
         if left.isEmpty():
             return settled
+        if attempt == MOST_DRAWS:
+            raise ValueError("too many distinct entities of one format: no surrogates of the same format are left")
         waiting, attempt = left, attempt + 1
 
 
@@ -193,29 +244,46 @@ def replaced(docs: DataFrame, key: str, text_column: str = "text", count_column:
     """The table with every entity in its text replaced; other columns and rows stay as they are.
 
     Whoever has the key can tell which surrogate an entity got, so it has to be a secret. Null and empty texts stay so;
-    repeated rows are treated alike. ``count_column`` adds the number of
-    replaced mentions.
+    repeated rows are treated alike. A name that stands after a form of address anywhere in a text is replaced wherever
+    the text has it as a word; where given names of two genders, or a given name and a surname, are spelled alike,
+    bare words take the surname, else the first gender's. ``count_column`` adds the number of replaced mentions.
     """
-    rid, parts, held, new, replacements = (fresh(docs, n) for n in ("_rid", "_parts", "_mentions", "_new", "_replaced"))
+    rid, held, new, names_of, replacements = (fresh(docs, n) for n in ("_rid", "_mentions", "_new", "_names", "_replaced"))
     text = F.col(f"`{text_column}`")
     table = numbered(docs.withColumn(held, F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(EVERY), F.lit(0))),
                      "private-input", rid)
     hit = F.size(held) > 0
     each = table.where(hit).select(F.col(rid).alias("rid"), F.posexplode(held).alias("at", "mention"))
-    each = each.withColumn("kind", kind_of(F.col("mention")))
-    mentions = staged(each.withColumn("normal", normal_form(F.col("kind"), F.col("mention"))), "mentions")
-    known = mentions.where(F.col("normal").isNotNull())
+    each = each.withColumn("entities", entities_of(kind_of(F.col("mention")), F.col("mention")))
+    mentions = staged(each, "mentions")
+    known = mentions.select("rid", "at", "mention", F.posexplode("entities").alias("part", "e")).select("rid", "at", "mention", "part", "e.*")
+    kind, surrogate = F.col("kind"), F.col("surrogate")
+    name = F.when(kind.isin("given", "surname"), F.struct(
+        shown(kind, F.col("normal")).alias("name"), (kind == "given").alias("rank"), shown(kind, surrogate).alias("new")))
     found = known.join(surrogates(known, key), ["kind", "normal"]).select(
-        "rid", "at", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"), F.lit(1).alias("one"))
-    found = found.unionByName(mentions.where(F.col("normal").isNull()).select("rid", "at", F.col("mention").alias("new"), F.lit(0).alias("one")))
-    by_row = found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias(new), F.sum("one").alias(replacements))
+        "rid", "at", "part", rendered(kind, F.col("mention"), surrogate).alias("new"), F.lit(1).alias("one"), name.alias("name"))
+    none_found = mentions.where(F.size("entities") == 0).select(
+        "rid", "at", F.lit(0).alias("part"), F.col("mention").alias("new"), F.lit(0).alias("one"))
+    whole = found.unionByName(none_found, allowMissingColumns=True).groupBy("rid", "at").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda p: p["new"]), "").alias("new"),
+        F.max("one").alias("one"), F.collect_list("name").alias("names"))
+    by_row = whole.groupBy("rid").agg(
+        F.sort_array(F.collect_list(F.struct("at", "new"))).alias(new), F.sum("one").alias(replacements),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias(names_of))
+    # of names spelled alike the first one counts
+    firsts = F.filter(names_of, lambda n, i: (i == 0) | (F.get(F.col(names_of), i - 1)["name"] != n["name"]))
+    by_row = by_row.withColumn(names_of, F.map_from_entries(F.transform(firsts, lambda n: F.struct(n["name"], n["new"]))))
     changed = table.where(hit).join(by_row.withColumnRenamed("rid", rid), rid)
-    pieces = F.split(text, EVERY, -1)
+    named = F.size(names_of) > 0
+    pieces = F.transform(F.split(text, EVERY, -1), lambda p: F.when(named, bare_replaced(p, F.col(names_of))).otherwise(
+        F.struct(p.alias("text"), F.lit(0).alias("n"))))
+    parts = fresh(docs, "_parts")
+    changed = changed.withColumn(parts, pieces)
     joined = F.array_join(F.flatten(F.zip_with(
-        pieces, F.transform(F.col(new), lambda x: x["new"]), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
+        F.col(parts)["text"], F.transform(F.col(new), lambda x: x["new"]), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
+    bare = F.aggregate(F.col(parts)["n"], F.lit(0).cast("long"), lambda s, n: s + n)
     counts, none = ([], []) if count_column is None else (
-        [F.col(replacements).cast("long").alias(count_column)], [F.lit(0).cast("long").alias(count_column)])
+        [(F.col(replacements) + bare).cast("long").alias(count_column)], [F.lit(0).cast("long").alias(count_column)])
     names = [F.col(f"`{c}`") for c in docs.columns]
-    done = changed.withColumn(parts, joined).select(
-        *[F.col(parts).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns], *counts)
+    done = changed.select(*[joined.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns], *counts)
     return done.unionByName(table.where(~hit).select(*names, *none))
