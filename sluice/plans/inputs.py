@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.functions import codec
 from sluice.operators.ranking import with_position
-from sluice.session import shared_dir
+from sluice.session import shared_dir, spread
 from sluice.sources import topics
 
 PARTITIONS = 4
@@ -37,9 +37,10 @@ def as_messages(events: DataFrame) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
-    """All events as topic messages. Offsets cost a shuffle, so they are optional."""
-    made = as_messages(table(spark, sf_dir, "events"))
+def messages(spark: SparkSession, sf_dir: str, offsets: bool = False, dealt: bool = False) -> DataFrame:
+    """All events as topic messages. Offsets cost a shuffle, so they are optional, as is dealing the rows to all cores."""
+    events = table(spark, sf_dir, "events")
+    made = as_messages(spread(events) if dealt else events)
     return with_position(made, ["topic", "partition_id"], "event_id", "msg_offset") if offsets else made
 
 
@@ -65,8 +66,8 @@ def as_envelopes(m: DataFrame, offset: str = "event_id") -> DataFrame:
     )
 
 
-def envelopes(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
-    return as_envelopes(messages(spark, sf_dir, offsets), "msg_offset" if offsets else "event_id")
+def envelopes(spark: SparkSession, sf_dir: str, offsets: bool = False, dealt: bool = False) -> DataFrame:
+    return as_envelopes(messages(spark, sf_dir, offsets, dealt), "msg_offset" if offsets else "event_id")
 
 
 # A stream's micro-batches, each an equal range of event ids.

@@ -75,7 +75,7 @@ URL = "http://localhost:8080/rest/store"
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero to two POST requests per message, each with the enriched message as its body."""
-    e = envelopes(spark, sf_dir)
+    e = envelopes(spark, sf_dir, dealt=True)
     k = D.as_int(D.select(F.col("content"), "props", "k"))
 
     def build(v, i):

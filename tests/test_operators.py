@@ -496,6 +496,47 @@ def test_blank_text_of_any_kind_is_a_tombstone(spark):
     assert [r[0] for r in rows.select(envelope.tombstone(F.col("c"))).collect()] == [True, True, True, False, False]
 
 
+def test_many_requests_take_few_threads(monkeypatch):
+    started = []
+    start = threading.Thread.start
+    monkeypatch.setattr(threading.Thread, "start", lambda thread: (started.append(thread), start(thread)))
+    messages = [[{"method": "GET", "url": str(i), "headers": [], "body": b""}] * (i % 3) for i in range(1000)]
+    found = http_sink._Sending(messages, lambda method, url, headers, body: (200, url), 1, 0.0, 30.0).all(4)
+    assert [[r[0][1] for r in sent] for sent in found] == [[str(i)] * (i % 3) for i in range(1000)] and len(started) == 4
+
+
+def test_a_hanging_request_leaves_the_others_their_turn():
+    hang, calls = threading.Event(), []
+
+    def transport(method, url, headers, body):
+        calls.append(url)
+        if url == "hang" and calls.count(url) < 3:
+            hang.wait()
+        return 200, url
+
+    messages = [[{"method": "GET", "url": u, "headers": [], "body": b""} for u in urls] for urls in (["a", "hang", "b"], ["c"], [], ["d"])]
+    try:
+        found = http_sink._Sending(messages, transport, 3, 0.0, 0.1).all(1)
+    finally:
+        hang.set()
+    assert [[(r[0][1], r[1], r[2]) for r in sent] for sent in found] == [
+        [("a", None, 1), ("hang", None, 3), ("b", None, 1)], [("c", None, 1)], [], [("d", None, 1)]]
+
+
+def test_null_requests_are_results_too(spark):
+    frame = spark.sql("""SELECT 1 AS i, array(named_struct('method', 'GET', 'url', 'u', 'headers', map('a', 'b'), 'body', CAST('x' AS BINARY)), NULL) AS r
+                         UNION ALL SELECT 2, NULL UNION ALL SELECT 3, array()""").coalesce(1)
+    sent = {r["i"]: r["results"] for r in http_sink.post_all(frame, "r", lambda m, u, h, b: (200, h["a"])).collect()}
+    assert sent[2] == [] and sent[3] == [] and (sent[1][0]["response"]["body"], sent[1][0]["request"]["headers"]) == ("b", {"a": "b"})
+    assert sent[1][1]["request"] is None and sent[1][1]["error"].startswith("TypeError")
+
+
+def test_requests_are_made_by_all_cores(spark, sf_dir):
+    from sluice.plans import publishing
+
+    assert publishing._requests(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def _answers(method, url, headers, body):
     if "hang" in url:
         time.sleep(600)
