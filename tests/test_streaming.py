@@ -215,6 +215,28 @@ def test_published_files_read_back_as_records(spark):
 
 
 
+@pytest.mark.parametrize(("ids", "files"), [("id", 20), ("CASE WHEN id < 999 THEN id ELSE 1000000 END", 2), ("id div 2", 20)])
+def test_micro_batches_have_files_by_their_rows(spark, ids, files):
+    from sluice.plans import inputs
+
+    base = session.shared_dir(spark, "own-events")
+    rows = spark.range(1000).selectExpr(f"{ids} AS event_id", "'x' AS event_type")
+    rows.write.parquet(f"{base}/events.parquet")
+    low, high = rows.selectExpr("min(event_id)", "max(event_id)").first()
+    seen = {}
+
+    def look(batch, epoch):
+        found = batch.select("event_id", "file").collect()
+        seen[epoch] = (sorted(r["event_id"] for r in found), len({r["file"] for r in found}))
+
+    stream = inputs.event_stream(spark, base, file_rows=10).withColumn("file", F.input_file_name())
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(look).trigger(availableNow=True).start().awaitTermination()
+    if files > 2:
+        assert {e: n for e, (_, n) in seen.items()} == dict.fromkeys(range(5), files)
+        assert all(min(4, (i - low) * 5 // (high - low + 1)) == e for e, (found, _) in seen.items() for i in found)
+    assert sorted(i for found, _ in seen.values() for i in found) == sorted(r["event_id"] for r in rows.collect())
+
+
 def flaky(method, url, headers, body):
     if url.endswith("down"):
         raise ConnectionError("refused")
