@@ -79,23 +79,26 @@ class LiveBatches(StatefulProcessor):
         self.open = handle.getValueState("open", OPEN_BATCH)
         self.held = handle.getListState("held", HELD)
 
-    def _closed(self, key, number: int, orders: list, values: list, why: str) -> pd.DataFrame:
+    def _taken(self) -> list:
         held = list(self.held.get()) if self.held.exists() else []
         self.held.clear()
-        orders, values = [h[0] for h in held] + orders, [h[1] for h in held] + values
-        return pd.DataFrame({"key": key[0], "batch": number, "order": orders, "value": values, "closed": why})
+        return held
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Frames come one by one and leave one by one; only the open batch is held, which is smaller than a full one."""
+        """Frames come one by one, and the batches that one closes leave as one; only the open batch is held, which is smaller than a full one."""
         number, n, first, due = self.open.get() if self.open.exists() else (0, 0, 0, 0)
         for frame in rows:
             orders, values, times = frame["order"].tolist(), frame["value"].tolist(), frame["time"].to_numpy()
             ends, reasons = closings(times, n, first, self.max_count, self.max_millis)
             start = 0
-            for end, why in zip(ends, reasons):
-                yield self._closed(key, number, orders[start:end], values[start:end], why)
-                number, n, start = number + 1, 0, end
-                due = self._without_timer(due)
+            if ends:
+                held, start = self._taken(), ends[-1]
+                sizes = np.diff([0, *ends])
+                sizes[0] += len(held)
+                yield pd.DataFrame({
+                    "key": key[0], "batch": np.repeat(np.arange(number, number + len(ends)), sizes), "order": [h[0] for h in held] + orders[:start],
+                    "value": [h[1] for h in held] + values[:start], "closed": np.repeat(np.array(reasons, object), sizes)})
+                number, n, due = number + len(ends), 0, self._without_timer(due)
             if start < len(times):
                 if n == 0:
                     first = int(times[start])
@@ -114,7 +117,8 @@ class LiveBatches(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         number, n, _, due = self.open.get()
         if n and due and due <= timerValues.getCurrentProcessingTimeInMs():
-            yield self._closed(key, number, [], [], "timer")
+            held = self._taken()
+            yield pd.DataFrame({"key": key[0], "batch": number, "order": [h[0] for h in held], "value": [h[1] for h in held], "closed": "timer"})
             self.open.update((number + 1, 0, 0, 0))
 
     def close(self) -> None:

@@ -146,3 +146,42 @@ def test_a_value_of_the_first_epoch_is_read_in_the_third_and_after_a_restart(spa
     got = read_epochs(spark, f"{base}/rows", schema).orderBy("epoch").collect()
     assert [(r["epoch"], r["key"], r["before"], r["n"], r["names"]) for r in got] == [
         (0, "a", None, 1, "count,last"), (1, "b", None, 1, "count,last"), (2, "a", "first", 2, "count,last"), (3, "a", "second", 3, "count,last")]
+
+
+class _Value:
+    """A value or a list of a state store, in memory."""
+
+    def __init__(self):
+        self.kept = []
+
+    def exists(self):
+        return bool(self.kept)
+
+    def get(self):
+        return self.kept[0] if len(self.kept) == 1 and isinstance(self.kept[0][0], int) and len(self.kept[0]) == 4 else iter(self.kept)
+
+    def update(self, value):
+        self.kept = [value]
+
+    def appendList(self, values):
+        self.kept += values
+
+    def clear(self):
+        self.kept = []
+
+
+@pytest.mark.parametrize(("max_count", "max_millis"), [(4, 0), (30, 60), (1, 0)])
+def test_batches_that_a_frame_closes_leave_as_one_frame(max_count, max_millis):
+    import pandas as pd
+
+    draw = random.Random(max_count)
+    rows = [("a", i, i * 5 + draw.randrange(40), f"v{i}") for i in range(500)]
+    live = state.LiveBatches(max_count, max_millis, False)
+    live.open, live.held = _Value(), _Value()
+    frames = [pd.DataFrame(rows[a:b], columns=["key", "order", "time", "value"]) for a, b in ((0, 2), (2, 300), (300, 500))]
+    made = list(live.handleInputRows(("a",), iter(frames), None))
+    assert len(made) <= len(frames)
+    found = [tuple(r) for m in made for r in m[["key", "order", "batch", "value"]].itertuples(index=False)]
+    want = numbers(rows, max_count, max_millis)
+    assert found == [("a", i, want["a", i], f"v{i}") for i in range(len(found))]
+    assert found and len(found) >= 500 - max_count
