@@ -109,9 +109,10 @@ PART_DOC = """
 """
 
 
-def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(p_partkey, doc: JSON text)."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(PART_DOC).alias("doc"))
+def part_documents(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """(p_partkey, doc: JSON text), with the parts dealt to all cores or as they are read."""
+    parts = table(spark, sf_dir, "part")
+    return (spread(parts) if dealt else parts).select("p_partkey", F.expr(PART_DOC).alias("doc"))
 
 
 PART_DOCS_SQL = f"docs AS (SELECT p_partkey, CAST({PART_DOC} AS JSON) AS doc FROM part)"

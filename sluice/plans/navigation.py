@@ -10,8 +10,8 @@ from sluice.plans.catalog import query
 from sluice.plans.inputs import PART_DOCS_SQL, part_documents
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_documents(spark, sf_dir).select("p_partkey", codec.text_to_json(F.col("doc")).alias("doc"))
+def _docs(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return part_documents(spark, sf_dir, dealt).select("p_partkey", codec.text_to_json(F.col("doc")).alias("doc"))
 
 
 WITH = f"WITH {PART_DOCS_SQL} "
@@ -189,7 +189,7 @@ def deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # objects that nest deeply on both sides and differ in the innermost only
     held = once(
-        _docs(spark, sf_dir), right=right,
+        _docs(spark, sf_dir, dealt=True), right=right,
         left_deep=F.parse_json(F.expr(_nested("""'{"a":1.50,"b":"' || p_partkey || '","d":1}'"""))),
         right_deep=F.parse_json(F.expr(_nested("""'{"c":' || p_partkey || ',"d":{"e":2}}'"""))),
     )

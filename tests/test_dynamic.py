@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F, types as T
 
+from sluice import session
 from sluice.functions import codec, dynamic as D
 
 NESTED = json.dumps(
@@ -142,3 +143,13 @@ def test_typed_decode_is_strict(spark, text, good):
     assert (result["value"] is not None, result["error"] is None) == (good, good)
     staged = D.decode_as(docs(spark, text), F.col("v"), SCHEMA, "d").first()["d"]
     assert staged == result
+
+
+def test_deep_merge_of_one_file_uses_all_cores(spark):
+    from sluice.plans import navigation
+
+    base = session.shared_dir(spark, "parts")
+    spark.range(100).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size", "1.5 AS p_retailprice").coalesce(
+        1).write.parquet(f"{base}/part.parquet")
+    made = navigation.deep_merge(spark, base)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and made.count() == 100
