@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
@@ -169,8 +170,140 @@ def merged(types: DataFrame, render: Callable[[Node], str] = Node.text) -> DataF
 
 
 def schema_text(df: DataFrame, json_text: str, render: Callable[[Node], str] | None = None) -> DataFrame:
-    """One row with the schema of the record form of all JSON texts, as Avro text unless ``render`` says otherwise."""
-    return merged(path_types(df, json_text, as_record=True), render or avro_json)
+    """One row with the schema of the record form of all JSON texts, as Avro text unless ``render`` says otherwise.
+
+    Avro text is written along the sorted pairs, so its task holds the text and no tree of the schema.
+    """
+    types = path_types(df, json_text, as_record=True)
+    return avro_texts(types) if render is None else merged(types, render)
+
+
+def avro_texts(types: DataFrame, name: str = "object", namespace: str = "gen") -> DataFrame:
+    """One row with what ``avro_json`` makes of the merged schema of a ``path_types`` table.
+
+    In the order of paths a node's types stand together, in front of its items and these in front of its fields, which come by name:
+    the order of the text.
+    """
+    in_order = types.select("path", "type", "n").repartition(1).sortWithinPartitions("path")
+    return in_order.mapInArrow(_written(name, namespace), "schema string")
+
+
+class _Open:
+    """A node of which the text is being written: what has to be written behind its items and its fields."""
+
+    def __init__(self, types: dict[str, int], label: str, behind: str, started: bool) -> None:
+        # kinds that are left to write, last first
+        self.left = [k for k in reversed(JSON_TYPES) if types.get(k)]
+        self.records, self.label, self.behind = types.get("RECORD", 0), label, behind
+        # the kind whose items or fields are being written, and whether there were kinds and items or fields before
+        self.inside: str | None = None
+        self.started, self.filled = started, False
+
+
+class _Writer:
+    """Avro text of nodes that come in the order of their paths, each with all of its types."""
+
+    def __init__(self, name: str, namespace: str) -> None:
+        self.out = io.BytesIO()
+        self.root, self.namespace = name, json.dumps(namespace)
+        self.names: dict[str, int] = {}
+        self.open: list[_Open] = []
+
+    def _put(self, text: str) -> None:
+        self.out.write(text.encode())
+
+    def _record_name(self, wanted: str) -> str:
+        wanted = _clean(wanted)
+        self.names[wanted] = self.names.get(wanted, 0) + 1
+        return wanted if self.names[wanted] == 1 else f"{wanted}{self.names[wanted]}"
+
+    def add(self, path: list[str | None], types: dict[str, int]) -> None:
+        while len(self.open) > len(path):
+            self._close()
+        if not path:
+            self._begin(types, self.root, False, "")
+            return
+        parent, step = self.open[-1], path[-1]
+        # items belong to the array, fields to the record
+        self._until(parent, "ARRAY" if step is ITEM else "RECORD")
+        if step is ITEM:
+            parent.filled = True
+            self._begin(types, parent.label, False, "")
+        else:
+            self._put(("" if not parent.filled else ", ") + f'{{"name": {json.dumps(_clean(step))}, "type": ')
+            parent.filled = True
+            self._begin(types, f"{step}Type", sum(types.values()) < parent.records, "}")
+
+    def _begin(self, types: dict[str, int], label: str, optional: bool, behind: str) -> None:
+        kinds = sum(1 for n in types.values() if n)
+        null = optional and not types.get("NULL")
+        union = kinds + null > 1
+        node = _Open(types, label, ("]" if union else "") + behind, null)
+        self._put(("[" if union else "") + ('"null"' if null else ""))
+        self.open.append(node)
+        while node.left and node.inside is None:
+            self._next(node)
+
+    def _until(self, node: _Open, kind: str) -> None:
+        """Write a node's kinds up to the given one, which stays open."""
+        while node.inside != kind:
+            self._end(node)
+            self._next(node)
+
+    def _next(self, node: _Open) -> None:
+        kind = node.left.pop()
+        self._put(", " if node.started else "")
+        node.started = True
+        if kind == "RECORD":
+            label = json.dumps(self._record_name(node.label))
+            self._put(f'{{"type": "record", "name": {label}, "namespace": {self.namespace}, "fields": [')
+        elif kind == "ARRAY":
+            self._put('{"type": "array", "items": ')
+        else:
+            self._put(f'"{kind.lower()}"')
+            return
+        node.inside, node.filled = kind, False
+
+    def _end(self, node: _Open) -> None:
+        if node.inside == "ARRAY":
+            self._put("}" if node.filled else '["string", "null"]}')
+        elif node.inside == "RECORD":
+            self._put("]}")
+        node.inside = None
+
+    def _close(self) -> None:
+        node = self.open.pop()
+        self._end(node)
+        while node.left:
+            self._next(node)
+            self._end(node)
+        self._put(node.behind)
+
+    def text(self) -> memoryview:
+        while self.open:
+            self._close()
+        return self.out.getbuffer()
+
+
+def _written(name: str, namespace: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, path, types = _Writer(name, namespace), None, {}
+        for batch in batches:
+            for at, kind, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != path:
+                    if path is not None:
+                        writer.add(path, types)
+                    path, types = at, {}
+                types[kind] = types.get(kind, 0) + n
+        if path is None:
+            writer.out.write(avro_json(Node()).encode())
+        else:
+            writer.add(path, types)
+        text = pa.py_buffer(writer.text())
+        ends = pa.array([0, text.size], pa.int32()).buffers()[1]
+        yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, ends, text)], ["schema"])
+
+    return written
 
 
 def fold(types: DataFrame) -> Node:

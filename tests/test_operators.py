@@ -1,10 +1,12 @@
 import json
+import random
 import re
 import threading
 import time
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F, types as T
@@ -479,6 +481,42 @@ def test_objects_with_many_keys_have_a_schema(spark):
     assert len(schema.spark_schema(schema.fold(found)).fields) == 2000
 
 
+def _any_json(draw, depth=0):
+    kind = draw.randrange(9 if depth < 4 else 7)
+    if kind == 7:
+        return [_any_json(draw, depth + 1) for _ in range(draw.randrange(4))]
+    if kind == 8 or not depth and draw.random() < 0.7:
+        return {draw.choice(["a", "b", "a b", "é", "", "aType", "\U0001f600", "\uffff"]): _any_json(draw, depth + 1) for _ in range(draw.randrange(5))}
+    return [None, True, 1, 2**40, 1.5, "s", {}][kind]
+
+
+def test_avro_text_is_written_along_the_pairs_without_a_tree(spark, monkeypatch):
+    for seed in range(60):
+        draw = random.Random(seed)
+        values = [_any_json(draw) for _ in range(draw.randrange(1, 12))]
+        root, pairs = schema.Node(), {}
+        for batch in schema._partial(True)(iter([pa.RecordBatch.from_arrays([pa.array([json.dumps(v) for v in values])], ["text"])])):
+            for row in batch.to_pylist():
+                root.add(row["path"], row["type"], row["n"])
+                pairs.setdefault(tuple(row["path"]), []).append((row["type"], row["n"]))
+        # as Spark sorts: NULL first, texts by their bytes
+        ordered = sorted(pairs, key=lambda path: [(step is not None, (step or "").encode()) for step in path])
+        rows = [(list(path), kind, n) for path in ordered for kind, n in pairs[path]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.list_(pa.string()), pa.string(), pa.int64()))], ["path", "type", "n"])
+        with monkeypatch.context() as patch:
+            patch.setattr(schema, "Node", None)
+            written = [b["schema"][0].as_py() for b in schema._written("object", "gen")(iter([batch]))]
+        assert written == [schema.avro_json(root)]
+
+
+def test_avro_text_of_a_table_equals_the_merged_tree(spark):
+    values = [{"a": [1, "x"], "é": {"b": 1}}, {"a": {"é": None}, "\uffff": 1, "\U0001f600": 2}, [1], 7]
+    found = texts(spark, *values)
+    assert schema.schema_text(found, "t").first()["schema"] == schema.schema_text(found, "t", schema.avro_json).first()["schema"]
+    none = found.where("false")
+    assert schema.schema_text(none, "t").collect() == schema.schema_text(none, "t", schema.avro_json).collect()
+
+
 def test_a_request_without_response_is_a_failure(spark):
     rows = spark.sql("""SELECT array(
         struct(struct('http://a' AS url) AS request, struct(200 AS statusCode) AS response, CAST(NULL AS STRING) AS error),
