@@ -75,22 +75,21 @@ EPOCHS = 5
 EPOCH = f"least({EPOCHS - 1}, (event_id - low) * {EPOCHS} {{div}} (high - low + 1))"
 EPOCH_SQL = f"""epochs AS (
   SELECT event_id, {EPOCH.format(div='//')} AS epoch FROM events, (SELECT min(event_id) AS low, max(event_id) AS high FROM events))"""
-# Files of a micro-batch: at least ``FILES``, and one for so many rows, or few tasks would do all of its work.
-FILES, FILE_ROWS = 2, 20_000
+# Files of a micro-batch: at least ``FILES``, and one for so many ids, or few tasks would do all of its work.
+FILES, FILE_IDS = 2, 20_000
 
 
-def event_stream(spark: SparkSession, sf_dir: str, file_rows: int = FILE_ROWS) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, file_ids: int = FILE_IDS) -> DataFrame:
     """The events as a stream in the order of their ids, in ``EPOCHS`` micro-batches of as many files each."""
     events, path = table(spark, sf_dir, "events"), shared_dir(spark, "events")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     numbered = events.withColumn("low", F.lit(low)).withColumn("high", F.lit(high)).withColumn("epoch", F.expr(EPOCH.format(div="div")))
-    counts = [r["count"] for r in numbered.groupBy("epoch").count().collect()]
-    # all micro-batches have as many files, and no file is empty
-    files = max(FILES, min(counts) // file_rows) if len(counts) == EPOCHS else FILES
+    # all micro-batches have as many files, and with so many ids for each no file is empty; rows of one id stay together
+    counts = [r["n"] for r in numbered.groupBy("epoch").agg(F.count_distinct("event_id").alias("n")).collect()]
+    files = max(FILES, min(counts) // file_ids) if len(counts) == EPOCHS else FILES
     for epoch in range(EPOCHS):
         part = numbered.where(F.col("epoch") == epoch).drop("low", "high", "epoch")
-        # dealt in turn, so that repeated ids leave no file empty
-        part.repartition(files).write.mode("append").parquet(path)
+        part.repartition(files, "event_id").write.mode("append").parquet(path)
     return topics.file_stream(spark, path, files, schema=events.schema)
 
 
