@@ -7,7 +7,8 @@ size; the size and position of an entry say which sizes it can still be linked w
 other blocks.
 
 Set relations do the rest. In each list a pivot's answers are computed first, then it leaves the list; the
-next pivot is the set with the most links so far. A set that is linked with the pivot takes over the pivot's
+pivot is the set with the fewest rarer shingles before the list's own: what tells copies apart few others have,
+so it is the one nearest to all of them. A set that is linked with the pivot takes over the pivot's
 group, so pairs inside a group are never formed, however many near copies it has. The answers of others are
 derived from the pivot's: their overlaps with the pivot bound their overlap with each other from both sides,
 which settles most pairs without a look at them. Turns go on for as long as each leaves at most half of the
@@ -304,7 +305,6 @@ def groups(nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width:
             (F.col("g") == F.col("main")).alias("inside")), "lists")
         for table in (*stale, tops):
             discarded(table)
-        # the second turn's pivots are the first that links were known for
         by_pivots = turn < 2 or left <= PAYING * before
         pivots = marked.where("served")
         if by_pivots:
@@ -321,7 +321,8 @@ def groups(nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width:
         found = answers.where(100 * F.col("overlap") >= percent * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(
             F.col("x").alias("a"), F.col("y").alias("b"))
         found = found.unionByName(formed.where("sure").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        known = answers.select("x", "y") if known is None else known.unionByName(answers.select("x", "y"))
+        met_now = formed.select("x", "y")
+        known = met_now if known is None else known.unionByName(met_now)
         links = found if links is None else links.unionByName(found)
         reached = components(links)
         if not by_pivots:
@@ -342,15 +343,16 @@ def groups(nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width:
 
 
 def _with_group(lists: DataFrame, links: DataFrame | None, reached: DataFrame | None, turn: int) -> DataFrame:
-    """Entries with their sets' groups and their rank as pivots: most links first, then by a hash, alike in all lists."""
-    drawn = F.xxhash64("nid", F.lit(turn)).bitwiseAND(F.lit((1 << 48) - 1))
+    """Entries with their sets' groups and their rank as pivots: least position first, then most links, then by a hash, alike in all lists."""
+    drawn = F.xxhash64("nid", F.lit(turn)).bitwiseAND(F.lit((1 << 32) - 1))
+    near = F.shiftleft((32767 - F.least("at", F.lit(32767))).cast("long"), 47).bitwiseOR(drawn)
     if links is None:
-        return lists.withColumn("g", F.col("nid")).withColumn("rank", drawn)
+        return lists.withColumn("g", F.col("nid")).withColumn("rank", near)
     ends = links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("degree"))
     known = ends.join(reached.withColumnRenamed("node", "nid"), "nid")
     degree = F.coalesce(F.least("degree", F.lit(32767)), F.lit(0)).cast("long")
     return lists.join(known, "nid", "left").withColumn("g", F.coalesce("component", "nid")).withColumn(
-        "rank", F.shiftleft(degree, 48).bitwiseOR(drawn)).drop("component", "degree")
+        "rank", near.bitwiseOR(F.shiftleft(degree, 32))).drop("component", "degree")
 
 
 def without_near_copies(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", width: int = 5,

@@ -80,3 +80,28 @@ def test_blocks_hold_every_size_that_can_be_linked(spark):
             follow = min(n - at, m)
             if 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * follow >= percent * (n + m):
                 assert sizes[m] in reach[n, at]
+
+
+def test_a_ball_of_copies_that_are_not_all_linked_forms_few_pairs(spark, monkeypatch):
+    """Copies with one or two passages changed are linked with their middle, but hardly with each other."""
+    draw, formed = random.Random(3), []
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for n in range(240):
+        copy = list(base)
+        for place in draw.sample(range(0, 150, 6), 1 + n % 2):
+            copy[place] = f"c{n}x{place}"
+        texts.append(" ".join(copy))
+    staged = similar.staged
+
+    def counted(df, label):
+        made = staged(df, label)
+        if label == "formed":
+            formed.append(made.count())
+        return made
+
+    monkeypatch.setattr(similar, "staged", counted)
+    docs = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar.linked(docs).collect()}
+    assert found == expected(texts, similar.WORDS, similar.PERCENT)
+    assert sum(formed) < 4 * len(texts), formed
