@@ -1,11 +1,14 @@
 """Small tables against brute force: nulls, empty texts, ties, repeated rows, clashing columns, empty tables."""
 
+import base64
 import hashlib
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -54,6 +57,51 @@ def test_bpe_agrees_with_tiktoken_and_round_trips(docs, nothing):
     assert bpe.encoded(nothing, BYTE_RANKS).count() == 0
 
 
+def by_merging(word, ranks):
+    """One word's ids, by definition: the leftmost of the lowest-ranked neighbours are joined for as long as any has a rank."""
+    parts = [word[i:i + 1] for i in range(len(word))]
+    while not (word in ranks or len(parts) < 2):
+        best = min((ranks.get(a + b, 1 << 30), n) for n, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best[0] == 1 << 30:
+            break
+        parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return [ranks[word]] if word in ranks else [ranks[p] for p in parts]
+
+
+def test_bpe_of_ranks_that_one_pass_does_not_follow(spark, tmp_path):
+    """Here ``abc`` comes up at the rank of ``bc``, which is above its own; ``ef`` and ``fg`` overlap, and a word is long."""
+    ready(spark)
+    ranks = {bytes([b]): b for b in range(256)}
+    ranks |= {piece: 256 + n for n, piece in enumerate([b"abc", b"bc", b"abcd", b"fg", b"ef", b"efgh", b"xx", b"xxxx"])}
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(p).decode()} {r}\n" for p, r in ranks.items()))
+    assert bpe.unruly(bpe.Trie.of(ranks), ranks) == [ranks[b"abc"], ranks[b"abcd"], ranks[b"efgh"]]
+    texts = ["zabcdz", "efgz fgefz", "abcdefgh", "x" * 7 + "y", "x" * 61 + "y", "x" * 62 + "y", "y" + "abc" * 40 + "x" * 100, "abc", ""]
+    found = by_id(bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(path)))
+    for i, text in enumerate(texts):
+        ids = [n for word in regex.findall(public_tokenizers.PATTERN, text) for n in by_merging(word.encode(), ranks)]
+        assert found[i]["n_tokens"] == len(ids)
+        assert found[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert found[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_bpe_carries_little_to_the_fold():
+    """A word reaches the fold as places and runs of two bytes or more; one that is a piece, is long or unruly has none."""
+    ranks = bpe.read_ranks(BYTE_RANKS)
+    text = " the zqxzqx " + "q" * 70
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text]})
+    [block] = bpe._blocks(iter([batch]), public_tokenizers.PATTERN, ranks, bpe.Trie.of(ranks), [], 100)
+    row = block.to_pylist()[0]
+    words = regex.findall(public_tokenizers.PATTERN, text)
+    for word, size, places, runs in zip(words, row["sizes"], row["places"], row["runs"], strict=True):
+        raw = word.encode()
+        pieces = {(i, j): ranks.get(raw[i:j]) for i in range(size) for j in range(i + 2, size + 1)}
+        known = sorted((rank, i, j) for (i, j), rank in pieces.items() if rank is not None)
+        fold = raw not in ranks and size <= bpe.FOLD_BYTES
+        assert runs == ([i * bpe.PLACES + j for _, i, j in known] if fold else [])
+        assert places == ((2 << size) - 1 if fold else 1 | 1 << size if raw in ranks else 0)
+
+
 def shingle_set(text, width):
     words = (text or "").encode().lower().split()
     return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
