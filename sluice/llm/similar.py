@@ -13,7 +13,8 @@ group, so pairs inside a group are never formed, however many near copies it has
 derived from the pivot's: their overlaps with the pivot bound their overlap with each other from both sides,
 which settles most pairs without a look at them. Turns go on for as long as each leaves at most half of the
 pairs; then the rest is formed pair by pair. Counts of shingles by part of the hash range bound overlaps once
-more; pairs that stay are compared shingle by shingle.
+more, in more parts the larger a set is; pairs that stay are compared shingle by shingle. Pairs that would carry
+more counts or texts than all documents have are looked at in rounds, so disk follows the documents and not the pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,11 @@ PERCENT = 85
 PAYING = 0.5
 # Shingle counts are kept for this many hashed buckets; only their magnitude counts, and only for the order.
 COUNT_BITS = 17
-# Shingles of a set are also counted by this many parts of the hash range, to bound overlaps.
-PARTS = 128
+# Shingles of a set are also counted by so many parts of the hash range at least and at most, to bound overlaps;
+# in between a part has up to so many shingles, or large sets that have nothing in common would look alike.
+PARTS, MOST_PARTS, PART_SHINGLES = 128, 1 << 16, 16
+# For each shingle of all sets, the shingles of texts and the bytes of counts that one round of pairs carries.
+ROUND_SHINGLES, ROUND_BYTES = 0.5, 2
 CACHE_WORDS = 1 << 20
 # fixed values: odd multipliers that spread 64-bit numbers
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -101,6 +105,26 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def part_count(size: int) -> int:
+    """Parts of the hash range for a set of this size, a power of two."""
+    return min(max(PARTS, 1 << (-(-size // PART_SHINGLES) - 1).bit_length()), MOST_PARTS) if size else PARTS
+
+
+def part_counts(found: np.ndarray) -> bytes:
+    """A set's shingles by part, in numbers of as few bytes as the largest needs."""
+    parts = part_count(len(found))
+    counts = np.bincount((found % np.uint64(parts)).astype(np.int64), minlength=parts)
+    return counts.astype(np.min_scalar_type(counts.max()).newbyteorder("<")).tobytes()
+
+
+def most_shared(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """Two sets' overlap is at most the sum of the smaller counts, over the parts of the one that has fewer."""
+    a, b = (np.frombuffer(p, f"<u{len(p) // part_count(n)}") for p, n in ((x, nx), (y, ny)))
+    parts = min(len(a), len(b))
+    a, b = (c if len(c) == parts else c.reshape(-1, parts).sum(axis=0) for c in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
 def shingle_magnitudes(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """How often the shingles of each hashed bucket occur in all documents, as a power of two."""
 
@@ -134,7 +158,7 @@ def with_sets(docs: DataFrame, magnitudes: np.ndarray, columns: list[Column], sc
                 sizes.append(len(found))
                 keys.append(set_key(found))
                 firsts.append(found[order].view(np.int64))
-                parts.append(np.bincount((found % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes())
+                parts.append(part_counts(found))
             yield batch.drop(columns="_text").assign(_n=sizes, _key=keys, _first=firsts, _parts=parts)
 
     return docs.select(*columns).mapInPandas(build, f"{schema}, _n long, _key binary, _first array<long>, _parts binary")
@@ -161,7 +185,7 @@ def blocks_in_reach(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def met(x: DataFrame, y: DataFrame, percent: int, more: Column | None = None) -> DataFrame:
-    """Pairs (x, y) of entries of one list and of different groups that may be linked; ``sure`` ones are.
+    """Pairs (x, y) of entries of one list and of different groups that may be linked, and their sizes; ``sure`` ones are.
 
     ``o`` is an entry's overlap with the list's last pivot, where it was computed, ``pn`` that pivot's size. Two sets
     share at most what both share with the pivot and what both have beside it, and at least what the pivot has no room
@@ -176,30 +200,36 @@ def met(x: DataFrame, y: DataFrame, percent: int, more: Column | None = None) ->
     if more is not None:
         on = on & more
     sure = F.coalesce((100 + percent) * (xo + yo - F.col("x.pn")) >= percent * (xn + yn), F.lit(False))
-    pairs = a.join(b, on).select(F.col("x.nid").alias("x"), F.col("y.nid").alias("y"), sure.alias("sure"))
-    return pairs.groupBy("x", "y").agg(F.max("sure").alias("sure"))
+    pairs = a.join(b, on).select(F.col("x.nid").alias("x"), F.col("y.nid").alias("y"), xn.alias("nx"), yn.alias("ny"), sure.alias("sure"))
+    return pairs.groupBy("x", "y", "nx", "ny").agg(F.max("sure").alias("sure"))
+
+
+def in_rounds(pairs: DataFrame, weight: Column, room: float) -> Iterator[DataFrame]:
+    """The pairs (x, y) in as many parts as it takes for each to weigh about ``room`` at most."""
+    rounds = max(1, math.ceil((pairs.agg(F.sum(weight)).first()[0] or 0) / max(1, room)))
+    for i in range(rounds):
+        yield pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(rounds)) == i) if rounds > 1 else pairs
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose counts by part leave room for the overlap a link needs: it is at most the sum of the smaller counts."""
+    """Pairs whose counts by part leave room for the overlap a link needs."""
 
     def side(of: DataFrame, name: str) -> DataFrame:
-        return of.join(nodes.select(F.col("nid").alias(name), F.col("n").alias(f"{name}_n"), F.col("parts").alias(f"{name}_p")), name)
+        return of.join(nodes.select(F.col("nid").alias(name), F.col("parts").alias(f"{name}_p")), name)
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, PARTS) for c in ("x_p", "y_p"))
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            yield batch.loc[(100 + percent) * most >= percent * (batch["x_n"] + batch["y_n"]).to_numpy(), ["x", "y"]]
+            most = np.array([most_shared(r.x_p, r.nx, r.y_p, r.ny) for r in batch.itertuples(index=False)], np.int64)
+            yield batch.loc[(100 + percent) * most >= percent * (batch["nx"] + batch["ny"]).to_numpy(np.int64), ["x", "y", "nx"]]
 
-    return side(side(pairs, "x"), "y").mapInPandas(bounded, "x long, y long")
+    return side(side(pairs, "x"), "y").mapInPandas(bounded, "x long, y long, nx int")
 
 
-def compared(pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The overlap of each pair (x, y) of nodes, from their whole texts; many pairs may share a ``y``."""
 
     def side(of: DataFrame, name: str) -> DataFrame:
-        return of.join(held.select(F.col("nid").alias(name), F.col("key").alias(f"{name}_key"), F.col("text").alias(f"{name}_text")), name)
+        return of.join(texts.select(F.col("nid").alias(name), F.col("key").alias(f"{name}_key"), F.col("text").alias(f"{name}_text")), name)
 
     def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers, kept = word_numbers(), {}
@@ -225,7 +255,7 @@ def compared(pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
                     kept.pop(row.y, None)
             yield pd.DataFrame(out, columns=["x", "y", "nx", "ny", "overlap"])
 
-    both = side(side(pairs, "x"), "y")
+    both = side(side(pairs.select("x", "y"), "x"), "y")
     return both.mapInPandas(overlap, "x long, y long, nx long, ny long, overlap long").distinct()
 
 
@@ -260,30 +290,36 @@ def index_lists(nodes: DataFrame) -> DataFrame:
     """Entries (token, nid, n, at) of the lists with more than one member; of lists with the same members the first in the order of shingles.
 
     The order is the same in all sets, so a pair's first common shingle stays or has a list with the same members that comes before it.
-    Members are told by their number and 128 bits of hash.
+    Members are told by their number and 128 bits of hash. Most shingles are in one set only: these go before anything else is known of a list.
     """
     entries = nodes.select("nid", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "token"))
-    lists = entries.groupBy("token").agg(
+    common = staged(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "common-tokens")
+    shared = staged(entries.join(common, "token", "left_semi"), "shared-entries")
+    lists = shared.groupBy("token").agg(
         F.count("*").alias("c"), F.sum("at").alias("place"), F.bit_xor(F.xxhash64("nid")).alias("h1"),
-        F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("h2")).where("c > 1")
+        F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("h2"))
     chosen = lists.groupBy("c", "h1", "h2").agg(F.min_by("token", "place").alias("token")).select("token")
-    return entries.join(chosen, "token", "left_semi")
+    index = staged(shared.join(chosen, "token", "left_semi"), "index")
+    discarded(common)
+    discarded(shared)
+    return index
 
 
-def texts_of(lists: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_column: str) -> DataFrame:
-    """(nid, key, text) of the nodes that have entries; an id with several texts brings all of them."""
+def texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id_column: str) -> DataFrame:
+    """(nid, key, text) of the nodes that have pairs; an id with several texts brings all of them."""
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    known = nodes.select("nid", "key", "doc_id").join(lists.select("nid").distinct(), "nid", "left_semi")
+    paired = pairs.select(F.explode(F.array("x", "y")).alias("nid")).distinct()
+    known = nodes.select("nid", "key", "doc_id").join(paired, "nid", "left_semi")
     return known.join(texts, known["doc_id"].eqNullSafe(texts["_id"])).select("nid", "key", "text")
 
 
 def groups(nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width: int, percent: int) -> DataFrame:
     """(_key, component_id) for every nonempty set."""
-    index = staged(index_lists(nodes), "index")
+    index = index_lists(nodes)
     slim = staged(nodes.drop("first"), "slim-nodes")
     discarded(nodes)
     nodes = slim
-    held = staged(texts_of(index, nodes, docs, text, id_column), "held-texts")
+    shingled = nodes.agg(F.sum("n")).first()[0] or 0
 
     none = F.lit(None).cast("int")
     lists, stale = index.select("*", none.alias("o"), none.alias("pn")), [index]
@@ -316,8 +352,13 @@ def groups(nodes: DataFrame, docs: DataFrame, text: str, id_column: str, width:
             formed = formed.join(known, ["x", "y"], "left_anti")
             formed = formed.join(known.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
         formed = staged(formed, "formed")
-        pairs = staged(plausible(formed.where("NOT sure").select("x", "y"), nodes, percent), "pairs")
-        answers = staged(compared(pairs, held, width), "answers")
+        counted = F.greatest(F.lit(PARTS), F.col("nx") * 2 / PART_SHINGLES)
+        rounds = in_rounds(formed.where("NOT sure").drop("sure"), counted, ROUND_BYTES * shingled)
+        pairs = reduce(DataFrame.unionAll, [staged(plausible(r, nodes, percent), "pairs") for r in rounds])
+        texts = staged(texts_of(pairs, nodes, docs, text, id_column), "texts")
+        rounds = in_rounds(pairs, F.col("nx"), ROUND_SHINGLES * shingled)
+        answers = reduce(DataFrame.unionAll, [staged(compared(r, texts, width), "answers") for r in rounds])
+        discarded(texts)
         found = answers.where(100 * F.col("overlap") >= percent * (F.col("nx") + F.col("ny") - F.col("overlap"))).select(
             F.col("x").alias("a"), F.col("y").alias("b"))
         found = found.unionByName(formed.where("sure").select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -105,3 +105,50 @@ def test_a_ball_of_copies_that_are_not_all_linked_forms_few_pairs(spark, monkeyp
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar.linked(docs).collect()}
     assert found == expected(texts, similar.WORDS, similar.PERCENT)
     assert sum(formed) < 4 * len(texts), formed
+
+
+def staged_counts(monkeypatch, label):
+    """The rows of each table staged under the label from now on."""
+    counts, staged = [], similar.staged
+
+    def counted(df, name):
+        made = staged(df, name)
+        if name == label:
+            counts.append(made.count())
+        return made
+
+    monkeypatch.setattr(similar, "staged", counted)
+    return counts
+
+
+def test_counts_by_part_bound_the_overlap_of_sets_of_all_sizes():
+    draw = similar.np.random.default_rng(1)
+    for n, m, both in ((0, 3, 0), (5, 5, 5), (2048, 2049, 1500), (2000, 2400, 1900), (9000, 40, 40), (40000, 33000, 30000)):
+        numbers = draw.integers(0, 1 << 63, n + m - both).astype(similar.np.uint64)
+        x, y = numbers[:n], numbers[n - both:]
+        assert both <= similar.most_shared(similar.part_counts(x), n, similar.part_counts(y), m) <= min(n, m)
+    one = similar.np.arange(1, 1000, dtype=similar.np.uint64) << similar.np.uint64(20)
+    assert similar.most_shared(similar.part_counts(one), 999, similar.part_counts(one[9:]), 990) == 990
+
+
+def test_texts_of_long_sets_that_share_a_line_only_are_not_compared(spark, monkeypatch):
+    """They share an index list, as their own words come more often, and counts in few parts are too alike to tell such sets apart."""
+    texts = [" ".join([f"d{n}w{i}" for i in range(9000)] * 4 + [f"line{n // 2}w{i}" for i in range(40)]) for n in range(4)]
+    pairs = staged_counts(monkeypatch, "pairs")
+    docs = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar.linked(docs).collect()}
+    assert found == expected(texts, similar.WORDS, similar.PERCENT)
+    assert pairs and sum(pairs) == 0, pairs
+
+
+def test_rounds_of_pairs_change_no_group(spark, monkeypatch):
+    monkeypatch.setattr(similar, "ROUND_SHINGLES", 0.4)
+    monkeypatch.setattr(similar, "ROUND_BYTES", 0.3)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base)] + [" ".join(base[:n] + [f"c{n}"] + base[n + 1:]) for n in range(0, 150, 4)]
+    rounds, looks = staged_counts(monkeypatch, "answers"), []
+    monkeypatch.setattr(similar, "plausible", lambda *x, of=similar.plausible: looks.append(1) or of(*x))
+    docs = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar.linked(docs).collect()}
+    assert found == expected(texts, similar.WORDS, similar.PERCENT)
+    assert len(rounds) >= 3 and len(looks) >= 3 and sum(rounds) >= 30, (rounds, looks)
